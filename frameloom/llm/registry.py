@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op1_langid", "op4_topk", "op5_mix", "op7_simhash", "op9_html")
+MODULES = ("op1_langid", "op4_topk", "op5_mix", "op7_simhash", "op9_html", "op10_secrets")
 
 
 def queries() -> dict:
