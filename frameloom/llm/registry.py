@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("op1_langid", "op2_warc", "op3_decontaminate", "op4_topk", "op5_mix", "op7_simhash", "op8_suffix", "op9_html", "op10_secrets")
+MODULES = ("op1_langid", "op2_warc", "op3_decontaminate", "op4_topk", "op5_mix", "op6_paragraphs", "op7_simhash", "op8_suffix", "op9_html", "op10_secrets")
 
 
 def queries() -> dict:
