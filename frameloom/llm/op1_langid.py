@@ -6,7 +6,7 @@ for any number of languages. A text's popcount for a language is how many of its
 filter's false-positive rate f (its fill to the power k) adds about f(N - hits) to it, so the corrected count is
 (popcount - f N) / (1 - f). The largest corrected count decides; its share of N lies in score.
 
-A language's filter holds its ``profile`` most typical n-grams of one to five letters, within words, where a
+A language's filter holds its ``profile`` most typical n-grams of one to four letters, within words, where a
 leading or trailing blank marks a word's edge: those whose share of the language's n-grams is at least ``ratio``
 of their share in any other language, by documents. They are learned from at most about ``max_docs`` documents a
 language (a documented bound; documents are drawn by a hash of their id), and the model that is broadcast holds
@@ -20,8 +20,10 @@ is; a text with letters of which no n-gram is known gets the language with the m
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,15 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.common import crc_fold, cut, mix64, pieces, table
 
-SIZES = (1, 2, 3, 4, 5)
+SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Bytes of text that are looked at together.
 PIECE = 1 << 20
+#: Runs of letters, and of a few numerals that count as none.
+WORD = re.compile(r"[^\W\d_]+")
+#: Words whose popcounts a worker keeps; beyond that it starts anew.
+WORDS_KEPT = 300_000
+_words: dict[int, Words] = {}
 _letters: list[np.ndarray] = []
 
 
@@ -98,14 +105,23 @@ class Model:
         return np.array([np.mean(self.table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) ** self.probes for i in range(len(self.languages))])
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        codes, doc, n_letters = grams(texts)
-        held = self.holders(codes)
-        total = np.bincount(doc, minlength=len(texts)).astype(float)
-        f = self.false_rates()
-        counts = np.empty((len(self.languages), len(texts)))
-        for i in range(len(self.languages)):
-            hits = np.bincount(doc[(held[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
-            counts[i] = np.maximum(hits - f[i] * total, 0) / max(1 - f[i], 1e-9)
+        """Language and score of each text. N-grams lie within words, so a word's popcounts are looked up once and kept."""
+        if len(_words.setdefault(id(self), Words())) > WORDS_KEPT:
+            _words[id(self)] = Words()
+        words = _words[id(self)]
+        places = [list(map(words.__getitem__, WORD.findall((t or "").lower()))) for t in texts]
+        words.count(self)
+        flat = np.fromiter(chain.from_iterable(places), np.int64)
+        ends = np.cumsum([len(x) for x in places])
+        starts = np.r_[0, ends[:-1]]
+        got = np.zeros((len(texts), len(self.languages) + 2))
+        some = ends > starts
+        if some.any():
+            got[some] = np.add.reduceat(words.rows[flat], starts[some], axis=0, dtype=np.float64)
+        got = got.T
+        hits, total, n_letters = got[:-2], got[-2], got[-1]
+        f = self.false_rates()[:, None]
+        counts = np.maximum(hits - f * total, 0) / np.maximum(1 - f, 1e-9)
         best = counts.argmax(axis=0)
         top = counts.max(axis=0)
         best[top <= 0] = self.usual
@@ -113,6 +129,32 @@ class Model:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, n_letters)], score
 
 
+class Words(dict):
+    """Word to row; rows holds popcounts by language, n-grams and letters of each word."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.rows = np.empty((0, 0), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def count(self, model: Model) -> None:
+        k = len(model.languages)
+        fresh = np.zeros((len(self.new), k + 2))
+        codes, of, fresh[:, k + 1] = grams(self.new)
+        held = model.holders(codes)
+        fresh[:, k] = np.bincount(of, minlength=len(self.new))
+        for i in range(k):
+            fresh[:, i] = np.bincount(of[(held[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(self.new))
+        if len(self) > len(self.rows):  # room for twice as many
+            self.rows = np.vstack([self.rows.reshape(-1, k + 2)[: len(self) - len(self.new)], np.zeros((2 * len(self), k + 2), np.float32)])
+        self.rows[len(self) - len(self.new) : len(self)] = fresh
+        self.new = []
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, profile: int = 20000, ratio: float = 0.6, probes: int = 4, bits: int = 16) -> Model | None:
     """A model of the languages of docs; see the module for the bounds."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
