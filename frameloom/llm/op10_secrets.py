@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import cut, table
+from frameloom.llm.common import cut, fits, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -129,8 +129,8 @@ def rejected_bins(df: DataFrame, alpha: float) -> DataFrame:
     return bins.where(edge <= alpha * F.col("upto") / F.col("m")).groupBy("encoding", "len_class").agg(F.max("bin").alias("cut"))
 
 
-def find_spans(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, spans): spans of all kinds in order, as (s, k, e, v); a row for each of docs."""
+def find_spans(docs: DataFrame, alpha: float = 0.01, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs(*keys, text) -> (*keys, base, spans): spans in order, as (s, k, e, v); a row for each of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(
         F.when(text.rlike(ASSIGN), F.filter(spans(text, ASSIGN, 0, group=1), lambda x: F.length(x["v"]) >= 6)).otherwise(F.array().cast(SPAN)),
@@ -138,7 +138,7 @@ def find_spans(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
         F.when(text.rlike(HEX), spans(text, HEX, 2)).otherwise(F.array().cast(SPAN)),
     ))
     may = F.when(text.rlike(RUN), F.filter(spans(text, RUN, 3), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))).otherwise(F.array().cast(SPAN))
-    found = cut(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), base.alias("base"), may.alias("may")))
+    found = cut(docs.select(*keys, F.monotonically_increasing_id().alias("rid"), base.alias("base"), may.alias("may")))
     runs = classed(with_p(found.where(F.size("may") > 0).select("rid", F.explode("may").alias("x")).select("rid", "x", F.col("x.v").alias("v"))))
     runs = cut(runs.select("rid", "x", "v", "encoding", "len_class", "bin"))
     # a few classes of at most BINS bins: 7 encodings by the number of binary lengths of a string
@@ -147,7 +147,7 @@ def find_spans(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
     added = secret.groupBy("rid").agg(F.collect_list("x").alias("added"))
     out = found.join(added, "rid", "left")
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    return out.select("doc_id", "base", both.alias("spans"))
+    return out.select(*keys, "base", both.alias("spans"))
 
 
 def listed(spans_col: str) -> Column:
@@ -158,18 +158,23 @@ def listed(spans_col: str) -> Column:
 def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
     """docs with every span of text replaced by mask (overlapping spans by one), n_chars made anew where it is a column.
 
-    doc_id must be distinct; documents without spans are left as they are, nulls too.
+    Spans hang on the text alone, so they are joined by two hashes of it: ids may repeat or be null. Documents
+    without spans are left as they are, nulls too.
     """
-    kept = find_spans(docs.select("doc_id", "text"), alpha).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    hashes = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("text"), "text").alias("_h2")]
+    kept = find_spans(docs.select(*hashes, "text"), alpha, ("_h1", "_h2")).where(F.size("spans") > 0)
+    kept = cut(kept.select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans")).dropDuplicates(["_k1", "_k2"]))
+    kept = F.broadcast(kept) if fits(kept, 512) else kept
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.struct(
         F.greatest(a["at"], x["e"]).alias("at"),
         F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
     )
     clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left").withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(clean))
+    out = docs.withColumns({"_h1": hashes[0], "_h2": hashes[1]})
+    out = out.join(kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left").withColumn("text", F.when(F.col("_k1").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_k1").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -214,6 +214,16 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return docs.select(*names).mapInArrow(found, schema)
 
 
+def of_known_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
+    """docs less those of no language: without letters, or with less than the share least of their n-grams in the best one.
+
+    The model is learned from the rows of docs that have a language.
+    """
+    model = learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
+    named = identify(docs.withColumn("_text", F.col("text").cast("string")), model, "_text")
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     model = learn(docs.where(crc_fold(F.col("doc_id"), 5) != 0))

@@ -97,7 +97,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """docs less those that hold an item; rows with null ids stay."""
-    bad = contained(docs.select("doc_id", "text"), items, threshold, width).select("doc_id").distinct()
+    bad = cut(contained(docs.select("doc_id", "text"), items, threshold, width).select("doc_id").distinct())
+    bad = F.broadcast(bad) if fits(bad, 32) else bad
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -6,8 +6,12 @@ MODULES = ("op1_langid", "op2_warc", "op3_decontaminate", "op4_topk", "op5_mix",
 
 
 def queries() -> dict:
-    return {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").QUERIES.items()}
+    import corpus_pipeline  # beside the entry points
+
+    return {"pipeline": corpus_pipeline.run} | {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").ORACLES.items()}
+    import corpus_pipeline
+
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").ORACLES.items()}
