@@ -1,4 +1,6 @@
 """All queries of the clip engine and the SQL they are held against."""
 
-QUERIES = {}
-ORACLES = {}
+from frameloom.plans import clips, frames
+
+QUERIES = frames.QUERIES | clips.QUERIES
+ORACLES = frames.ORACLES | clips.ORACLES
