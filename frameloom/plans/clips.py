@@ -189,8 +189,8 @@ def q_resume_anti(spark, sf_dir):
 
 
 @query(""", ex AS (SELECT range AS clip_id FROM range(450)), dn AS (SELECT clip_id, max(error) AS error FROM att GROUP BY 1)
-SELECT (SELECT count(*) FROM ex) AS n, (SELECT count(*) FROM ex WHERE clip_id NOT IN (SELECT clip_id FROM dn)) AS missing, (SELECT count(*) FROM dn WHERE error IS NOT NULL) AS failed, missing = 0 AND failed = 0 AS complete,
-CASE WHEN missing > 0 THEN missing || ' missing' WHEN failed > 0 THEN failed || ' failed' ELSE 'complete' END AS reason""", views=ATTEMPTS)
+SELECT n, missing, failed, missing = 0 AND failed = 0 AS complete, CASE WHEN missing > 0 THEN missing || ' missing' WHEN failed > 0 THEN failed || ' failed' ELSE 'complete' END AS reason
+FROM (SELECT (SELECT count(*) FROM ex) AS n, (SELECT count(*) FROM ex WHERE clip_id NOT IN (SELECT clip_id FROM dn)) AS missing, (SELECT count(*) FROM dn WHERE error IS NOT NULL) AS failed)""", views=ATTEMPTS)
 def q_completeness(spark, sf_dir):
     done = attempts(spark, sf_dir).groupBy("clip_id").agg(F.max("error").alias("error"))
     return R.step_complete(spark.range(450).select(F.col("id").cast("int").alias("clip_id")), done)
@@ -202,8 +202,8 @@ def q_merge_best(spark, sf_dir):
 
 
 @query(""", b AS (SELECT *, error IS NULL AND json_parse_ok AS ok FROM att QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY CASE WHEN error IS NULL AND json_parse_ok THEN 1 ELSE 0 END DESC, finished DESC, line DESC, file) = 1)
-SELECT (SELECT count(*) FROM att) AS raw_valid, (SELECT count(DISTINCT clip_id) FROM att) AS unique_clips, 0 AS invalid_lines, (SELECT count(*) FROM b WHERE clip_id < 390) AS selected, (SELECT count(*) FROM b WHERE clip_id < 390 AND ok) AS successes,
-(SELECT count(*) FROM (SELECT clip_id FROM att GROUP BY 1 HAVING count(*) > 1)) AS n_duplicate, (SELECT count(*) FROM range(390) r(i) WHERE i NOT IN (SELECT clip_id FROM b)) AS n_missing, (SELECT count(*) FROM b WHERE clip_id < 390 AND NOT ok) AS n_unsuccessful, n_missing = 0 AND n_unsuccessful = 0 AS complete""", views=ATTEMPTS)
+SELECT *, n_missing = 0 AND n_unsuccessful = 0 AS complete FROM (SELECT (SELECT count(*) FROM att) AS raw_valid, (SELECT count(DISTINCT clip_id) FROM att) AS unique_clips, 0 AS invalid_lines, (SELECT count(*) FROM b WHERE clip_id < 390) AS selected, (SELECT count(*) FROM b WHERE clip_id < 390 AND ok) AS successes,
+(SELECT count(*) FROM (SELECT clip_id FROM att GROUP BY 1 HAVING count(*) > 1)) AS n_duplicate, (SELECT count(*) FROM range(390) r(i) WHERE i NOT IN (SELECT clip_id FROM b)) AS n_missing, (SELECT count(*) FROM b WHERE clip_id < 390 AND NOT ok) AS n_unsuccessful)""", views=ATTEMPTS)
 def q_merge_summary(spark, sf_dir):
     a = attempts(spark, sf_dir)
     s = M.merge_summary(a, M.best_records(a), spark.range(390).select(F.col("id").cast("int").alias("clip_id")))
