@@ -155,6 +155,35 @@ def listed(spans_col: str) -> Column:
     return F.array_join(F.transform(spans_col, lambda x: F.concat_ws(":", name(x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
+    """docs with every span of text replaced by mask (overlapping spans by one), n_chars made anew where it is a column.
+
+    Spans hang on the text alone, so they are joined by two hashes of it: ids may repeat or be null. Documents
+    without spans are left as they are, nulls too.
+    """
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2")]
+    kept = find_spans(docs.select(*hashes, "text"), alpha, ("h1", "h2")).where(F.size("spans") > 0)
+    kept = cut(kept.select("h1", "h2", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans")).dropDuplicates(["h1", "h2"]))
+    kept = F.broadcast(kept) if fits(kept, 512) else kept
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, x: F.struct(
+        F.greatest(a["at"], x["e"]).alias("at"),
+        F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("row.text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
+    )
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("row.text"), a["at"] + 1, F.length("row.text"))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *hashes)  # any names may be there
+    out = packed.join(kept, ["h1", "h2"], "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(clean))
+    made = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def listed(spans_col: str) -> Column:
+    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
+    return F.array_join(F.transform(spans_col, lambda x: F.concat_ws(":", name(x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
     """docs with every span of text replaced by mask (overlapping spans by one), n_chars made anew where it is a column.
 

@@ -220,8 +220,8 @@ def of_known_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     The model is learned from the rows of docs that have a language.
     """
     model = learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
-    named = identify(docs.withColumn("_text", F.col("text").cast("string")), model, "_text")
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))  # any names may be there
+    return identify(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ a bracket): each step is one distributed sum over the histogram of (source, size
 Rates become copies: floor(r), and one more where u - frac(r) is under its source's threshold, u a hash of the
 id. The threshold, near 0, is found exactly, as the prefix of documents in that order which still fits: by two
 levels of 4096 ranges, summed before they are shuffled, so only a 2**-24th of a source is ever sorted together.
-What is left is filled by the largest documents that fit, a few rounds. The driver holds a few numbers a source.
+What is left is made up by single documents, a copy more or
+less, whichever comes nearest, in a few rounds. The driver holds a few numbers a source.
 
 Edge cases: a null text has 0 words and is taken 0 times; a null source is a source, the last; sources without
 words have target 0; an empty table gives no rows; rows with repeated ids are documents of their own; equal
@@ -91,7 +92,7 @@ def balance(histogram: DataFrame, sums: np.ndarray, targets: np.ndarray, means:
     return lam
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, fill_rounds: int = 4) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, fill_rounds: int = 6) -> DataFrame:
     """docs(doc_id, source, size) -> (doc_id, size, source_size, target, rate, copies, taken), a row for each of docs."""
     spark = docs.sparkSession
     docs = cut(docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("rid")))
@@ -145,21 +146,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     under = (F.col("x1") < F.col("edge1")) | ((F.col("x1") == F.col("edge1")) & (F.col("x2") < F.col("edge2"))) | F.col("fit").isNotNull()
     can = (F.col("base") < most) & (F.col("size") > 0)
     chosen = cut(chosen.select("rid", "doc_id", "sid", "size", "rate", "base", "k", F.when(can & under, 1).otherwise(0).alias("extra")))
-    free = chosen.where((F.col("extra") == 0) & can)
-    picked: list[int] = []
+    # what is left is made up by single copies, more or fewer, whichever comes nearest
+    picked: dict[int, int] = {}
     for _ in range(fill_rounds):
-        rest = free.join(small(spark, sid=sids, gap=gap), "sid").where("size <= gap")
+        rest = chosen.where(can).join(small(spark, sid=sids, gap=gap), "sid")
         if picked:
-            rest = rest.where(~F.col("rid").isin(picked)) if len(picked) < 1000 else rest.join(small(spark, rid=picked), "rid", "left_anti")
-        got = rest.groupBy("sid").agg(F.max(F.struct("size", (-F.col("k")).alias("k"), (-F.col("doc_id")).alias("d"), (-F.col("rid")).alias("r"))).alias("m")).collect()
+            rest = rest.join(small(spark, rid=np.array([*picked])), "rid", "left_anti")
+        turn = F.when((F.col("gap") > 0) & (F.col("extra") == 0), 1).when((F.col("gap") < 0) & (F.col("extra") == 1), -1)
+        rest = rest.withColumn("turn", turn).withColumn("off", F.abs(F.col("gap") - F.col("turn") * F.col("size"))).where("off < abs(gap)")
+        got = rest.groupBy("sid").agg(F.min(F.struct("off", F.abs("k").alias("k"), F.coalesce("doc_id", F.lit(0)).alias("d"), "rid", "size", "turn")).alias("m")).collect()
         if not got:
             break
         for x in got:
-            picked.append(-x.m.r)
-            gap[x.sid] -= x.m.size
+            picked[x.m.rid] = x.m.turn
+            gap[x.sid] -= x.m.turn * x.m.size
     if picked:
-        chosen = chosen.join(small(spark, rid=np.array(picked), pick=np.ones(len(picked), np.int32)), "rid", "left")
-        chosen = chosen.withColumn("extra", F.coalesce("pick", "extra"))
+        chosen = chosen.join(small(spark, rid=np.array([*picked]), turn=np.array([*picked.values()], np.int32)), "rid", "left")
+        chosen = chosen.withColumn("extra", F.col("extra") + F.coalesce("turn", F.lit(0)))
     out = chosen.join(small(spark, sid=sids, source_size=sums.astype(np.int64), target=targets), "sid").withColumn("copies", (F.col("base") + F.col("extra")).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
