@@ -40,7 +40,6 @@ PIECE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose popcounts a worker keeps; beyond that it starts anew.
 WORDS_KEPT = 300_000
-_words: dict[int, Words] = {}
 _letters: list[np.ndarray] = []
 
 
@@ -58,6 +57,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     is_letter = letters()[points]
     count = np.bincount(doc[is_letter], minlength=len(texts))
     keep = is_letter.copy()
+    if not keep.any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64), count
     keep[1:] |= is_letter[:-1]  # one blank after each word
     c, doc = np.where(is_letter, points, 0)[keep].astype(np.uint64), doc[keep]
     c, doc = np.r_[np.uint64(0), c], np.r_[doc[:1], doc]
@@ -106,9 +107,9 @@ class Model:
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. N-grams lie within words, so a word's popcounts are looked up once and kept."""
-        if len(_words.setdefault(id(self), Words())) > WORDS_KEPT:
-            _words[id(self)] = Words()
-        words = _words[id(self)]
+        words = self.__dict__.get("words")
+        if words is None or len(words) > WORDS_KEPT:
+            words = self.words = Words()
         places = [list(map(words.__getitem__, WORD.findall((t or "").lower()))) for t in texts]
         words.count(self)
         flat = np.fromiter(chain.from_iterable(places), np.int64)
@@ -142,6 +143,8 @@ class Words(dict):
         return n
 
     def count(self, model: Model) -> None:
+        if not self.new:
+            return
         k = len(model.languages)
         fresh = np.zeros((len(self.new), k + 2))
         codes, of, fresh[:, k + 1] = grams(self.new)

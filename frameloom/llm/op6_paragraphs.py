@@ -3,7 +3,9 @@
 Units are the paragraphs (lines) of a document with ``least`` words or more and, as passages also repeat inside
 longer paragraphs and over several, windows of ``window`` words from winnowed anchors: of any ``window + 1`` places
 in a row the one with the smallest shingle hash is an anchor, so two copies of a passage of twice as many words hold
-the same window. A unit's set are its five-word shingles, lower-cased. Bands of r minimum hashes are tuned for high
+the same window. Anchors so close that their windows would be near copies of each other are thinned to the lesser
+ones, and paragraphs are compared with paragraphs, windows with windows, so nothing repeats itself by overlapping.
+A unit's set are its five-word shingles, lower-cased. Bands of r minimum hashes are tuned for high
 recall: the fewest bands whose miss rate at the threshold is below ``miss``. Units that share a band with another
 one are joined, verified by their exact Jaccard similarity, and clustered into components; of each component the
 first unit by (doc_id, start) stays and the others go.
@@ -33,6 +35,8 @@ from frameloom.llm.common import BROADCAST_BYTES, Forest, components, cut, fits,
 from frameloom.llm.op8_suffix import BITS, NO_ID, Chunk, bits_table, by_block, each_chunk, pack, shared_bits, with_flags
 
 WIDTH = 5
+#: The least similarity that links; windows of one document are kept further apart than that.
+REACH = 0.8
 
 
 def tuned(threshold: float, miss: float, rows: int = 2) -> int:
@@ -90,13 +94,13 @@ class Units:
                 mins[k, len(s) :] = v[grid].min(axis=1)
         self.bands = np.empty((bands, len(self.s)), np.uint64)
         for b in range(bands):
-            x = np.full(len(self.s), b + 1, np.uint64)
+            x = self.window.astype(np.uint64) + np.uint64(2 * b + 1)  # paragraphs and windows aren't compared
             for r in range(rows):
                 x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + mins[b * rows + r])
             self.bands[b] = x
         # equal units have equal shingles in order
         total = np.r_[np.uint64(0), np.cumsum(mix64(self.h + np.uint64(1)))]
-        self.whole = mix64(total[self.e - WIDTH + 1] - total[self.s] + (self.e - self.s).astype(np.uint64)) if len(self.s) else np.empty(0, np.uint64)
+        self.whole = mix64(total[self.e - WIDTH + 1] - total[self.s] + (2 * (self.e - self.s) + self.window).astype(np.uint64)) if len(self.s) else np.empty(0, np.uint64)
 
     def anchors(self, doc: np.ndarray, n: int, window: int) -> np.ndarray:
         m = n - window + 1  # places where a window fits
@@ -117,6 +121,12 @@ class Units:
         for lag in range(span):
             i = place[: m - lag]
             picked[lag:] |= fits_in[lag:] & (v[lag:] == low[: m - lag]) & (begin[lag:] <= i)
+        # windows a few words apart would be near copies of each other: the lesser of two stays
+        apart = int((1 - REACH) * (window - WIDTH + 1) / (1 + REACH))
+        for lag in range(1, apart + 1):
+            both = picked[lag:] & picked[:-lag] & (doc[lag:m] == doc[: m - lag])
+            worse = np.where(v[lag:] < v[:-lag], place[:-lag], place[lag:])[both]
+            picked[worse] = False
         return np.flatnonzero(picked)
 
     def shingles(self, i: int) -> np.ndarray:
@@ -269,7 +279,7 @@ def verified_links(classes: DataFrame, threshold: float, block: int) -> DataFram
     return each.repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles").mapInArrow(linked, "a long, b long").distinct()
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 10, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = REACH, least: int = 10, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
     """docs(doc_id, text) -> a row for each unit that is in a component of two or more.
 
     (doc_id, start, end, words, is_window, component_id, component_start, n_units, removed): start and end in bytes;

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import BROADCAST_BYTES, cut, fits, mix64, shared_dir, table
+from frameloom.llm.common import BROADCAST_BYTES, cut, fits, mix64, release, shared_dir, table
 
 #: A perfect difference cover: any difference modulo PERIOD is one of two members of COVER.
 PERIOD = 57
@@ -296,7 +296,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, byt
     # a block sorts about three million samples, or what is a candidate of eight million suffixes
     sample_blocks, blocks = max(12, total // (20 << 20)), max(12, total // (8 << 20))
     flags = cut(sample_ranks(chunks, length, sample_blocks))
+    release(spark)
     runs = cut(suffix_runs(with_flags(chunks, flags), length, sample_blocks, blocks))
+    release(spark)
     out = cut_out(with_flags(chunks, flags.unionByName(runs)), length, sample_blocks, blocks, bytes_too)
     n = F.octet_length("text").cast("long")
     none = F.lit(hashlib.sha256(b"").hexdigest())
