@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 EVENT = "struct<action:string,objects:array<string>,scene:string,visual_evidence:string,frame_references:array<string>,confidence:string>"
 MODEL_JSON = f"clip_id bigint, clip_file string, actual_start_time string, actual_end_time string, summary string, visual_information_level string, setting string, main_subjects array<string>, events array<{EVENT}>, uncertain_parts array<string>, possible_hallucination_risks array<string>"
@@ -31,10 +32,7 @@ def brace_bounded(text: Column) -> Column:
     return F.when(found == "", t).otherwise(found)
 
 
-@pandas_udf("boolean")
-def json_ok(text: pd.Series) -> pd.Series:
-    """Whether a strict parser takes the text as one JSON value; trailing text isn't taken, NaN and repeated keys are."""
-
+def _parses(text: pd.Series) -> pd.Series:
     def ok(t):
         try:
             json.loads(t)
@@ -45,6 +43,11 @@ def json_ok(text: pd.Series) -> pd.Series:
     return text.map(ok)
 
 
+def json_ok(text: Column | str) -> Column:
+    """Whether a strict parser takes the text as one JSON value; trailing text isn't taken, NaN and repeated keys are."""
+    return pandas_udf(_parses, BooleanType())(text)
+
+
 def json_shape_ok(text: Column) -> Column:
     """A guard within the engine: it parses and ends where its braces close. Stricter than json_ok on NaN and repeated keys."""
     return F.coalesce(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*[\{\[].*[\}\]]\s*$"), F.lit(False))
