@@ -1,0 +1,76 @@
+"""The registered queries: against SQL where there is some, else against brute force or figures that must hold."""
+
+import hashlib
+import os
+import sys
+import zlib
+
+import duckdb
+import pytest
+
+from frameloom.llm import registry
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+from held import DATA, assert_same  # noqa: E402
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+
+
+def table(name, columns):
+    return duckdb.sql(f"SELECT {columns} FROM '{DATA}/{name}.parquet'").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_against_sql(spark, name):
+    assert_same(spark, registry.queries()[name], registry.oracle_sql()[name])
+
+
+def test_all_are_registered():
+    names = set(registry.queries())
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+
+
+def test_languages_held_out(spark):
+    out = {r.doc_id: r for r in registry.queries()["op1_langid"](spark, DATA).collect()}
+    docs = table("documents", "doc_id, lang")
+    assert len(out) == len(docs)
+    assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in docs)
+    held = [out[i].lang_pred == lang for i, lang in docs if out[i].held_out and lang is not None]
+    assert sum(held) >= 0.95 * len(held)
+
+
+def test_suffixes_of_whole_table(spark):
+    from test_data_operators import slow_removal
+
+    want = slow_removal(table("documents", "doc_id, text"))
+    got = {r.doc_id: tuple(r)[1:] for r in registry.queries()["op8_suffix"](spark, DATA).collect()}
+    assert got == {i: x[:4] for i, x in want.items()}
+
+
+def test_secrets_of_whole_table(spark):
+    from test_text_operators import base_spans
+
+    kinds = ("assign", "access", "hex")
+    got = {r.doc_id: r for r in registry.queries()["op10_secrets"](spark, DATA).collect()}
+    for i, t in table("documents", "doc_id, text"):
+        base = base_spans(t or "")
+        text = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in base)
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[i].n_hex == sum(k == 2 for _, k, _ in base)
+        assert set(text.split(",")) <= set(got[i].spans.split(","))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, DATA).collect()
+    ids = {r.doc_id for r in out}
+    docs = table("documents", "doc_id, text")
+    assert len(ids) == len(out) and ids <= {i for i, _ in docs}
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(t, i)
+    assert ids <= set(first.values())  # no exact copies
+    items = [t for (t,) in table("benchmark", "text")]
+    leaky = {i for i, t in docs if any(x in t for x in items)}
+    assert not ids & leaky and len(ids) >= 0.95 * len(set(first.values()) - leaky)
+    assert all(r.taken == r.copies * r.size for r in out)
