@@ -38,7 +38,7 @@ def with_flags(frames: DataFrame) -> DataFrame:
             "duplicate": flag(F.col("similarity") >= SIMILAR, 0),
         }
     )
-    names = (("blurry", "blurry"), ("low_entropy", "low entropy"), ("dark_or_bright", "too dark or bright"), ("duplicate", "near duplicate"))
+    names = (("blurry", "blurry"), ("low_entropy", "low entropy"), ("dark_or_bright", "too dark/bright"), ("duplicate", "near duplicate"))
     why = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == 1, label) for c, label in names])), "; ")
     out = out.withColumn("low_info", F.greatest(*[F.col(c) for c, _ in names]))
     return out.withColumn("low_info_reason", F.when(gone, "missing image").otherwise(why))

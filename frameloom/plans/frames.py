@@ -237,7 +237,7 @@ def flagged(spark, sf_dir):
 
 
 @query(FLAGS + """SELECT clip_id, frame_index, blurry, low_entropy, dark_or_bright, duplicate, greatest(blurry, low_entropy, dark_or_bright, duplicate) AS low_info,
-CASE WHEN gone THEN 'missing image' ELSE concat_ws('; ', CASE WHEN blurry = 1 THEN 'blurry' END, CASE WHEN low_entropy = 1 THEN 'low entropy' END, CASE WHEN dark_or_bright = 1 THEN 'too dark or bright' END, CASE WHEN duplicate = 1 THEN 'near duplicate' END) END AS low_info_reason FROM fl""")
+CASE WHEN gone THEN 'missing image' ELSE concat_ws('; ', CASE WHEN blurry = 1 THEN 'blurry' END, CASE WHEN low_entropy = 1 THEN 'low entropy' END, CASE WHEN dark_or_bright = 1 THEN 'too dark/bright' END, CASE WHEN duplicate = 1 THEN 'near duplicate' END) END AS low_info_reason FROM fl""")
 def q_quality_flags(spark, sf_dir):
     return flagged(spark, sf_dir).select("clip_id", "frame_index", "blurry", "low_entropy", "dark_or_bright", "duplicate", "low_info", "low_info_reason")
 

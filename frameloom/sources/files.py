@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import columns as C
 from frameloom.functions.jsontext import json_ok
 
 VIDEO = "*.{mp4,mov,mkv,avi,webm,MP4,MOV,MKV,AVI,WEBM}"
-IMAGE = "*.{jpg,jpeg,png,webp,bmp,JPG,JPEG,PNG}"
+IMAGE = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
 #: Names by which records call a clip's id and its summary, in the order they are tried.
-ID_NAMES = ("clip_id", "id", "clip", "video_id", "clip_name", "name", "file", "filename")
-SUMMARY_NAMES = ("summary", "generated_summary", "model_summary", "description", "caption", "text", "output", "response")
-EXCLUDED_PARTS = (".git", "__pycache__", ".cache", ".ipynb_checkpoints")
+ID_NAMES = ("clip_id", "clip", "id", "name", "video", "file", "filename")
+SUMMARY_NAMES = ("summary", "caption", "description", "output", "answer", "response")
+#: What lines and tables may call them besides.
+MORE_ID_NAMES, MORE_SUMMARY_NAMES = ("video_path", "clip_path"), ("result",)
+TABLE_ID_NAMES = ("clip_id", "clip", "id", "name", "file", "filename", "video", "video_path", "clip_path")
+TABLE_SUMMARY_NAMES = ("summary", "caption", "description", "output", "answer", "text", "response", "result")
+#: Folders that a bundle leaves out.
+EXCLUDED_PARTS = (".git", ".idea", ".vscode", ".pytest_cache", "__pycache__", "evaluation", "src", "tests", "outputs", "episodes", "logs", "notebooks", ".venv", "venv", "env")
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, content: bool = False) -> DataFrame:
@@ -69,7 +74,6 @@ def bundle_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, gray array<int>) of images; ones that can't be read have null gray."""
     df = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
-    at = lambda i: F.ascii(F.substring("data", i, 1))  # noqa: E731,F841
     byte = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("int")
     n = F.col("nChannels")
     pixel = lambda p: F.when(n == 1, byte(p + 1)).otherwise(F.bround(0.114 * byte(p * n + 1) + 0.587 * byte(p * n + 2) + 0.299 * byte(p * n + 3)).cast("int"))
@@ -77,22 +81,25 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("origin").alias("path"), "height", "width", gray.alias("gray"))
 
 
-def filled(value) -> "F.Column":
-    """A value, or null if it is blank, 0 or false as text: these fall through to the next name."""
-    text = F.trim(value.cast("string"))
-    return F.when((text != "") & ~text.isin("0", "0.0", "false", "null"), text)
+def filled(record: Column, name: str) -> Column:
+    """A record's value as text; null, zero, false and the empty text fall through to the next name, text of a zero doesn't."""
+    text = F.try_variant_get(record, f"$.{name}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant"))
+    blank = (text == "") | ((kind != "STRING") & text.isin("0", "0.0", "-0.0", "false"))
+    return F.when(~blank, text)
 
 
-def coalesced(record, names) -> "F.Column":
-    return F.coalesce(*[filled(F.try_variant_get(record, f"$.{n}", "string")) for n in names])
+def coalesced(record: Column, names: tuple[str, ...]) -> Column:
+    return F.coalesce(*[filled(record, n) for n in names])
 
 
-def summaries_of(records: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """records(v variant[, key]) -> (clip_id, summary) by the names that records use; without an id a record is left out."""
-    key = filled(F.col("key")) if "key" in records.columns else F.lit(None).cast("string")
-    text = F.when(F.schema_of_variant("v") == "STRING", F.col("v").cast("string"))
-    out = records.select(F.coalesce(coalesced(F.col("v"), (*ID_NAMES, *more)), key).alias("raw"), F.coalesce(coalesced(F.col("v"), SUMMARY_NAMES), text, F.lit("")).alias("summary"))
-    return out.where("raw is not null").select(C.normalize_clip_id(F.col("raw")).alias("clip_id"), "summary")
+def summaries_of(records: DataFrame, more_ids: tuple[str, ...] = (), more_summaries: tuple[str, ...] = ()) -> DataFrame:
+    """records(v variant[, key]) -> (clip_id, summary): a map's key is the id, else what the record calls it; without one it is left out."""
+    key = F.col("key") if "key" in records.columns else F.lit(None).cast("string")
+    plain = ~F.schema_of_variant("v").startswith("OBJECT")
+    summary = F.when(key.isNotNull() & plain, F.try_variant_get("v", "$", "string")).otherwise(F.coalesce(coalesced(F.col("v"), SUMMARY_NAMES + more_summaries), F.lit("")))
+    out = records.where(key.isNotNull() | ~plain).select(F.coalesce(key, coalesced(F.col("v"), ID_NAMES + more_ids)).alias("raw"), summary.alias("summary"))
+    return out.where("raw is not null").select(C.normalize_clip_id(F.col("raw")).alias("clip_id"), F.coalesce("summary", F.lit("")).alias("summary"))
 
 
 def scan_summaries(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -106,11 +113,11 @@ def scan_summaries(spark: SparkSession, path: str, kind: str) -> DataFrame:
         out = summaries_of(rows)
     elif kind == "jsonl":
         lines = spark.read.text(path).where(json_ok("value") & F.col("value").rlike(r"^\s*\{")).select(F.try_parse_json("value").alias("v")).where("v is not null")
-        out = summaries_of(lines, ("video_path", "clip_path"))
+        out = summaries_of(lines, MORE_ID_NAMES, MORE_SUMMARY_NAMES)
     elif kind == "csv":
         df = spark.read.csv(path, header=True, multiLine=True, escape='"')
         names = {c.lstrip("﻿").strip().lower(): c for c in df.columns}
-        ids, texts = ([names[n] for n in wanted if n in names] for wanted in (ID_NAMES, SUMMARY_NAMES))
+        ids, texts = ([names[n] for n in wanted if n in names] for wanted in (TABLE_ID_NAMES, TABLE_SUMMARY_NAMES))
         if not ids or not texts:
             raise ValueError(f"no column for the id or the summary in {df.columns}")
         out = df.select(C.normalize_clip_id(F.col(f"`{ids[0]}`")).alias("clip_id"), F.coalesce(F.col(f"`{texts[0]}`"), F.lit("")).alias("summary"))
@@ -121,3 +128,13 @@ def scan_summaries(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     df.select(*(columns or df.columns)).write.mode("overwrite").csv(path, header=True)
+
+
+def read_csv(spark: SparkSession, path: str, needed: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
+    """A table with a header; a byte-order mark is dropped from the first name; an error if a needed column isn't there."""
+    df = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, multiLine=True, escape='"')
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    lost = [c for c in needed if c not in df.columns]
+    if lost:
+        raise ValueError(f"columns {lost} aren't in {path}")
+    return df

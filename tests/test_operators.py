@@ -109,7 +109,7 @@ def test_merge_ranking(spark):
 def test_quality_and_coverage(spark):
     f = spark.createDataFrame([(1, None, None, None, 0.99), (2, 79.9, 4.2, 25.0, 0.96), (3, 80.0, 4.1, 236.0, 0.5), (4, None, 5.0, 100.0, None)], "id int, sharpness double, entropy double, brightness double, similarity double")
     got = {r.id: (r.blurry, r.low_entropy, r.dark_or_bright, r.duplicate, r.low_info, r.low_info_reason) for r in E.with_flags(f).collect()}
-    assert got == {1: (1, 1, 1, 0, 1, "missing image"), 2: (1, 0, 0, 1, 1, "blurry; near duplicate"), 3: (0, 1, 1, 0, 1, "low entropy; too dark or bright"), 4: (0, 0, 0, 0, 0, "")}
+    assert got == {1: (1, 1, 1, 0, 1, "missing image"), 2: (1, 0, 0, 1, 1, "blurry; near duplicate"), 3: (0, 1, 1, 0, 1, "low entropy; too dark/bright"), 4: (0, 0, 0, 0, 0, "")}
     events = spark.createDataFrame([(1, 3.0), (1, 9.0)], "clip_id int, timestamp double")
     keys = spark.createDataFrame([(1, 4.0), (2, 1.0)], "clip_id int, timestamp double")
     assert {r.clip_id: (r.n_events, r.n_covered, r.coverage) for r in E.motion_coverage(events, keys).collect()} == {1: (2, 1, 0.5), 2: (0, 0, None)}

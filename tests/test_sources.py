@@ -58,20 +58,23 @@ def test_listings(spark, tmp_path):
 
 
 def test_summaries(spark, tmp_path):
-    (tmp_path / "list.json").write_text('[{"clip_id": "clip-01", "summary": "one"}, {"clip_id": 0, "id": "clip_7", "caption": "c"}, {"summary": "lost"}]')
+    (tmp_path / "list.json").write_text('[{"clip_id": "clip-01", "summary": "one"}, {"clip_id": 0, "id": "clip_7", "caption": "c"}, {"clip": "0", "summary": ""}, {"summary": "lost"}, "text"]')
     (tmp_path / "map.json").write_text('{"clip_02": {"summary": "two"}, "clip_03": "three"}')
     (tmp_path / "l.jsonl").write_text('{"video_path": "/x/clip_05.mp4", "output": "o"}\nbad\n[1]\n')
     (tmp_path / "s.csv").write_text('﻿Clip_ID,Summary\nclip_08,"a, b"\nclip_06,\n')
     (tmp_path / "d").mkdir()
     (tmp_path / "d/clip_09.txt").write_text("  text \n")
     read = lambda name, kind: [tuple(r) for r in L.scan_summaries(spark, str(tmp_path / name), kind).collect()]
-    assert read("list.json", "json") == [("clip_01", "one"), ("clip_7", "c")]
+    assert read("list.json", "json") == [("0", ""), ("clip_01", "one"), ("clip_7", "c")]
     assert read("map.json", "json") == [("clip_02", "two"), ("clip_03", "three")]
     assert read("l.jsonl", "jsonl") == [("clip_05", "o")]
     assert read("s.csv", "csv") == [("clip_06", ""), ("clip_08", "a, b")]
     assert read("d", "folder") == [("clip_09", "text")]
     with pytest.raises(ValueError):
         read("d", "other")
+    assert L.read_csv(spark, str(tmp_path / "s.csv"), ("Clip_ID",)).columns == ["Clip_ID", "Summary"]
+    with pytest.raises(ValueError):
+        L.read_csv(spark, str(tmp_path / "s.csv"), ("none",))
 
 
 def test_job_state_stream(spark, tmp_path):
