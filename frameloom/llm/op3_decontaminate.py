@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import cut, fits, table
+from frameloom.llm.common import BROADCAST_BYTES, cut, fits, table
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -73,7 +73,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
     kept = F.floor((1 - threshold) * most + 1e-9) + 1
     rank = F.row_number().over(Window.partitionBy("item").orderBy("h", "s"))
     sketch = cut(each.withColumn("h", hashed).withColumn("r", rank).where(F.col("r") <= kept).select("h", "width").distinct())
-    small = fits(sketch, 64) and fits(whole.select("item"), 4096)
+    small = fits(sketch, 64) and (each.agg(F.sum(F.octet_length("s") + 64)).first()[0] or 0) < BROADCAST_BYTES
 
     found = None
     texts = docs.select("doc_id", tokens(F.col("text")).alias("w"))
