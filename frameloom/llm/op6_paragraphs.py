@@ -1,14 +1,13 @@
 """Repeated and nearly repeated passages by paragraph MinHash banding.
 
-Units are the paragraphs (lines) of a document with ``least`` words or more and, as passages also repeat inside
-longer paragraphs and over several, windows of ``window`` words from winnowed anchors: of any ``window + 1`` places
-in a row the one with the smallest shingle hash is an anchor, so two copies of a passage of twice as many words hold
-the same window. Anchors so close that their windows would be near copies of each other are thinned to the lesser
-ones, and paragraphs are compared with paragraphs, windows with windows, so nothing repeats itself by overlapping.
-A unit's set are its five-word shingles, lower-cased. Bands of r minimum hashes are tuned for high
-recall: the fewest bands whose miss rate at the threshold is below ``miss``. Units that share a band with another
-one are joined, verified by their exact Jaccard similarity, and clustered into components; of each component the
-first unit by (doc_id, start) stays and the others go.
+Units are the paragraphs (lines) of a document with ``least`` words or more. A paragraph's set are its five-word
+shingles, lower-cased. Bands of r minimum hashes are tuned for high recall: the fewest bands whose miss rate at the
+threshold is below ``miss``. Paragraphs that share a band with another one are joined, verified by their exact Jaccard
+similarity, and clustered into components; of each component the first unit by (doc_id, start) stays, the others go.
+
+As passages also repeat inside longer paragraphs and over several, windows of ``window`` words from winnowed anchors
+are units too: of any ``window + 1`` places in a row the one with the smallest shingle hash is an anchor, so two
+copies of a passage of twice as many words hold the same window. Windows overlap, so they are joined as equals only.
 
 Bands are told apart from those nobody shares before anything is joined: chunks of documents send each block of
 hashes their distinct ones and get a bit back for each (see op8_suffix). Equal units are one class from then on. A
@@ -35,8 +34,6 @@ from frameloom.llm.common import BROADCAST_BYTES, Forest, components, cut, fits,
 from frameloom.llm.op8_suffix import BITS, NO_ID, Chunk, bits_table, by_block, each_chunk, pack, shared_bits, with_flags
 
 WIDTH = 5
-#: The least similarity that links; windows of one document are kept further apart than that.
-REACH = 0.8
 
 
 def tuned(threshold: float, miss: float, rows: int = 2) -> int:
@@ -82,19 +79,17 @@ class Units:
         self.doc = doc[self.s] if len(self.s) else np.empty(0, np.int64)
         self.start = at[self.s] - c.starts[self.doc] if len(self.s) else self.s
         self.end = at[self.e - 1] + size[self.e - 1] - c.starts[self.doc] if len(self.s) else self.s
-        mins = np.empty((bands * rows, len(self.s)), np.uint64)
+        # paragraphs come first in s and e; only they have bands
+        mins = np.empty((bands * rows, len(s)), np.uint64)
         rng = np.random.default_rng(7)
-        grid = w[:, None] + np.arange(window - WIDTH + 1)
         cuts = np.stack([s, e - WIDTH + 1], axis=1).ravel() if len(s) else np.empty(0, np.int64)
         for k in range(bands * rows):
             v = mix64(self.h ^ np.uint64(rng.integers(0, 1 << 63)))
             if len(s):
-                mins[k, : len(s)] = np.minimum.reduceat(np.r_[v, np.uint64(0)], cuts)[::2]
-            if len(w):
-                mins[k, len(s) :] = v[grid].min(axis=1)
-        self.bands = np.empty((bands, len(self.s)), np.uint64)
+                mins[k] = np.minimum.reduceat(np.r_[v, np.uint64(0)], cuts)[::2]
+        self.bands = np.empty((bands, len(s)), np.uint64)
         for b in range(bands):
-            x = self.window.astype(np.uint64) + np.uint64(2 * b + 1)  # paragraphs and windows aren't compared
+            x = np.full(len(s), b + 1, np.uint64)
             for r in range(rows):
                 x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + mins[b * rows + r])
             self.bands[b] = x
@@ -121,12 +116,6 @@ class Units:
         for lag in range(span):
             i = place[: m - lag]
             picked[lag:] |= fits_in[lag:] & (v[lag:] == low[: m - lag]) & (begin[lag:] <= i)
-        # windows a few words apart would be near copies of each other: the lesser of two stays
-        apart = int((1 - REACH) * (window - WIDTH + 1) / (1 + REACH))
-        for lag in range(1, apart + 1):
-            both = picked[lag:] & picked[:-lag] & (doc[lag:m] == doc[: m - lag])
-            worse = np.where(v[lag:] < v[:-lag], place[:-lag], place[lag:])[both]
-            picked[worse] = False
         return np.flatnonzero(picked)
 
     def shingles(self, i: int) -> np.ndarray:
@@ -136,7 +125,7 @@ class Units:
 def keys_of(u: Units, blocks: int) -> tuple[np.ndarray, ...]:
     """Distinct (band, unit) of a chunk in the order of block and band: low halves, blocks, and where each band of each unit is."""
     bands = u.bands.ravel()
-    whole = np.tile(u.whole, len(u.bands))
+    whole = np.tile(u.whole[: u.bands.shape[1]], len(u.bands))
     block = (bands >> np.uint64(32)) % np.uint64(blocks)
     order = np.lexsort((whole, bands & np.uint64(0xFFFFFFFF), block))
     b, w, o = bands[order], whole[order], block[order]
@@ -200,7 +189,8 @@ def found_units(chunks: DataFrame, blocks: int, units) -> DataFrame:
         for row in each_chunk(batches):
             u = units(row)
             _, _, of, where = keys_of(u, blocks)
-            near = shared_bits(row["flags"], 0, of)[where] if len(u.s) else np.zeros(u.bands.shape, bool)
+            near = np.zeros((len(u.bands), len(u.s)), bool)
+            near[:, : u.bands.shape[1]] = shared_bits(row["flags"], 0, of)[where] if u.bands.size else False
             _, of, where, n = wholes_of(u, blocks)
             again = (shared_bits(row["flags"], 1, of) | (n > 1))[where]
             at = np.flatnonzero(near.any(axis=0) | again)
@@ -279,7 +269,7 @@ def verified_links(classes: DataFrame, threshold: float, block: int) -> DataFram
     return each.repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles").mapInArrow(linked, "a long, b long").distinct()
 
 
-def repeated_passages(docs: DataFrame, threshold: float = REACH, least: int = 10, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 10, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
     """docs(doc_id, text) -> a row for each unit that is in a component of two or more.
 
     (doc_id, start, end, words, is_window, component_id, component_start, n_units, removed): start and end in bytes;
