@@ -158,7 +158,7 @@ class Words(dict):
         self.new = []
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 4000, profile: int = 20000, ratio: float = 0.6, probes: int = 4, bits: int = 16) -> Model | None:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 1000, profile: int = 20000, ratio: float = 0.6, probes: int = 4, bits: int = 16) -> Model | None:
     """A model of the languages of docs; see the module for the bounds."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
@@ -176,8 +176,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 of = np.array([names.index(x) for x in langs[i:j]])
                 for one in np.unique(of):
                     mine = of[doc] == one
-                    pair = np.unique(np.stack([codes[mine], doc[mine].astype(np.uint64)]), axis=1)  # a document counts once
-                    code, n = np.unique(pair[0], return_counts=True)
+                    order = np.argsort(codes[mine], kind="stable")
+                    code, place = codes[mine][order], doc[mine][order]
+                    new = np.r_[True, code[1:] != code[:-1]]
+                    counts = np.cumsum(new | np.r_[True, place[1:] != place[:-1]])  # a document counts once
+                    last = np.flatnonzero(np.r_[new[1:], True])
+                    code, n = code[last], np.diff(np.r_[0, counts[last]])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), one, np.int32)), pa.array(code.view(np.int64)), pa.array(n)], ["l", "code", "n"])
 
     seen = cut(drawn.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(counted, "l int, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n")))
