@@ -176,6 +176,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 of = np.array([names.index(x) for x in langs[i:j]])
                 for one in np.unique(of):
                     mine = of[doc] == one
+                    if not mine.any():
+                        continue
                     order = np.argsort(codes[mine], kind="stable")
                     code, place = codes[mine][order], doc[mine][order]
                     new = np.r_[True, code[1:] != code[:-1]]
