@@ -238,12 +238,13 @@ def band_links(sets: list[frozenset], threshold: float) -> list[tuple[int, int]]
     return forest.edges
 
 
-def verified_links(classes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """classes(unit, bands, shingles), distinct units -> (a, b)."""
+def verified_links(classes: DataFrame, threshold: float, block: int, most: int = 1 << 20) -> DataFrame:
+    """classes(unit, bands, shingles), distinct units -> (a, b). Blocks hold about block classes or most shingles."""
     each = classes.select("unit", "shingles", F.explode("bands").alias("band"))
-    hot = cut(each.groupBy("band").count().where(F.col("count") > block))
+    hot = each.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("shingles")) / most)).alias("parts"))
+    hot = cut(hot.where("parts > 1"))
     each = each.join(F.broadcast(hot) if fits(hot, 16) else hot, "band", "left")
-    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    parts = F.coalesce("parts", F.lit(1)).cast("int")
     each = each.select("unit", "shingles", "band", parts.alias("parts"), F.pmod(F.xxhash64("unit"), parts).cast("int").alias("mine"))
     each = each.select("unit", "shingles", "band", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = each.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "unit", "shingles")
