@@ -2,7 +2,8 @@
 
 Base spans are the matches of the patterns of KINDS (leftmost, not overlapping, by kind; failing ones dropped
 after matching). The method adds spans of kind ``random``: every maximal run of 20 or more characters of
-``[A-Za-z0-9+/_=-]`` that holds a digit and a letter. Its encoding is inferred as the smallest alphabet that
+``[A-Za-z0-9+/_-]``, with ``=`` after it only as padding, that holds a digit and a letter; a run that no alphabet
+holds, as it mixes ``-_`` with ``+/``, is split at either pair, and the pieces of both splits are tested. Its encoding is inferred as the smallest alphabet that
 holds it (hex, HEX, base32, alnum36 in one case, base64) and three tests are made under the hypothesis that
 its characters are drawn evenly and on their own: chi-squared uniformity over the alphabet (Wilson-Hilferty),
 runs above and below the alphabet's middle, and lag-1 serial correlation (both normal). Their p-values are
@@ -26,7 +27,11 @@ from frameloom.llm.common import cut, fits, table
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: = is padding only where no other character of a run follows; else it parts a name from its value.
+PADDING = r"(?:=++(?![A-Za-z0-9+/_-]))?"
+RUN = r"[A-Za-z0-9+/_-]{20,}" + PADDING
+#: The pieces of runs that mix the two families of separators.
+PIECES = (r"[A-Za-z0-9+/]{20,}" + PADDING, r"[A-Za-z0-9_-]{20,}" + PADDING)
 #: In the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {
@@ -137,8 +142,15 @@ def find_spans(docs: DataFrame, alpha: float = 0.01, keys: tuple[str, ...] = ("d
         F.when(text.rlike(ACCESS), spans(text, ACCESS, 1)).otherwise(F.array().cast(SPAN)),
         F.when(text.rlike(HEX), spans(text, HEX, 2)).otherwise(F.array().cast(SPAN)),
     ))
-    may = F.when(text.rlike(RUN), F.filter(spans(text, RUN, 3), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))).otherwise(F.array().cast(SPAN))
-    found = cut(docs.select(*keys, F.monotonically_increasing_id().alias("rid"), base.alias("base"), may.alias("may")))
+    none = F.array().cast(SPAN)
+    whole = F.when(text.rlike(RUN), F.filter(spans(text, RUN, 3), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))).otherwise(none)
+    mixed = lambda x: x["v"].rlike("[+/]") & x["v"].rlike("[_-]")
+    within = lambda x: F.exists(F.filter("whole", mixed), lambda m: (m["s"] <= x["s"]) & (x["e"] <= m["e"]))
+    pieces = F.filter(F.concat(*(spans(text, p, 3) for p in PIECES)), within)
+    may = F.when(F.exists("whole", mixed), F.array_distinct(F.concat(F.filter("whole", lambda x: ~mixed(x)), pieces))).otherwise(F.col("whole"))
+    # what a run is tested on is made once, as pieces hang on it
+    found = docs.select(*keys, text.alias("text"), base.alias("base"), whole.alias("whole"))
+    found = cut(found.select(*keys, F.monotonically_increasing_id().alias("rid"), "base", may.alias("may")))
     runs = classed(with_p(found.where(F.size("may") > 0).select("rid", F.explode("may").alias("x")).select("rid", "x", F.col("x.v").alias("v"))))
     runs = cut(runs.select("rid", "x", "v", "encoding", "len_class", "bin"))
     # a few classes of at most BINS bins: 7 encodings by the number of binary lengths of a string
