@@ -1,7 +1,7 @@
 """Repeated and nearly repeated passages by paragraph MinHash banding.
 
 Units are the paragraphs (lines) of a document with ``least`` words or more. A paragraph's set are its five-word
-shingles, lower-cased. Bands of r minimum hashes are tuned for high recall: the fewest bands whose miss rate at the
+shingles, lower-cased; one of fewer words has all of them as one shingle. Bands of r minimum hashes are tuned for high recall: the fewest bands whose miss rate at the
 threshold is below ``miss``. Paragraphs that share a band with another one are joined, verified by their exact Jaccard
 similarity, and clustered into components; of each component the first unit by (doc_id, start) stays, the others go.
 
@@ -69,12 +69,23 @@ class Units:
         new = np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])] if n else np.empty(0, bool)
         s = np.flatnonzero(new)
         e = np.r_[s[1:], n].astype(np.int64)
-        ok = e - s >= max(least, WIDTH)
+        ok = e - s >= least
         s, e = s[ok], e[ok]
+        # a paragraph of fewer words has all of them as one shingle, after those of places
+        few = np.flatnonzero(e - s < WIDTH)
+        x = np.zeros(len(few), np.uint64)
+        for j in range(WIDTH - 1):
+            on = (e - s)[few] > j
+            x[on] = x[on] * np.uint64(0x9E3779B97F4A7C15) + word[s[few][on] + j]
+        self.h = np.r_[self.h, mix64(x ^ mix64((e - s)[few].astype(np.uint64)))]
+        lo, hi = s.copy(), e - WIDTH + 1
+        lo[few] = m + np.arange(len(few))
+        hi[few] = lo[few] + 1
         # windows: from the least shingle of each run of places within a document
         w = self.anchors(doc, n, window)
         self.s = np.r_[s, w].astype(np.int64)
         self.e = np.r_[e, w + window].astype(np.int64)
+        self.lo, self.hi = np.r_[lo, w].astype(np.int64), np.r_[hi, w + window - WIDTH + 1].astype(np.int64)
         self.window = np.r_[np.zeros(len(s), bool), np.ones(len(w), bool)]
         self.doc = doc[self.s] if len(self.s) else np.empty(0, np.int64)
         self.start = at[self.s] - c.starts[self.doc] if len(self.s) else self.s
@@ -82,7 +93,7 @@ class Units:
         # paragraphs come first in s and e; only they have bands
         mins = np.empty((bands * rows, len(s)), np.uint64)
         rng = np.random.default_rng(7)
-        cuts = np.stack([s, e - WIDTH + 1], axis=1).ravel() if len(s) else np.empty(0, np.int64)
+        cuts = np.stack([lo, hi], axis=1).ravel() if len(s) else np.empty(0, np.int64)
         for k in range(bands * rows):
             v = mix64(self.h ^ np.uint64(rng.integers(0, 1 << 63)))
             if len(s):
@@ -95,7 +106,7 @@ class Units:
             self.bands[b] = x
         # equal units have equal shingles in order
         total = np.r_[np.uint64(0), np.cumsum(mix64(self.h + np.uint64(1)))]
-        self.whole = mix64(total[self.e - WIDTH + 1] - total[self.s] + (2 * (self.e - self.s) + self.window).astype(np.uint64)) if len(self.s) else np.empty(0, np.uint64)
+        self.whole = mix64(total[self.hi] - total[self.lo] + (2 * (self.e - self.s) + self.window).astype(np.uint64)) if len(self.s) else np.empty(0, np.uint64)
 
     def anchors(self, doc: np.ndarray, n: int, window: int) -> np.ndarray:
         m = n - window + 1  # places where a window fits
@@ -119,7 +130,7 @@ class Units:
         return np.flatnonzero(picked)
 
     def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self.h[self.s[i] : self.e[i] - WIDTH + 1])
+        return np.unique(self.h[self.lo[i] : self.hi[i]])
 
 
 def keys_of(u: Units, blocks: int) -> tuple[np.ndarray, ...]:
@@ -270,7 +281,7 @@ def verified_links(classes: DataFrame, threshold: float, block: int, most: int =
     return each.repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles").mapInArrow(linked, "a long, b long").distinct()
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 10, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 1, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
     """docs(doc_id, text) -> a row for each unit that is in a component of two or more.
 
     (doc_id, start, end, words, is_window, component_id, component_start, n_units, removed): start and end in bytes;
