@@ -102,14 +102,15 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
 
 
 def http_parts(url: str, content: bytes) -> tuple[bytes, bytes]:
-    """(HTTP header with its blank line, payload); no header for other schemes."""
-    if not url.lower().startswith(("http://", "https://", "urn:page:")) or not content.startswith(b"HTTP/"):
+    """(HTTP header with its blank line, payload); no header for other schemes, but where the page's key in it says that we wrote it."""
+    if not content.startswith(b"HTTP/"):
         return b"", content
+    fetched = url.lower().startswith(("http://", "https://", "urn:page:"))
     for gap in (b"\r\n\r\n", b"\n\n"):
         head, sep, body = content.partition(gap)
-        if sep:
+        if sep and (fetched or header_field(head, KEY) is not None):
             return head + sep, body
-    return content, b""
+    return (content, b"") if fetched else (b"", content)
 
 
 def header_field(head: bytes, name: str) -> str | None:
@@ -195,7 +196,7 @@ def pages_as_arc(batches: Iterator[pa.RecordBatch], version: int, date: str, mos
     for b in batches:
         for page, url, html in zip(*(c.to_pylist() for c in b.columns)):
             body = (html or "").encode("utf-8", "surrogatepass")
-            key = "" if page is None else f"{KEY}: {page}\r\n"
+            key = f"{KEY}: {'' if page is None else page}\r\n"  # empty for a null id: it tells that the header is ours
             head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(body)}\r\n\r\n".encode()
             name = re.sub(r"[\s\x00-\x1f]", lambda m: "".join(f"%{c:02X}" for c in m[0].encode()), url) if url else f"urn:page:{page}"
             held.append(ArcRecord(name, "0.0.0.0", date, "text/html", head + body))
