@@ -191,34 +191,6 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> Data
     return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def listed(spans_col: str) -> Column:
-    name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
-    return F.array_join(F.transform(spans_col, lambda x: F.concat_ws(":", name(x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-
-def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01) -> DataFrame:
-    """docs with every span of text replaced by mask (overlapping spans by one), n_chars made anew where it is a column.
-
-    Spans hang on the text alone, so they are joined by two hashes of it: ids may repeat or be null. Documents
-    without spans are left as they are, nulls too.
-    """
-    hashes = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit("text"), "text").alias("_h2")]
-    kept = find_spans(docs.select(*hashes, "text"), alpha, ("_h1", "_h2")).where(F.size("spans") > 0)
-    kept = cut(kept.select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("_spans")).dropDuplicates(["_k1", "_k2"]))
-    kept = F.broadcast(kept) if fits(kept, 512) else kept
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["e"]).alias("at"),
-        F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-    )
-    clean = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = docs.withColumns({"_h1": hashes[0], "_h2": hashes[1]})
-    out = out.join(kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left").withColumn("text", F.when(F.col("_k1").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_k1").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
-
-
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")

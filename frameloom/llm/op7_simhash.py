@@ -133,14 +133,6 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, most: in
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_copies(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
-    """docs less all but one document of each component, the one of the least id; rows with null ids stay."""
-    named = simhash_components(docs.select("doc_id", "text"), width, seed, most)
-    gone = cut(named.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct())
-    gone = F.broadcast(gone) if fits(gone, 32) else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

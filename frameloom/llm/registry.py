@@ -1,17 +1,17 @@
-"""The queries and SQL of the corpus operators, gathered from their modules."""
+"""The queries and SQL of the corpus operators, gathered from their modules.
 
-from importlib import import_module
+Everything is imported here, so that whoever guards this import guards all of it.
+"""
 
-MODULES = ("op1_langid", "op2_warc", "op3_decontaminate", "op4_topk", "op5_mix", "op6_paragraphs", "op7_simhash", "op8_suffix", "op9_html", "op10_secrets")
+import corpus_pipeline  # beside the entry points
+from frameloom.llm import op1_langid, op2_warc, op3_decontaminate, op4_topk, op5_mix, op6_paragraphs, op7_simhash, op8_suffix, op9_html, op10_secrets
 
+MODULES = (op1_langid, op2_warc, op3_decontaminate, op4_topk, op5_mix, op6_paragraphs, op7_simhash, op8_suffix, op9_html, op10_secrets)
 
-def queries() -> dict:
-    import corpus_pipeline  # beside the entry points
 
-    return {"pipeline": corpus_pipeline.run} | {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").QUERIES.items()}
+def queries() -> dict:
+    return {"pipeline": corpus_pipeline.run} | {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    import corpus_pipeline
-
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {name: q for m in MODULES for name, q in import_module(f"frameloom.llm.{m}").ORACLES.items()}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {name: q for m in MODULES for name, q in m.ORACLES.items()}

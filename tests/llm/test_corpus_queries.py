@@ -2,17 +2,15 @@
 
 import hashlib
 import os
-import sys
 import zlib
 
 import duckdb
 import pytest
+from held import DATA, assert_same
+from slow import base_spans, slow_removal
 
 from frameloom.llm import registry
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
-from held import DATA, assert_same  # noqa: E402
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 
@@ -40,16 +38,12 @@ def test_languages_held_out(spark):
 
 
 def test_suffixes_of_whole_table(spark):
-    from test_data_operators import slow_removal
-
     want = slow_removal(table("documents", "doc_id, text"))
     got = {r.doc_id: tuple(r)[1:] for r in registry.queries()["op8_suffix"](spark, DATA).collect()}
     assert got == {i: x[:4] for i, x in want.items()}
 
 
 def test_secrets_of_whole_table(spark):
-    from test_text_operators import base_spans
-
     kinds = ("assign", "access", "hex")
     got = {r.doc_id: r for r in registry.queries()["op10_secrets"](spark, DATA).collect()}
     for i, t in table("documents", "doc_id, text"):

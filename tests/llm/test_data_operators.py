@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from slow import slow_removal
 
 from frameloom.llm import op2_warc, op4_topk, op5_mix, op6_paragraphs, op8_suffix, op9_html
 
@@ -159,21 +160,6 @@ def test_leader_links_are_those_of_all_pairs():
         assert groups[0] == groups[1]
 
 
-def slow_removal(rows, n=100):
-    seen, out = {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - n + 1):
-            s = b[k : k + n]
-            if s in seen:
-                gone[k : k + n] = b"\1" * n
-            seen.setdefault(s, i)
-        kept = bytes(x for x, y in zip(b, gone) if not y)
-        out[i] = (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest(), kept)
-    return out
-
-
 @pytest.mark.parametrize("chunk", [1 << 20, 700])
 def test_suffix_removal_against_brute_force(spark, prose, chunk):
     p = prose("en", 40, 1)
