@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,29 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Set here only where it is unset and there is but one machine."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if set_already.isEmpty():
             spark.sparkContext.setCheckpointDir(held)
         return held
-    already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if already.isDefined():
-        return already.get()
+    if set_already.isDefined():
+        return set_already.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="frameloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it is removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is made and run inside leaves no shuffle files behind once it has run."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and cut off from how it was made."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of what has been cut or written: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.llm.chunks import BITS, NO_ID, Chunk, bits_table, by_block, each_chunk, pack, shared_bits, with_flags
 from frameloom.llm.common import BROADCAST_BYTES, Forest, components, cut, fits, mix64, shared_dir, table
-from frameloom.llm.op8_suffix import BITS, NO_ID, Chunk, bits_table, by_block, each_chunk, pack, shared_bits, with_flags
 
 WIDTH = 5
 

@@ -1,288 +1,404 @@
 """Removal of repeated byte strings by difference-cover blockwise suffix construction.
 
 A byte goes if it is covered by a string of ``length`` bytes that also starts earlier: in a smaller doc_id, or
-earlier in the same document. That is a question to the suffix array, read to that depth: in a run of suffixes that
-agree on ``length`` bytes all but the first by (doc_id, start) mark theirs. The array is never held: suffixes are
-dealt into blocks and one task sorts one block. A difference cover D of period v (any two positions have a common
-shift below v that brings both into D modulo v) makes that cheap. Suffixes at cover positions are ranked first, by
-the length - v + 1 bytes after them, a fingerprint standing for the rank: agreeing suffixes anywhere agree on the
-rank of a cover sample within v bytes. So positions near samples whose rank nobody shares are unique and are
-never sorted, and only suffixes in a long tie are dealt into blocks, as fingerprints of their ``length`` bytes.
-
-Texts are packed by a first pass into chunks of about ``chunk`` bytes, written to the shared folder; a chunk sends
-each block its distinct fingerprints only (so a hot passage costs a chunk one entry, not one a copy), and gets back
-one bit for each. Documents that repeat an earlier one whole are not packed but answered from their digests.
-Fingerprints of samples have 32 bits next to the block's number, as they only choose candidates; those of suffixes
-have 64 next to the block's number, with a chance of a false match of about pairs / 2**71.
+earlier in the same document. That is a question to the suffix array, read to that depth: of suffixes that agree on
+``length`` bytes all but the first by (doc_id, start) mark theirs. The array is built a bucket at a time, and exactly:
+bytes are compared, hashes only say what need not be.
+
+Dealing out. Of each string's eight- to thirty-two-byte grams the one with the least hash, the first of equals, is its
+lead. Equal strings have equal leads in the same place, and the strings of one lead start side by side, so a *stretch* (a lead
+with all strings that it leads, some 130 bytes) is dealt out in one piece, to the bucket of suffixes that begin like
+its lead; about a byte in 35 is a lead. A lead whose hash nobody shares has no equal strings, and its stretch goes
+nowhere: chunks send the distinct hashes of their leads, one row each, and get back those that another chunk has.
+
+A bucket (a range of leading bytes) is cut between leads into blocks of about ``block`` bytes. A block sorts the
+suffixes of its text by difference cover: positions at COVER modulo PERIOD are sorted first, to ``length`` bytes, with their
+longest common prefixes, so each has a rank for any depth. All others are sorted by PERIOD bytes; ties are
+resolved by the ranks of cover samples, as any two positions have a common shift below PERIOD that brings both onto
+samples. A lead with over ``hot`` stretches isn't collected: its strings are grouped one by one, added up before they
+are shuffled. Stretches that repeat within a chunk are answered there.
+
+Texts are packed by a first pass into chunks of about ``chunk`` bytes, written to the shared folder. Documents that
+repeat an earlier one whole (by SHA-256) are not packed but answered from their digests.
 
 Edge cases: a null text is empty; texts shorter than ``length`` keep everything; rows with equal doc_id are documents of
 their own, none of them earlier than another; null ids come before all others; an empty table
-gives no rows; documents of any length are chunks of their own.
+gives no rows; a document of any length is looked at in pieces of PIECE bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import BROADCAST_BYTES, cut, fits, mix64, release, shared_dir, table
+from frameloom.llm.chunks import NO_ID, each_chunk, pack
+from frameloom.llm.common import BROADCAST_BYTES, cut, fits, mix64, scratch, table, tidy
 
 #: A perfect difference cover: any difference modulo PERIOD is one of two members of COVER.
-PERIOD = 57
-COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-NO_ID = np.iinfo(np.int64).min
-CHUNK = "chunk long, ids binary, sizes binary, bytes binary"
-BITS = "chunk long, phase int, block int, bits binary"
-_tables: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of bytes, and the base's powers and inverse powers up to n."""
-    if len(_tables.get("up", ())) < n:
-        rng, size = np.random.default_rng(20240229), 1 << max(20, int(n).bit_length())
-        _tables["byte"] = rng.integers(0, 1 << 64, 256, np.uint64)
-        base = int(rng.integers(0, 1 << 62)) * 8 + 5
-        for name, r in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            out = np.ones(1, np.uint64)
-            while len(out) < size:
-                out = np.concatenate([out, out * np.uint64(pow(r, len(out), 1 << 64))])
-            _tables[name] = out
-    return _tables["byte"], _tables["up"], _tables["down"]
+PERIOD = 31
+COVER = (1, 5, 11, 24, 25, 27)
+#: Starts that are looked at together.
+PIECE = 1 << 20
+STRETCH = "lead int, n int, ctx binary, id long, chunk long, doc int, at long"
+MARK = "chunk long, at long, bits binary"
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Chunk:
-    """The documents of a chunk, in the order of doc_id, as one run of bytes with prefix hashes."""
+    """The documents of a chunk, in the order of doc_id, as one run of bytes."""
 
-    def __init__(self, ids: bytes, sizes: bytes, data: bytes):
-        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-        self.data = np.frombuffer(data, np.uint8)
+    def __init__(self, row: dict):
+        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+        self.bytes = row["bytes"]
         self.starts = np.r_[0, np.cumsum(self.sizes)]
-        byte, up, _ = powers(len(self.data) + 1)
-        self.sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(byte[self.data] * up[: len(self.data)], out=self.sums[1:])
-
-    def prints(self, at: np.ndarray, n: int) -> np.ndarray:
-        """64-bit fingerprints of the n bytes from each of at."""
-        return mix64((self.sums[at + n] - self.sums[at]) * powers(len(self.data) + 1)[2][at])
-
-    def samples(self, n: int) -> np.ndarray:
-        """Cover positions with n bytes after them in their document."""
-        out = []
-        for s, size in zip(self.starts, self.sizes):
-            if size >= n:
-                at = (np.arange(0, size - n + 1, PERIOD)[:, None] + np.array(COVER)).ravel()
-                out.append(s + at[at <= size - n])
-        return np.concatenate(out) if out else np.empty(0, np.int64)
-
-    def ranks(self, length: int, blocks: int) -> tuple[np.ndarray, ...]:
-        """Of the cover samples: positions, distinct fingerprints (by block, then value), their blocks, where each sample's is, and how often each occurs."""
-        at = self.samples(length - PERIOD + 1)
-        h = self.prints(at, length - PERIOD + 1)
-        block = (h >> np.uint64(32)) % np.uint64(blocks)
-        key, where, n = np.unique(block << np.uint64(32) | h & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
-        return at, key, (key >> np.uint64(32)).astype(np.int64), where, n
-
-    def candidates(self, length: int, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """Positions whose string of length may repeat: those up to PERIOD - 1 bytes before a sample of shared rank."""
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        hit = at[shared]
-        doc = np.searchsorted(self.starts, hit, "right") - 1
-        np.add.at(edge, np.maximum(hit - (PERIOD - 1), self.starts[doc]), 1)
-        np.add.at(edge, hit + 1, -1)
-        inside = np.cumsum(edge[:-1]) > 0
-        room = np.zeros(len(self.data) + 1, np.int32)
-        ok = self.sizes >= length
-        np.add.at(room, self.starts[:-1][ok], 1)
-        np.add.at(room, self.starts[:-1][ok] + self.sizes[ok] - length + 1, -1)
-        return np.flatnonzero(inside & (np.cumsum(room[:-1]) > 0))
-
-    def suffixes(self, length: int, at: np.ndarray, blocks: int) -> tuple[np.ndarray, ...]:
-        """Of the candidates: which are the first of their string here (by block, then position), their fingerprints and blocks, and for all where their first is."""
-        h = self.prints(at, length)
-        block = (mix64(h ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(blocks)).astype(np.int64)
-        _, first, where = np.unique(h, return_index=True, return_inverse=True)  # at is in order, so first is the least position
-        order = np.lexsort((first, block[first]))
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        first = first[order]
-        return first, h[first], block[first], place[where]
-
-
-def pack(docs: DataFrame, chunk: int) -> DataFrame:
-    """docs(doc_id, text) -> chunks of whole documents."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, held, total = TaskContext.get().partitionId(), 0, [], 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal made, held, total
-            held.sort(key=lambda x: x[0])
-            ids, texts = [x[0] for x in held], [x[1] for x in held]
-            row = [[part << 32 | made], [np.array(ids, np.int64).tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [b"".join(texts)]]
-            made, held, total = made + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["chunk", "ids", "sizes", "bytes"])
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py() or b""
-                if held and total + len(t) > chunk:
-                    yield out()
-                held.append((NO_ID if i is None else i, t))
-                total += len(t)
-        if held:
-            yield out()
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(packed, CHUNK)
-
-
-def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
-
-
-def shared_bits(flags: list[dict] | None, phase: int, blocks: np.ndarray) -> np.ndarray:
-    """One bit for each entry, in the order of blocks, from what the blocks sent back."""
-    out = np.zeros(len(blocks), bool)
-    for f in flags or ():
-        if f["phase"] == phase:
-            lo, hi = np.searchsorted(blocks, [f["block"], f["block"] + 1])
-            out[lo:hi] = np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=hi - lo).astype(bool)
+
+def words_at(data: bytes, n: int) -> np.ndarray:
+    """The eight bytes from each of the first n positions, as big-endian integers; data has seven bytes more."""
+    return np.ndarray((n,), ">u8", data, 0, (1,)).astype(np.uint64)
+
+
+def gram_hashes(data: bytes, gram: int) -> np.ndarray:
+    """A hash of the gram bytes (8, 16 or 32) from each position that has as many."""
+    h = mix64(words_at(data, len(data) - 7) * K1)
+    step = 8
+    while step < gram:
+        h = mix64(h[:-step] * K1 ^ h[step:] * K2)
+        step *= 2
+    return h
+
+
+def least_of_span(key: np.ndarray, span: int) -> np.ndarray:
+    """The least key of each span of keys."""
+    m = len(key) - span + 1
+    padded = np.concatenate([key, np.full(-len(key) % span, 0xFFFFFFFFFFFFFFFF, np.uint64)]).reshape(-1, span)
+    before, after = np.minimum.accumulate(padded, axis=1).ravel(), np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(after[:m], before[span - 1 : span - 1 + m])
+
+
+def gram_of(length: int) -> int:
+    return next((g for g in (32, 16) if 3 * g <= length), 8)
+
+
+def stretches(c: Chunk, length: int) -> tuple[np.ndarray, ...]:
+    """(first string, how many, lead, lead's hash) of the stretches of a chunk, in the order of place."""
+    gram, out = gram_of(length), []
+    for s in range(0, len(c.bytes), PIECE):
+        piece = c.bytes[s : s + PIECE + length - 1]
+        n = len(piece) - length + 1
+        if n <= 0:
+            continue
+        h = gram_hashes(piece, gram)
+        low = least_of_span(h >> np.uint64(32) << np.uint64(32) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+        lead = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        edge = np.zeros(n + 1, np.int32)  # strings lie within documents
+        ok = c.sizes >= length
+        np.add.at(edge, np.clip(c.starts[:-1][ok] - s, 0, n), 1)
+        np.add.at(edge, np.clip(c.starts[:-1][ok] + c.sizes[ok] - length + 1 - s, 0, n), -1)
+        lead[np.cumsum(edge[:-1]) == 0] = -1
+        first = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+        size = np.diff(np.r_[first, n])
+        on = lead[first] >= 0
+        first, size, lead = first[on], size[on], lead[first][on]
+        out.append((first + s, size, lead + s, h[lead]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+
+
+def shared_here(h: np.ndarray) -> np.ndarray:
+    """Which hashes occur more than once."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order] = np.r_[False, same] | np.r_[same, False] if len(h) else False
     return out
 
 
-def by_block(blocks: np.ndarray) -> Iterator[tuple[int, slice]]:
-    cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]) if len(blocks) else [0]
-    for s, e in zip(cuts[:-1], cuts[1:]):
-        yield int(blocks[s]), slice(s, e)
+def held_in(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which hashes are in held, which is sorted."""
+    return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), bool)
+
 
+def known_here(c: Chunk, length: int, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of the stretches at: which repeat an earlier one of the chunk whole, and their bytes."""
+    seen: dict[bytes, tuple[int, int]] = {}  # rows of the first and of the last one so far
+    rows = (np.searchsorted(c.starts, first[at], "right") - 1).tolist()
+    ids, known, texts = c.ids.tolist(), np.zeros(len(at), bool), []
+    for i, (s, n, row) in enumerate(zip(first[at].tolist(), size[at].tolist(), rows)):
+        text = c.bytes[s : s + n + length - 1]
+        texts.append(text)
+        if text in seen:
+            head, last = seen[text]
+            known[i] = ids[row] > ids[head] or row == last
+            seen[text] = head, row
+        else:
+            seen[text] = row, row
+    return known, texts
 
-def sample_ranks(chunks: DataFrame, length: int, blocks: int) -> DataFrame:
-    """(chunk, phase 0, block, bits): which distinct sample fingerprints of a chunk another chunk has as well."""
 
-    def sent(batches):
+def shared_leads(chunks: DataFrame, length: int) -> DataFrame:
+    """(chunk, flags): hashes of leads that a chunk shares with another one. The commonest hash has a row a chunk."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_chunk(batches):
-            c = Chunk(row["ids"], row["sizes"], row["bytes"])
-            _, key, of, _, _ = c.ranks(length, blocks)
-            low = key.astype(np.uint32)
-            out = [(b, row["chunk"], low[s].tobytes()) for b, s in by_block(of)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["block", "chunk", "keys"])
-
-    def ranked(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), np.uint32) for k in group.column("keys")]
-        every = np.concatenate(keys)
-        sizes = np.cumsum([len(k) for k in keys])[:-1]
-        order = np.argsort(every, kind="stable")
-        same = every[order][1:] == every[order][:-1]
-        hit = np.zeros(len(every), bool)
-        hit[order] = np.r_[False, same] | np.r_[same, False]
-        rows = [(c, 0, b, np.packbits(h).tobytes()) for c, b, h in zip(group.column("chunk").to_pylist(), group.column("block").to_pylist(), np.split(hit, sizes)) if h.any()]
-        return bits_table(rows)
-
-    return chunks.mapInArrow(sent, "block int, chunk long, keys binary").groupBy("block").applyInArrow(ranked, BITS)
-
-
-def bits_table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "phase", "block", "bits"])
-
-
-def with_flags(chunks: DataFrame, flags: DataFrame) -> DataFrame:
-    """chunks with the flags of each; what is broadcast is weighed first."""
-    flags = cut(flags.groupBy("chunk").agg(F.collect_list(F.struct("phase", "block", "bits")).alias("flags"), F.sum(F.length("bits") + 16).alias("w")))
-    weight = flags.agg(F.sum("w")).first()[0] or 0
-    flags = flags.drop("w")
+            h = np.sort(stretches(Chunk(row), length)[3])
+            h = h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), row["chunk"], np.int64))], ["h", "chunk"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in the order of h; the last one of a batch waits for the next
+        h, chunk, before = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for b in batches:
+            h, chunk = np.r_[h, b.column(0).to_numpy()], np.r_[chunk, b.column(1).to_numpy()]
+            if len(h) < 2:
+                continue
+            same = h[1:] == h[:-1]
+            hit = np.r_[h[0] == before, same[:-1]] | same
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[:-1][hit]), pa.array(h[:-1][hit])], ["chunk", "h"])
+            before, h, chunk = h[-2], h[-1:], chunk[-1:]
+        if len(h) and h[0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(h)], ["chunk", "h"])
+
+    rows = chunks.mapInArrow(sent, "h long, chunk long").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(told, "chunk long, h long").groupBy("chunk").agg(F.collect_list("h").alias("flags"))
+
+
+def with_flags(chunks: DataFrame, flags: DataFrame, weight: int) -> DataFrame:
+    """chunks with the flags of each; what is broadcast weighs weight bytes."""
     return chunks.join(F.broadcast(flags) if weight < BROADCAST_BYTES else flags, "chunk", "left")
 
 
-def suffix_runs(chunks: DataFrame, length: int, sample_blocks: int, blocks: int) -> DataFrame:
-    """(chunk, phase 1, block, bits): which distinct candidate strings of a chunk start earlier in another one. chunks have phase 0's flags."""
+def dealt_stretches(chunks: DataFrame, length: int) -> DataFrame:
+    """The stretches of chunks with flags that may have equal strings elsewhere, but those that are answered within their chunk."""
 
-    def sent(batches):
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_chunk(batches):
-            c = Chunk(row["ids"], row["sizes"], row["bytes"])
-            at, key, of, where, n = c.ranks(length, sample_blocks)
-            shared = (shared_bits(row["flags"], 0, of) | (n > 1))[where]
-            found = c.candidates(length, at, shared)
-            first, h, of, _ = c.suffixes(length, found, blocks)
-            doc = np.searchsorted(c.starts, found[first], "right") - 1
-            out = []
-            for b, s in by_block(of):
-                d, n = np.unique(doc[s], return_counts=True)
-                out.append((b, row["chunk"], h[s].tobytes(), c.ids[d].tobytes(), n.astype(np.int64).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "chunk", "keys", "ids", "counts"])
-
-    def sorted_block(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in group.column("keys")]
-        every = np.concatenate(keys)
-        doc = np.concatenate([np.repeat(np.frombuffer(i.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)) for i, n in zip(group.column("ids"), group.column("counts"))])
-        sizes = np.cumsum([len(k) for k in keys])[:-1]
-        order = np.lexsort((doc, every))
-        head = np.r_[True, every[order][1:] != every[order][:-1]]
-        least = doc[order][head][np.cumsum(head) - 1]
-        later = np.zeros(len(every), bool)
-        later[order] = doc[order] > least
-        rows = [(c, 1, b, np.packbits(x).tobytes()) for c, b, x in zip(group.column("chunk").to_pylist(), group.column("block").to_pylist(), np.split(later, sizes)) if x.any()]
-        return bits_table(rows)
-
-    return chunks.mapInArrow(sent, "block int, chunk long, keys binary, ids binary, counts binary").groupBy("block").applyInArrow(sorted_block, BITS)
+            c = Chunk(row)
+            first, size, lead, h = stretches(c, length)
+            elsewhere = held_in(h, np.sort(np.array(row["flags"] or [], np.int64).view(np.uint64)))
+            at = np.flatnonzero(elsewhere | shared_here(h))
+            known, texts = known_here(c, length, first, size, at)
+            rest = ~known
+            rest[rest] = elsewhere[at][rest] | shared_here(h[at][rest])
+            at, texts = at[rest], [t for t, r in zip(texts, rest) if r]
+            doc = np.searchsorted(c.starts, first[at], "right") - 1
+            for s in range(0, len(at), 8192):
+                x = slice(s, s + 8192)
+                i = at[x]
+                columns = [(lead[i] - first[i]).astype(np.int32), size[i].astype(np.int32), pa.array(texts[x], pa.binary()), c.ids[doc[x]], np.full(len(i), row["chunk"], np.int64), doc[x].astype(np.int32), first[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["lead", "n", "ctx", "id", "chunk", "doc", "at"])
+
+    return chunks.mapInArrow(sent, STRETCH)
+
+
+def dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key among the distinct ones, order)."""
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]]) if len(key) else 0
+    return rank, order
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks by (a, b), ranks both."""
+    return dense(a << np.uint64(32) | b)[0]
+
+
+class Suffixes:
+    """The suffixes of a block's text, in the order of their first length bytes, by difference cover."""
+
+    def __init__(self, text: bytes, length: int):
+        n = len(text)
+        self.length, self.words = length, words_at(text + bytes(length + 16), n + length + 8)
+        on = np.zeros(PERIOD, bool)
+        on[list(COVER)] = True
+        self.on = on
+        at = np.flatnonzero(np.resize(on, n))
+        self.place = np.full(n + 1, -1, np.int64)
+        self.place[at] = np.arange(len(at))
+        # samples by PERIOD bytes, then by samples a period later, then by what is left
+        short = np.r_[self.by_period(at) + np.uint64(1), np.uint64(0)]  # 0: beyond the text
+        rank, depth = short[:-1], PERIOD
+        while depth + PERIOD <= length:
+            rank = paired(rank, short[self.place[np.minimum(at + depth, n)]])
+            depth += PERIOD
+        while depth < length:
+            rank = paired(rank, dense(self.words[at + min(depth, length - 8)])[0])
+            depth += 8
+        order = np.argsort(rank)
+        self.order, self.common = order, self.prefixes(at[order])
+
+    def by_period(self, at: np.ndarray) -> np.ndarray:
+        """Ranks of positions by the PERIOD bytes from them."""
+        rank = dense(self.words[at])[0]
+        for d in (8, 16, PERIOD - 8):
+            rank = paired(rank, dense(self.words[at + d])[0])
+        return rank
+
+    def prefixes(self, at: np.ndarray) -> np.ndarray:
+        """How many bytes, at most length, each of the sorted positions has in common with the one before."""
+        common = np.full(max(0, len(at) - 1), self.length, np.int64)
+        open_ = np.arange(len(common))
+        for d in range(0, self.length, 8):
+            x = self.words[at[open_ + 1] + d] ^ self.words[at[open_] + d]
+            differs = x != 0
+            common[open_[differs]] = d + sum((x[differs] < np.uint64(1 << (64 - 8 * t))).astype(np.int64) for t in range(1, 8))
+            open_ = open_[~differs]
+        return np.r_[0, common] if len(at) else common
+
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """For each of the positions at the first of at whose length bytes are equal."""
+        out, tie = np.arange(len(at)), self.by_period(at)
+        rank = np.empty(len(self.order), np.uint64)
+        for k in range(PERIOD):
+            mine = np.flatnonzero(self.on[(at + k) % PERIOD])
+            # rank of samples by the bytes that are left after a shift of k
+            rank[self.order] = np.cumsum(self.common < self.length - k)
+            key = tie[mine] << np.uint64(32) | rank[self.place[at[mine] + k]]
+            order = np.argsort(key)
+            heads = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else order
+            if len(heads):
+                low = np.minimum.reduceat(out[mine][order], heads)
+                out[mine[order]] = np.repeat(low, np.diff(np.r_[heads, len(order)]))
+        return out
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., sizes[0] of them, then the same of the next."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def later_strings(block: dict[str, list], length: int) -> pa.RecordBatch:
+    """MARK rows of a block: which strings of its stretches also start earlier."""
+    seen: dict[bytes, int] = {}
+    of = np.array([seen.setdefault(t, len(seen)) for t in block["ctx"]])
+    size, ids = np.array(block["n"]), np.array(block["id"], np.int64)
+    texts = list(seen)
+    begin = np.r_[0, np.cumsum([len(t) for t in texts])][:-1]
+    count = np.array([len(t) - length + 1 for t in texts])
+    where = np.r_[0, np.cumsum(count)][:-1]  # of a distinct stretch's strings
+    label = Suffixes(b"".join(texts), length).classes(spread(begin, count))
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, ids)
+    first = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(first, label, np.repeat(least, count))
+    mine = label[spread(where[of], size)]  # of each string of each stretch
+    later = np.repeat(ids, size) > first[mine]
+    # again in the same row
+    chunk, doc, at = (np.array(block[c], np.int64) for c in ("chunk", "doc", "at"))
+    order = np.lexsort((doc, chunk))
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(np.r_[False, (chunk[order][1:] != chunk[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
+    twice = np.flatnonzero(np.repeat(np.bincount(row)[row] > 1, size))
+    if len(twice):
+        r, place = np.repeat(row, size)[twice], spread(at, size)[twice]
+        order = np.lexsort((place, r, mine[twice]))
+        m, r = mine[twice][order], r[order]
+        later[twice[order][1:][(m[1:] == m[:-1]) & (r[1:] == r[:-1])]] = True
+    bits = np.zeros((len(size), 8 * -(-(length - gram_of(length) + 1) // 8)), bool)
+    bits[np.repeat(np.arange(len(size)), size), spread(np.zeros(len(size), np.int64), size)] = later
+    hit = np.flatnonzero(bits.any(axis=1))
+    packed = np.packbits(bits[hit], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(chunk[hit]), pa.array(at[hit]), pa.array([x.tobytes() for x in packed], pa.binary())], ["chunk", "at", "bits"])
+
+
+def sorted_blocks(dealt: DataFrame, length: int, block: int, buckets: int) -> DataFrame:
+    """MARK rows of dealt stretches: a bucket a task, by ranges of the leading bytes, a block at a time."""
+    gram = gram_of(length)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ctx", "n", "id", "chunk", "doc", "at"]
+        held, weight, last = {c: [] for c in names}, 0, None
+        for b in batches:
+            columns = {c: b.column(c).to_pylist() for c in names}
+            leads = b.column("lead").to_pylist()
+            start = 0
+            for i, (t, k) in enumerate(zip(columns["ctx"], leads)):
+                lead = t[k : k + gram]
+                if weight >= block and lead != last:
+                    for c in names:
+                        held[c] += columns[c][start:i]
+                    yield later_strings(held, length)
+                    held, weight, start = {c: [] for c in names}, 0, i
+                weight, last = weight + len(t), lead
+            for c in names:
+                held[c] += columns[c][start:]
+        if held["ctx"]:
+            yield later_strings(held, length)
+
+    lead = F.substring("ctx", F.col("lead") + 1, F.lit(gram))
+    return dealt.withColumn("gram", lead).repartitionByRange(buckets, "gram").sortWithinPartitions("gram").drop("gram").mapInArrow(blocks, MARK)
+
+
+def hot_strings(dealt: DataFrame, length: int) -> DataFrame:
+    """MARK rows of stretches of leads that are too common for a block: equal strings by groups, which are added up before they are shuffled."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                n = part.column("n").to_numpy()
+                at = spread(part.column("at").to_numpy(), n)
+                strings = [t[k : k + length] for t, m in zip(part.column("ctx").to_pylist(), n.tolist()) for k in range(m)]
+                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), *(pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("id", "chunk", "doc")), pa.array(at)], ["s", "id", "chunk", "doc", "at"])
+
+    every = dealt.mapInArrow(each, "s binary, id long, chunk long, doc int, at long")
+    first = every.groupBy("s").agg(F.min("id").alias("least"))
+    here = every.groupBy("s", "chunk", "doc").agg(F.min("id").alias("id"), F.min("at").alias("first"), F.collect_set("at").alias("at"))  # at most a document's strings
+    out = here.join(first, "s").select("chunk", "first", F.explode("at").alias("at"), (F.col("id") > F.col("least")).alias("later"))
+    return out.where("later or at > first").select("chunk", "at", F.lit(b"\x80").alias("bits"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
 
-def cut_out(chunks: DataFrame, length: int, sample_blocks: int, blocks: int, bytes_too: bool) -> DataFrame:
-    """The result for each document of chunks, which have the flags of both phases."""
+def cut_out(chunks: DataFrame, length: int, bytes_too: bool) -> DataFrame:
+    """The result for each document of chunks, whose flags are the marks of its stretches."""
 
-    def applied(batches):
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_chunk(batches):
-            c = Chunk(row["ids"], row["sizes"], row["bytes"])
-            at, key, of, where, n = c.ranks(length, sample_blocks)
-            shared = (shared_bits(row["flags"], 0, of) | (n > 1))[where]
-            found = c.candidates(length, at, shared)
-            first, _, of, where = c.suffixes(length, found, blocks)
-            later = shared_bits(row["flags"], 1, of)[where]
-            # within the chunk: in a later document than the first, or again in the same row
-            doc = np.searchsorted(c.starts, found, "right") - 1
-            mine = c.ids[doc]
-            later |= mine > mine[first[where]]
-            turn = np.argsort(where, kind="stable")
-            later[turn[1:]] |= (where[turn[1:]] == where[turn[:-1]]) & (doc[turn[1:]] == doc[turn[:-1]])
-            edge = np.zeros(len(c.data) + 1, np.int32)
-            np.add.at(edge, found[later], 1)
-            np.add.at(edge, found[later] + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            rows = []
-            for i, s, size in zip(c.ids.tolist(), c.starts.tolist(), c.sizes.tolist()):
-                g = gone[s : s + size]
+            c = Chunk(row)
+            first, size, _, h = stretches(c, length)
+            at = np.flatnonzero(shared_here(h))
+            at = at[known_here(c, length, first, size, at)[0]]
+            later = [spread(first[at], size[at])]
+            if row["flags"]:
+                place = np.array([f["at"] for f in row["flags"]], np.int64)
+                width = max(len(f["bits"]) for f in row["flags"])
+                bits = np.frombuffer(b"".join(f["bits"].ljust(width, b"\0") for f in row["flags"]), np.uint8)
+                i, k = np.nonzero(np.unpackbits(bits.reshape(-1, width), axis=1))
+                later.append(place[i] + k)
+            edge = np.zeros(len(c.bytes) + 1, np.int32)
+            begin = np.concatenate(later)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + length, -1)
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            data, rows = np.frombuffer(c.bytes, np.uint8), []
+            for i, s, n in zip(c.ids.tolist(), c.starts.tolist(), c.sizes.tolist()):
+                g = gone[s : s + n]
                 step = np.diff(np.r_[0, g.view(np.int8), 0])
-                kept = c.data[s : s + size][~g].tobytes()
+                kept = data[s : s + n][~g].tobytes()
                 starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                rows.append((None if i == NO_ID else i, size, int(g.sum()), len(starts), hashlib.sha256(kept).hexdigest(), kept if bytes_too else None, starts.tolist(), ends.tolist()))
+                rows.append((None if i == NO_ID else i, n, int(g.sum()), len(starts), hashlib.sha256(kept).hexdigest(), kept if bytes_too else None, starts.tolist(), ends.tolist()))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends"])
 
     return chunks.mapInArrow(applied, RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, bytes_too: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, block: int = 1 << 21, hot: int = 1 << 16, bytes_too: bool = True) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, starts, ends), a row for each of docs.
 
     starts and ends are the removed runs in bytes; kept, the remaining bytes, is null unless bytes_too.
     """
-    if length < PERIOD:
-        raise ValueError(f"length must be {PERIOD} at least")
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    if length < PERIOD + 8:
+        raise ValueError(f"length must be {PERIOD + 8} at least")
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     light = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n"))
     order = F.coalesce("doc_id", F.lit(int(NO_ID)))
@@ -290,16 +406,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, byt
     again = F.broadcast(again) if fits(again, 128) else again
     marked = docs.withColumn("digest", F.sha2("text", 256)).join(again, "digest", "left")
     copy = F.col("first").isNotNull() & (order > F.col("first"))
-    pack(marked.where(~copy), chunk).write.parquet(path, compression="zstd")
-    chunks = spark.read.parquet(path)
-    total = chunks.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    # a block sorts about three million samples, or what is a candidate of eight million suffixes
-    sample_blocks, blocks = max(12, total // (20 << 20)), max(12, total // (8 << 20))
-    flags = cut(sample_ranks(chunks, length, sample_blocks))
-    release(spark)
-    runs = cut(suffix_runs(with_flags(chunks, flags), length, sample_blocks, blocks))
-    release(spark)
-    out = cut_out(with_flags(chunks, flags.unionByName(runs)), length, sample_blocks, blocks, bytes_too)
+    with tidy(spark):
+        pack(marked.where(~copy), chunk).write.parquet(f"{path}/chunks", compression="zstd")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    flags = cut(shared_leads(chunks, length))
+    weight = flags.agg(F.sum(8 * F.size("flags") + 32)).first()[0] or 0
+    with tidy(spark):
+        dealt_stretches(with_flags(chunks, flags, weight), length).write.parquet(f"{path}/stretches", compression="zstd")
+    dealt = spark.read.parquet(f"{path}/stretches")
+    gram = F.substring("ctx", F.col("lead") + 1, F.lit(gram_of(length)))
+    sizes = dealt.groupBy(gram.alias("gram")).agg(F.count("*").alias("c"))
+    common = cut(sizes.where(F.col("c") > hot).select("gram"))
+    total = dealt.agg(F.sum(F.length("ctx"))).first()[0] or 0
+    buckets = max(12, total // (32 << 20))
+    if common.isEmpty():
+        marks = sorted_blocks(dealt, length, block, buckets)
+    else:
+        common = F.broadcast(common) if fits(common, 64) else common
+        joined = gram == F.col("gram")
+        marks = sorted_blocks(dealt.join(common, joined, "left_anti"), length, block, buckets).unionByName(hot_strings(dealt.join(common, joined, "left_semi"), length))
+    marks = cut(marks.groupBy("chunk").agg(F.collect_list(F.struct("at", "bits")).alias("flags")))
+    weight = marks.agg(F.sum(40 * F.size("flags") + 32)).first()[0] or 0
+    out = cut_out(with_flags(chunks, marks, weight), length, bytes_too)
     n = F.octet_length("text").cast("long")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     copies = marked.where(copy).select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept_sha256"), (F.lit(b"") if bytes_too else F.lit(None).cast("binary")).alias("kept"), F.array(F.lit(0).cast("long")).alias("starts"), F.array(n).alias("ends"))

@@ -160,16 +160,41 @@ def test_leader_links_are_those_of_all_pairs():
         assert groups[0] == groups[1]
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 700])
-def test_suffix_removal_against_brute_force(spark, prose, chunk):
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("chunk,block,hot,piece", [(1 << 20, 1 << 21, 1 << 16, 1 << 20), (700, 900, 3, 512)])
+def test_suffix_removal_against_brute_force(spark, prose, monkeypatch, chunk, block, hot, piece):
+    monkeypatch.setattr(op8_suffix, "PIECE", piece)
     p = prose("en", 40, 1)
     rows = [(5, p), (3, "é" + p + "x"), (9, "z" * 400), (2, "z" * 150 + p[20:130]), (None, p[5:] + "q" * 99), (7, None), (8, ""), (11, p), (12, p[:99]), (13, p[:100]), (14, "ab" * 300), (15, prose("de", 3000, 1)), (16, prose("de", 3000, 1)[50:9000] + p), (1, p[60:] + p[:90])]
+    rows += [(20, thue_morse(1200)), (21, thue_morse(1200).translate(str.maketrans("ab", "ba"))), (22, thue_morse(4096)[900:2300]), (23, "z" * 3000 + "y" + "z" * 300), (24, p + " and " + p)]
+    rows += [(30 + i, f"{prose('de', 25, 200 + i)} {p} {prose('de', 25, 300 + i)}") for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(1)).repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in op8_suffix.remove_repeats(docs, chunk=chunk).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in op8_suffix.remove_repeats(docs, chunk=chunk, block=block, hot=hot).collect()}
     assert got == slow_removal(rows)
     assert op8_suffix.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_rows_of_one_id_are_not_earlier_than_each_other(spark, prose):
+    p = prose("en", 60, 4)
+    rows = [(1, p), (1, p), (1, p + "!" + p), (2, p + "?")]
+    for chunk in (1 << 20, 300):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in op8_suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect())
+        n = len(p)
+        assert got == Counter({(1, n, 0): 2, (1, 2 * n + 1, n): 1, (2, n + 1, n): 1})
+
+
+def test_suffixes_of_a_block_against_sorted_strings():
+    rng = np.random.default_rng(2)
+    for text in (bytes(rng.integers(97, 99, 900).astype(np.uint8)) * 2, b"a" * 700, thue_morse(1500).encode()):
+        at = np.arange(len(text) - 100 + 1)
+        first: dict[bytes, int] = {}
+        want = [first.setdefault(text[i : i + 100], i) for i in at]
+        assert op8_suffix.Suffixes(text, 100).classes(at).tolist() == want
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % op8_suffix.PERIOD for a in op8_suffix.COVER for b in op8_suffix.COVER} == set(range(op8_suffix.PERIOD))
 
