@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.chunks import NO_ID, each_chunk, pack
-from frameloom.llm.common import BROADCAST_BYTES, cut, fits, mix64, scratch, table, tidy
+from frameloom.llm.common import cut, fits, mix64, scratch, table, tidy
 
 #: A perfect difference cover: any difference modulo PERIOD is one of two members of COVER.
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 13
+COVER = (0, 1, 3, 9)
 #: Starts that are looked at together.
 PIECE = 1 << 20
 STRETCH = "lead int, n int, ctx binary, id long, chunk long, doc int, at long"
-MARK = "chunk long, at long, bits binary"
+MARK = "chunk long, at long, n int, bits binary"
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,12 +65,13 @@ def words_at(data: bytes, n: int) -> np.ndarray:
 
 def gram_hashes(data: bytes, gram: int) -> np.ndarray:
     """A hash of the gram bytes (8, 16 or 32) from each position that has as many."""
-    h = mix64(words_at(data, len(data) - 7) * K1)
-    step = 8
+    h, step = words_at(data, len(data) - 7), 8
     while step < gram:
-        h = mix64(h[:-step] * K1 ^ h[step:] * K2)
+        h *= K1
+        h ^= h >> np.uint64(32)
+        h = h[:-step] * K2 ^ h[step:]
         step *= 2
-    return h
+    return mix64(h)
 
 
 def least_of_span(key: np.ndarray, span: int) -> np.ndarray:
@@ -167,13 +168,13 @@ def shared_leads(chunks: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(told, "chunk long, h long").groupBy("chunk").agg(F.collect_list("h").alias("flags"))
 
 
-def with_flags(chunks: DataFrame, flags: DataFrame, weight: int) -> DataFrame:
-    """chunks with the flags of each; what is broadcast weighs weight bytes."""
-    return chunks.join(F.broadcast(flags) if weight < BROADCAST_BYTES else flags, "chunk", "left")
+def with_flags(chunks: DataFrame, flags: DataFrame) -> DataFrame:
+    """chunks with the flags of each. These grow with the chunks, so they are never broadcast."""
+    return chunks.join(flags.hint("shuffle_merge"), "chunk", "left")
 
 
 def dealt_stretches(chunks: DataFrame, length: int) -> DataFrame:
-    """The stretches of chunks with flags that may have equal strings elsewhere, but those that are answered within their chunk."""
+    """The stretches of chunks with flags that may have equal strings elsewhere. Those that are answered within their chunk, as they start earlier there, have no bytes."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_chunk(batches):
@@ -182,9 +183,9 @@ def dealt_stretches(chunks: DataFrame, length: int) -> DataFrame:
             elsewhere = held_in(h, np.sort(np.array(row["flags"] or [], np.int64).view(np.uint64)))
             at = np.flatnonzero(elsewhere | shared_here(h))
             known, texts = known_here(c, length, first, size, at)
-            rest = ~known
-            rest[rest] = elsewhere[at][rest] | shared_here(h[at][rest])
-            at, texts = at[rest], [t for t, r in zip(texts, rest) if r]
+            told = known.copy()
+            told[~known] = elsewhere[at][~known] | shared_here(h[at][~known])
+            at, texts = at[told], [None if k else t for t, k, r in zip(texts, known.tolist(), told.tolist()) if r]
             doc = np.searchsorted(c.starts, first[at], "right") - 1
             for s in range(0, len(at), 8192):
                 x = slice(s, s + 8192)
@@ -195,17 +196,17 @@ def dealt_stretches(chunks: DataFrame, length: int) -> DataFrame:
     return chunks.mapInArrow(sent, STRETCH)
 
 
-def dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rank of each key among the distinct ones, order)."""
+def dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
     order = np.argsort(key)
-    rank = np.empty(len(key), np.uint64)
-    rank[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]]) if len(key) else 0
-    return rank, order
+    rank, held = np.empty(len(key), np.uint64), key[order]
+    rank[order] = np.cumsum(np.r_[False, held[1:] != held[:-1]]) if len(key) else 0
+    return rank
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Ranks by (a, b), ranks both."""
-    return dense(a << np.uint64(32) | b)[0]
+    return dense(a << np.uint64(32) | b)
 
 
 class Suffixes:
@@ -220,24 +221,18 @@ class Suffixes:
         at = np.flatnonzero(np.resize(on, n))
         self.place = np.full(n + 1, -1, np.int64)
         self.place[at] = np.arange(len(at))
-        # samples by PERIOD bytes, then by samples a period later, then by what is left
-        short = np.r_[self.by_period(at) + np.uint64(1), np.uint64(0)]  # 0: beyond the text
-        rank, depth = short[:-1], PERIOD
-        while depth + PERIOD <= length:
-            rank = paired(rank, short[self.place[np.minimum(at + depth, n)]])
-            depth += PERIOD
+        # samples by PERIOD bytes, then by twice as many, as whole periods lead from sample to sample
+        rank, depth = self.by_period(at), PERIOD
         while depth < length:
-            rank = paired(rank, dense(self.words[at + min(depth, length - 8)])[0])
-            depth += 8
+            after = np.r_[rank + np.uint64(1), np.uint64(0)]  # 0: beyond the text
+            rank = paired(rank, after[self.place[np.minimum(at + depth, n)]])
+            depth *= 2
         order = np.argsort(rank)
         self.order, self.common = order, self.prefixes(at[order])
 
     def by_period(self, at: np.ndarray) -> np.ndarray:
         """Ranks of positions by the PERIOD bytes from them."""
-        rank = dense(self.words[at])[0]
-        for d in (8, 16, PERIOD - 8):
-            rank = paired(rank, dense(self.words[at + d])[0])
-        return rank
+        return paired(dense(self.words[at]), dense(self.words[at + PERIOD - 8]))
 
     def prefixes(self, at: np.ndarray) -> np.ndarray:
         """How many bytes, at most length, each of the sorted positions has in common with the one before."""
@@ -252,18 +247,18 @@ class Suffixes:
 
     def classes(self, at: np.ndarray) -> np.ndarray:
         """For each of the positions at the first of at whose length bytes are equal."""
-        out, tie = np.arange(len(at)), self.by_period(at)
+        out, tie, residue = np.arange(len(at)), self.by_period(at) << np.uint64(32), at % PERIOD
         rank = np.empty(len(self.order), np.uint64)
         for k in range(PERIOD):
-            mine = np.flatnonzero(self.on[(at + k) % PERIOD])
+            mine = np.flatnonzero(self.on[(residue + k) % PERIOD])
             # rank of samples by the bytes that are left after a shift of k
             rank[self.order] = np.cumsum(self.common < self.length - k)
-            key = tie[mine] << np.uint64(32) | rank[self.place[at[mine] + k]]
+            key = tie[mine] | rank[self.place[at[mine] + k]]
             order = np.argsort(key)
-            heads = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else order
+            key, mine = key[order], mine[order]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
             if len(heads):
-                low = np.minimum.reduceat(out[mine][order], heads)
-                out[mine[order]] = np.repeat(low, np.diff(np.r_[heads, len(order)]))
+                out[mine] = np.repeat(np.minimum.reduceat(out[mine], heads), np.diff(np.r_[heads, len(mine)]))
         return out
 
 
@@ -274,7 +269,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def later_strings(block: dict[str, list], length: int) -> pa.RecordBatch:
-    """MARK rows of a block: which strings of its stretches also start earlier."""
+    """MARK rows of a block: which strings of its stretches also start earlier, by bits."""
     seen: dict[bytes, int] = {}
     of = np.array([seen.setdefault(t, len(seen)) for t in block["ctx"]])
     size, ids = np.array(block["n"]), np.array(block["id"], np.int64)
@@ -304,7 +299,7 @@ def later_strings(block: dict[str, list], length: int) -> pa.RecordBatch:
     bits[np.repeat(np.arange(len(size)), size), spread(np.zeros(len(size), np.int64), size)] = later
     hit = np.flatnonzero(bits.any(axis=1))
     packed = np.packbits(bits[hit], axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(chunk[hit]), pa.array(at[hit]), pa.array([x.tobytes() for x in packed], pa.binary())], ["chunk", "at", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array(chunk[hit]), pa.array(at[hit]), pa.array(size[hit].astype(np.int32)), pa.array([x.tobytes() for x in packed], pa.binary())], ["chunk", "at", "n", "bits"])
 
 
 def sorted_blocks(dealt: DataFrame, length: int, block: int, buckets: int) -> DataFrame:
@@ -351,7 +346,7 @@ def hot_strings(dealt: DataFrame, length: int) -> DataFrame:
     first = every.groupBy("s").agg(F.min("id").alias("least"))
     here = every.groupBy("s", "chunk", "doc").agg(F.min("id").alias("id"), F.min("at").alias("first"), F.collect_set("at").alias("at"))  # at most a document's strings
     out = here.join(first, "s").select("chunk", "first", F.explode("at").alias("at"), (F.col("id") > F.col("least")).alias("later"))
-    return out.where("later or at > first").select("chunk", "at", F.lit(b"\x80").alias("bits"))
+    return out.where("later or at > first").select("chunk", "at", F.lit(1).alias("n"), F.lit(None).cast("binary").alias("bits"))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
@@ -363,18 +358,14 @@ def cut_out(chunks: DataFrame, length: int, bytes_too: bool) -> DataFrame:
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_chunk(batches):
             c = Chunk(row)
-            first, size, _, h = stretches(c, length)
-            at = np.flatnonzero(shared_here(h))
-            at = at[known_here(c, length, first, size, at)[0]]
-            later = [spread(first[at], size[at])]
-            if row["flags"]:
-                place = np.array([f["at"] for f in row["flags"]], np.int64)
-                width = max(len(f["bits"]) for f in row["flags"])
-                bits = np.frombuffer(b"".join(f["bits"].ljust(width, b"\0") for f in row["flags"]), np.uint8)
-                i, k = np.nonzero(np.unpackbits(bits.reshape(-1, width), axis=1))
-                later.append(place[i] + k)
+            flags = row["flags"] or []
+            place, n = (np.array([f[x] for f in flags], np.int64) for x in ("at", "n"))
+            some = np.array([f["bits"] is not None for f in flags], bool)
+            bits = [f["bits"] for f in flags if f["bits"] is not None]
+            packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1) if bits else np.zeros((0, 1), np.uint8)
+            i, k = np.nonzero(np.unpackbits(packed, axis=1))
+            begin = np.r_[spread(place[~some], n[~some]), place[some][i] + k]
             edge = np.zeros(len(c.bytes) + 1, np.int32)
-            begin = np.concatenate(later)
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + length, -1)
             gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
@@ -391,7 +382,7 @@ def cut_out(chunks: DataFrame, length: int, bytes_too: bool) -> DataFrame:
     return chunks.mapInArrow(applied, RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, block: int = 1 << 21, hot: int = 1 << 16, bytes_too: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, block: int = 1 << 19, bucket: int = 8 << 20, hot: int = 1 << 16, bytes_too: bool = True) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, starts, ends), a row for each of docs.
 
     starts and ends are the removed runs in bytes; kept, the remaining bytes, is null unless bytes_too.
@@ -410,24 +401,23 @@ def remove_repeats(docs: DataFrame, length: int = 100, chunk: int = 1 << 20, blo
         pack(marked.where(~copy), chunk).write.parquet(f"{path}/chunks", compression="zstd")
     chunks = spark.read.parquet(f"{path}/chunks")
     flags = cut(shared_leads(chunks, length))
-    weight = flags.agg(F.sum(8 * F.size("flags") + 32)).first()[0] or 0
     with tidy(spark):
-        dealt_stretches(with_flags(chunks, flags, weight), length).write.parquet(f"{path}/stretches", compression="zstd")
-    dealt = spark.read.parquet(f"{path}/stretches")
+        dealt_stretches(with_flags(chunks, flags), length).write.parquet(f"{path}/stretches", compression="zstd")
+    every = spark.read.parquet(f"{path}/stretches")
+    whole = every.where("ctx is null").select("chunk", "at", "n", F.lit(None).cast("binary").alias("bits"))
+    dealt = every.where("ctx is not null")
     gram = F.substring("ctx", F.col("lead") + 1, F.lit(gram_of(length)))
-    sizes = dealt.groupBy(gram.alias("gram")).agg(F.count("*").alias("c"))
-    common = cut(sizes.where(F.col("c") > hot).select("gram"))
+    common = cut(dealt.groupBy(gram.alias("gram")).agg(F.count("*").alias("c")).where(F.col("c") > hot).select("gram"))
     total = dealt.agg(F.sum(F.length("ctx"))).first()[0] or 0
-    buckets = max(12, total // (32 << 20))
+    buckets = max(12, total // bucket)
     if common.isEmpty():
         marks = sorted_blocks(dealt, length, block, buckets)
     else:
         common = F.broadcast(common) if fits(common, 64) else common
         joined = gram == F.col("gram")
         marks = sorted_blocks(dealt.join(common, joined, "left_anti"), length, block, buckets).unionByName(hot_strings(dealt.join(common, joined, "left_semi"), length))
-    marks = cut(marks.groupBy("chunk").agg(F.collect_list(F.struct("at", "bits")).alias("flags")))
-    weight = marks.agg(F.sum(40 * F.size("flags") + 32)).first()[0] or 0
-    out = cut_out(with_flags(chunks, marks, weight), length, bytes_too)
+    marks = cut(marks.unionByName(whole).groupBy("chunk").agg(F.collect_list(F.struct("at", "n", "bits")).alias("flags")))
+    out = cut_out(with_flags(chunks, marks), length, bytes_too)
     n = F.octet_length("text").cast("long")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     copies = marked.where(copy).select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept_sha256"), (F.lit(b"") if bytes_too else F.lit(None).cast("binary")).alias("kept"), F.array(F.lit(0).cast("long")).alias("starts"), F.array(n).alias("ends"))
