@@ -1,13 +1,16 @@
 """Repeated and nearly repeated passages by paragraph MinHash banding.
 
 Units are the paragraphs (lines) of a document with ``least`` words or more. A paragraph's set are its five-word
-shingles, lower-cased; one of fewer words has all of them as one shingle. Bands of r minimum hashes are tuned for high recall: the fewest bands whose miss rate at the
-threshold is below ``miss``. Paragraphs that share a band with another one are joined, verified by their exact Jaccard
-similarity, and clustered into components; of each component the first unit by (doc_id, start) stays, the others go.
+shingles, lower-cased; one of fewer words has all of them as one shingle. Bands of r minimum hashes are tuned for high
+recall: the fewest bands whose miss rate at the threshold is below ``miss``. Paragraphs that share a band with another
+one are joined, verified by their exact Jaccard similarity, and clustered into components; of each component the first
+unit by (doc_id, start) stays, the others go.
 
-As passages also repeat inside longer paragraphs and over several, windows of ``window`` words from winnowed anchors
-are units too: of any ``window + 1`` places in a row the one with the smallest shingle hash is an anchor, so two
-copies of a passage of twice as many words hold the same window. Windows overlap, so they are joined as equals only.
+Passages also repeat inside longer paragraphs and over several. Of two passages of n words whose similarity is 0.8 or
+more at most (n - 4) / 45 words differ in their place, as each takes five shingles from both, so from 50 words on they
+have 24 words in a row in common. So windows of ``window`` words are units too, from winnowed anchors: of any ``span``
+places in a row the one with the smallest shingle hash is an anchor, so window + span - 1 = 24 equal words in a row
+hold a window in common. Windows overlap, so they are joined as equals (similarity 1), which loses no such passage.
 
 Bands are told apart from those nobody shares before anything is joined: chunks of documents send each block of
 hashes their distinct ones and get a bit back for each (see op8_suffix). Equal units are one class from then on. A
@@ -22,7 +25,6 @@ each other; positions are bytes of the UTF-8 text; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.chunks import BITS, NO_ID, Chunk, bits_table, by_block, each_chunk, pack, shared_bits, with_flags
-from frameloom.llm.common import BROADCAST_BYTES, Forest, components, cut, fits, mix64, shared_dir, table
+from frameloom.llm.common import BROADCAST_BYTES, Forest, components, cut, fits, mix64, scratch, table, tidy
 
 WIDTH = 5
 
@@ -44,7 +46,7 @@ def tuned(threshold: float, miss: float, rows: int = 2) -> int:
 class Units:
     """The units of a chunk: documents, byte ranges, shingles and bands."""
 
-    def __init__(self, row: dict, least: int, window: int, bands: int, rows: int):
+    def __init__(self, row: dict, least: int, window: int, span: int, bands: int, rows: int):
         low = row["bytes"].lower()  # ASCII letters only: lengths stay
         c = Chunk(row["ids"], row["sizes"], low)
         data = c.data
@@ -82,7 +84,7 @@ class Units:
         lo[few] = m + np.arange(len(few))
         hi[few] = lo[few] + 1
         # windows: from the least shingle of each run of places within a document
-        w = self.anchors(doc, n, window)
+        w = self.anchors(doc, n, window, span)
         self.s = np.r_[s, w].astype(np.int64)
         self.e = np.r_[e, w + window].astype(np.int64)
         self.lo, self.hi = np.r_[lo, w].astype(np.int64), np.r_[hi, w + window - WIDTH + 1].astype(np.int64)
@@ -108,13 +110,12 @@ class Units:
         total = np.r_[np.uint64(0), np.cumsum(mix64(self.h + np.uint64(1)))]
         self.whole = mix64(total[self.hi] - total[self.lo] + (2 * (self.e - self.s) + self.window).astype(np.uint64)) if len(self.s) else np.empty(0, np.uint64)
 
-    def anchors(self, doc: np.ndarray, n: int, window: int) -> np.ndarray:
+    def anchors(self, doc: np.ndarray, n: int, window: int, span: int) -> np.ndarray:
         m = n - window + 1  # places where a window fits
         if m <= 0:
             return np.empty(0, np.int64)
         fits_in = doc[:m] == doc[window - 1 :]
         v = np.where(fits_in, self.h[:m], np.uint64(0xFFFFFFFFFFFFFFFF))
-        span = window + 1
         padded = np.concatenate([v, np.full(-m % span + span, 0xFFFFFFFFFFFFFFFF, np.uint64)]).reshape(-1, span)
         before, after = np.minimum.accumulate(padded, axis=1).ravel(), np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
         low = np.minimum(after[:m], before[span - 1 : span - 1 + m])  # of the span from each place
@@ -190,7 +191,7 @@ def shared_units(chunks: DataFrame, blocks: int, units) -> DataFrame:
     return chunks.mapInArrow(sent, "block int, chunk long, keys binary, wholes binary").groupBy("block").applyInArrow(told, BITS)
 
 
-FOUND = "doc_id long, start long, end long, words int, is_window boolean, unit long, bands array<long>, shingles array<long>"
+FOUND = "chunk long, row int, doc_id long, start long, end long, words int, is_window boolean, unit long, bands array<long>, shingles array<long>"
 
 
 def found_units(chunks: DataFrame, blocks: int, units) -> DataFrame:
@@ -215,8 +216,8 @@ def found_units(chunks: DataFrame, blocks: int, units) -> DataFrame:
             ids = u.ids[u.doc[at]]
             for s in range(0, len(at), 4096):
                 x = slice(s, s + 4096)
-                columns = [pa.array(ids[x], mask=ids[x] == NO_ID), pa.array(u.start[at[x]]), pa.array(u.end[at[x]]), pa.array((u.e - u.s)[at[x]].astype(np.int32)), pa.array(u.window[at[x]]), pa.array(u.whole[at[x]].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v[x], pa.list_(pa.int64())) for v in (bands, shingles))], ["doc_id", "start", "end", "words", "is_window", "unit", "bands", "shingles"])
+                columns = [pa.array(np.full(len(at[x]), row["chunk"], np.int64)), pa.array(u.doc[at[x]].astype(np.int32)), pa.array(ids[x], mask=ids[x] == NO_ID), pa.array(u.start[at[x]]), pa.array(u.end[at[x]]), pa.array((u.e - u.s)[at[x]].astype(np.int32)), pa.array(u.window[at[x]]), pa.array(u.whole[at[x]].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v[x], pa.list_(pa.int64())) for v in (bands, shingles))], ["chunk", "row", "doc_id", "start", "end", "words", "is_window", "unit", "bands", "shingles"])
 
     return chunks.mapInArrow(found, FOUND)
 
@@ -281,23 +282,21 @@ def verified_links(classes: DataFrame, threshold: float, block: int, most: int =
     return each.repartition("key").sortWithinPartitions("key", "unit").select("key", "unit", "shingles").mapInArrow(linked, "a long, b long").distinct()
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 1, window: int = 24, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
-    """docs(doc_id, text) -> a row for each unit that is in a component of two or more.
-
-    (doc_id, start, end, words, is_window, component_id, component_start, n_units, removed): start and end in bytes;
-    component_id and component_start say which unit is first, and so stays; n_units is the component's size.
-    """
+def packed_and_found(docs: DataFrame, threshold: float, least: int, window: int, span: int, rows: int, miss: float, chunk: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, units): units in a component of two or more, with chunk and row, the document's place in it."""
     spark = docs.sparkSession
     bands = tuned(threshold, miss, rows)
-    units = lambda row: Units(row, least, window, bands, rows)
-    path = f"{shared_dir(spark).rstrip('/')}/passages-{uuid.uuid4().hex}"
+    units = lambda row: Units(row, least, window, span, bands, rows)
+    path = scratch(spark, "passages")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    pack(texts, chunk).write.parquet(f"{path}/chunks", compression="zstd")
+    with tidy(spark):
+        pack(texts, chunk).write.parquet(f"{path}/chunks", compression="zstd")
     chunks = spark.read.parquet(f"{path}/chunks")
     total = chunks.agg(F.sum(F.length("bytes"))).first()[0] or 0
     blocks = max(12, total // (20 << 20))
     flags = shared_units(chunks, blocks, units)
-    found_units(with_flags(chunks, flags), blocks, units).write.parquet(f"{path}/units", compression="zstd")
+    with tidy(spark):
+        found_units(with_flags(chunks, flags), blocks, units).write.parquet(f"{path}/units", compression="zstd")
     found = spark.read.parquet(f"{path}/units")
     light = found.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("d"), "start")).alias("first"))
     classes = found.where(F.col("bands").isNotNull()).groupBy("unit").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
@@ -307,12 +306,59 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 1, w
     named = cut(classes.join(whole, "component").select("unit", "n_units", "head"))
     named = F.broadcast(named) if fits(named, 64, BROADCAST_BYTES // 2) else named
     mine = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("d"), "start")
-    out = found.select("doc_id", "start", "end", "words", "is_window", "unit").join(named, "unit")
-    return out.select("doc_id", "start", "end", "words", "is_window", F.when(F.col("head.d") != int(NO_ID), F.col("head.d")).alias("component_id"), F.col("head.start").alias("component_start"), "n_units", (mine != F.col("head")).alias("removed"))
+    out = found.drop("bands", "shingles").join(named, "unit")
+    return chunks, out.withColumns({"component_id": F.when(F.col("head.d") != int(NO_ID), F.col("head.d")), "component_start": F.col("head.start"), "removed": mine != F.col("head")})
+
+
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, least: int = 1, window: int = 16, span: int = 9, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
+    """docs(doc_id, text) -> a row for each unit that is in a component of two or more.
+
+    (doc_id, start, end, words, is_window, component_id, component_start, n_units, removed): start and end in bytes;
+    component_id and component_start say which unit is first, and so stays; n_units is the component's size.
+    """
+    out = packed_and_found(docs, threshold, least, window, span, rows, miss, chunk, block)[1]
+    return out.select("doc_id", "start", "end", "words", "is_window", "component_id", "component_start", "n_units", "removed")
+
+
+def without_passages(docs: DataFrame, passage: int = 24, threshold: float = 0.8, least: int = 1, window: int = 16, span: int = 9, rows: int = 2, miss: float = 0.003, chunk: int = 1 << 20, block: int = 2048) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, n_short, spans, short), a row for each of docs.
+
+    spans are the runs of bytes (start, end) that go as repeated windows or lines of passage words or more, n_removed
+    their bytes; short are those of removed shorter lines, so far as they lie outside spans, n_short their bytes.
+    """
+    chunks, found = packed_and_found(docs, threshold, least, window, span, rows, miss, chunk, block)
+    gone = found.where("removed").select("chunk", F.struct("row", "start", "end", (F.col("is_window") | (F.col("words") >= passage)).alias("long")).alias("u"))
+    gone = cut(gone.groupBy("chunk").agg(F.collect_list("u").alias("gone")))  # units of about a megabyte of text
+
+    def runs(on: np.ndarray) -> list[dict]:
+        step = np.diff(np.r_[0, on.view(np.int8), 0])
+        return [{"start": s, "end": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())]
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_chunk(batches):
+            ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
+            starts = np.r_[0, np.cumsum(sizes)]
+            edges = np.zeros((2, starts[-1] + 1), np.int32)
+            for u in row["gone"] or []:
+                at = starts[u["row"]]
+                edges[int(not u["long"]), at + u["start"]] += 1
+                edges[int(not u["long"]), at + u["end"]] -= 1
+            long, short = np.cumsum(edges[:, :-1], axis=1) > 0
+            short &= ~long
+            out = []
+            for i, s, n in zip(ids.tolist(), starts.tolist(), sizes.tolist()):
+                a, b = runs(long[s : s + n]), runs(short[s : s + n])
+                out.append((None if i == NO_ID else i, n, int(long[s : s + n].sum()), len(a), int(short[s : s + n].sum()), a, b))
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(),) * 5 + (spans,) * 2)], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_short", "spans", "short"])
+
+    pair = "array<struct<start:long,end:long>>"
+    joined = chunks.select("chunk", "ids", "sizes").join(gone.hint("shuffle_merge"), "chunk", "left")
+    return joined.mapInArrow(applied, f"doc_id long, n_bytes long, n_removed long, n_spans long, n_short long, spans {pair}, short {pair}")
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op6_paragraphs": op6_paragraphs}

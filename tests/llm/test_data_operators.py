@@ -117,6 +117,32 @@ def test_passages_near_exact_and_embedded(spark, prose):
     by_id = {i: (t or "").encode() for i, t in texts}
     assert all(len(by_id[r.doc_id][r.start : r.end].split()) == r.words for r in out)
     assert op6_paragraphs.repeated_passages(docs.where("false")).count() == 0
+    whole = {r.doc_id: r for r in op6_paragraphs.without_passages(docs).collect()}
+    assert set(whole) == set(by_id) and op6_paragraphs.without_passages(docs.where("false")).count() == 0
+    for i, t in by_id.items():
+        gone = {"long": set(), "short": set()}
+        for r in out:
+            if r.doc_id == i and r.removed:
+                gone["long" if r.is_window or r.words >= 24 else "short"].update(range(r.start, r.end))
+        for spans, want, n in ((whole[i].spans, gone["long"], whole[i].n_removed), (whole[i].short, gone["short"] - gone["long"], whole[i].n_short)):
+            assert {k for s in spans for k in range(s.start, s.end)} == want and len(want) == n
+        assert whole[i].n_bytes == len(t) and whole[i].n_spans == len(whole[i].spans)
+
+
+def test_near_passages_inside_longer_text(spark, prose):
+    r = random.Random(5)
+    rows, hold = [], set()
+    for k in range(60):  # passages of 50 to 130 words, the copy with as many words changed as 0.8 allows
+        n = 50 + k % 81
+        p = prose("en", n, 1000 + k).split()
+        q = p[:]
+        for at in r.sample(range(n), (n - 4) // 45):
+            q[at] = f"changed{at}"
+        rows += [(2 * k, f"{prose('de', 30, k)} {' '.join(p)} {prose('de', 20, 500 + k)}"), (2 * k + 1, f"{prose('de', 25, 700 + k)} {' '.join(q)} {prose('de', 40, 900 + k)}")]
+        hold.add(2 * k + 1)
+    rows += [(1000 + k, prose("de", 120, 3000 + k)) for k in range(60)]
+    out = op6_paragraphs.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in out if x.n_removed} == hold
 
 
 @pytest.mark.parametrize("block", [2048, 3])
@@ -130,7 +156,7 @@ def test_passage_classes_against_all_pairs(spark, prose, block):
             w[k] = f"w{r.randint(0, 9)}"
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = [x for x in op6_paragraphs.repeated_passages(docs, window=49, block=block).collect() if not x.is_window]
+    out = [x for x in op6_paragraphs.repeated_passages(docs, window=49, span=50, block=block).collect() if not x.is_window]
     sh = [{tuple(t.split()[i : i + 5]) for i in range(46)} for t in texts]
     at = list(range(30))
     for i in range(30):
