@@ -1,46 +1,45 @@
-"""Settings of a worker: checked once, with defaults made from what is given."""
+"""Settings of a worker: made from any mapping of names to text, by the types of the fields, and checked once."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import MISSING, dataclass, field, fields, replace
 
-TRUE = ("1", "true", "yes", "y", "on")
+#: What a setting may say for yes.
+YES = frozenset(("1", "true", "yes", "y", "on"))
+TEXT_TO = {"str": str, "int": int, "bool": lambda text: text.lower() in YES}
 
 
-def required(name: str, env: Mapping[str, str] | None = None) -> str:
-    value = (os.environ if env is None else env).get(name, "").strip()
-    if not value:
-        raise ValueError(f"{name} isn't set")
-    return value
+def setting(default=MISSING, *names: str):
+    """A field that may go by other names too; without a default it must be given."""
+    return field(default=default, metadata={"names": names})
 
 
-def optional(name: str, default: str | None = None, env: Mapping[str, str] | None = None) -> str | None:
-    return (os.environ if env is None else env).get(name, "").strip() or default
-
-
-def flag(name: str, default: bool = False, env: Mapping[str, str] | None = None) -> bool:
-    value = optional(name, None, env)
-    return default if value is None else value.lower() in TRUE
-
-
-def number(name: str, default: int, env: Mapping[str, str] | None = None) -> int:
-    value = optional(name, None, env)
-    return default if value is None else int(value)
-
-
-def shard_of(explicit: int | None, array_index: int | None) -> int:
-    """What is asked for, else the place in a job array, else 0."""
-    return explicit if explicit is not None else array_index if array_index is not None else 0
+def from_text(kind: type, source: Mapping[str, str] | None = None, prefix: str = "", **given):
+    """kind(...) of what is given, else of source (the environment): PREFIX + FIELD, then the field's other names. Blank is unset."""
+    source = os.environ if source is None else source
+    values, lost = {k: v for k, v in given.items() if v is not None}, []
+    for f in fields(kind):
+        names = (f"{prefix}{f.name}".upper(), *f.metadata.get("names", ()))
+        text = next((t for t in (source.get(n, "").strip() for n in names) if t), None)
+        if f.name in values:
+            continue
+        if text is not None:
+            values[f.name] = TEXT_TO[f.type](text)
+        elif f.default is MISSING:
+            lost.append(names[0])
+    if lost:
+        raise ValueError(f"not set: {', '.join(lost)}")
+    return kind(**values)
 
 
 @dataclass(frozen=True)
 class WorkerConfig:
     run_id: str = ""
     worker_id: str = ""
-    shards: int = 1
-    shard: int = 0
+    shards: int = setting(1, "NUM_SHARDS")
+    shard: int = setting(0, "SHARD_INDEX", "JOB_ARRAY_INDEX")
     most_frames: int = 8
     lease_seconds: int = 7200
     max_attempts: int = 3

@@ -150,6 +150,12 @@ def thinning_step(fps: Column, candidate_fps: float) -> Column:
     return F.greatest(F.lit(1), half_even(fps / candidate_fps).cast("int"))
 
 
+def expected_clips(duration: Column, segment_sec: float = 20.0, most: int | None = None) -> Column:
+    """How many segments a video is cut into."""
+    n = F.when(duration > 0, F.ceil(duration / segment_sec)).otherwise(0).cast("long")
+    return F.least(n, F.lit(most).cast("long")) if most else n
+
+
 def kept_rows(height: Column, ignore_bottom: float) -> Column:
     """Rows left when the bottom share is ignored."""
     return F.least(F.greatest(half_even(height * (1 - ignore_bottom)).cast("int"), F.lit(1)), height.cast("int"))

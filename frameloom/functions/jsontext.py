@@ -48,11 +48,6 @@ def json_ok(text: Column | str) -> Column:
     return pandas_udf(_parses, BooleanType())(text)
 
 
-def json_shape_ok(text: Column) -> Column:
-    """A guard within the engine: it parses and ends where its braces close. Stricter than json_ok on NaN and repeated keys."""
-    return F.coalesce(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*[\{\[].*[\}\]]\s*$"), F.lit(False))
-
-
 def stringify_events(events: Column) -> Column:
     """action=...; objects=a, b; scene=... of each event, joined by a bar; nothing for null."""
     one = lambda e: F.concat(
@@ -71,13 +66,28 @@ def frame_lines(frames: Column) -> Column:
     return F.array_join(F.transform(frames, line), "\n")
 
 
-def messages(frames: Column, prompt: Column) -> Column:
-    """Typed content parts: an image for each frame, then the text."""
-    part = lambda kind, image, text: F.struct(F.lit(kind).alias("type"), image.alias("image"), text.alias("text"))
-    none = F.lit(None).cast("string")
-    return F.concat(F.transform(frames, lambda f: part("image", f["image_path"], none)), F.array(part("text", none, prompt)))
+def text_of(value: Column) -> Column:
+    """A variant as text: the items of a list joined by commas, else the value itself; nothing for null."""
+    items = F.from_json(F.to_json(value), "array<string>")
+    return F.coalesce(F.when(F.schema_of_variant(value).startswith("ARRAY"), F.array_join(items, ", ")).otherwise(F.try_variant_get(value, "$", "string")), F.lit(""))
+
+
+def prompt(record: dict[str, Column], frames: Column, body: str) -> Column:
+    """What a model is told: the clip's facts, a line a frame, then body."""
+    facts = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("None"))) for name, value in record.items()]
+    return F.concat_ws("\n", F.lit("Clip metadata:"), *facts, F.concat(F.lit("selected_keyframe_count: "), F.size(frames).cast("string")), F.lit(""), F.lit("Keyframe order and timestamps:"), frame_lines(frames), F.lit(""), F.lit(body))
+
+
+def messages(frames: Column, prompt: Column, min_pixels: int | None = None, max_pixels: int | None = None) -> Column:
+    """Typed content parts: an image for each frame, with the bounds of its size, then the text."""
+    none, whole = F.lit(None).cast("string"), lambda n: F.lit(n).cast("int")
+    part = lambda kind, image, text, low, high: F.struct(F.lit(kind).alias("type"), image.alias("image"), text.alias("text"), whole(low).alias("min_pixels"), whole(high).alias("max_pixels"))
+    return F.concat(F.transform(frames, lambda f: part("image", f["image_path"], none, min_pixels, max_pixels)), F.array(part("text", none, prompt, None, None)))
 
 
 def cleaned_kwargs(kwargs: Column) -> Column:
-    """A map of arrays without empty ones."""
-    return F.map_filter(kwargs, lambda k, v: F.size(v) > 0)
+    """A map of arrays without empty ones, as JSON: lists of one are unwrapped."""
+    kept = F.map_filter(kwargs, lambda k, v: F.size(v) > 0)
+    one = lambda k, v: F.when(F.size(v) == 1, F.to_json(F.array(v[0]))).otherwise(F.to_json(v))
+    bare = F.transform_values(kept, lambda k, v: F.when(F.size(v) == 1, F.regexp_replace(one(k, v), r"^\[|\]$", "")).otherwise(one(k, v)))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(bare)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))

@@ -7,16 +7,24 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions import jsontext as J
+from frameloom.operators import jobstate as Z
 from frameloom.operators import selection as K
 from frameloom.operators import shards as R
 
-RAW = "clip_id int, raw_output string, error_type string, error string, frames_used int, note string, elapsed_sec double"
+RAW = "clip_id int, raw_output string, error_type string, error string, frames_used int, note string, elapsed_sec double, started_at_utc string, finished_at_utc string"
+INPUT_MODE = "content_aware_keyframes_as_images"
+
+
+def utc_now() -> str:
+    return datetime.now(UTC).isoformat()
 
 
 def with_fallback(model: Callable, record: dict, frames: list, fewer: int) -> tuple[str, int, str | None]:
@@ -40,7 +48,7 @@ def infer(records: DataFrame, loader: Callable[[], Callable], fewer: int = 8) ->
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                began = time.monotonic()
+                began, started = time.monotonic(), utc_now()
                 try:
                     model = model or loader()
                     frames = list(r["frames"]) if r["frames"] is not None else []
@@ -50,8 +58,8 @@ def infer(records: DataFrame, loader: Callable[[], Callable], fewer: int = 8) ->
                     row = (text, None, None, n, note)
                 except Exception as e:  # noqa: BLE001  kept as the record's outcome
                     row = (None, type(e).__name__, str(e), 0, None)
-                out.append((r["clip_id"], *row, round(time.monotonic() - began, 6)))
-            yield pd.DataFrame(out, columns=["clip_id", "raw_output", "error_type", "error", "frames_used", "note", "elapsed_sec"])
+                out.append((r["clip_id"], *row, round(time.monotonic() - began, 6), started, utc_now()))
+            yield pd.DataFrame(out, columns=["clip_id", "raw_output", "error_type", "error", "frames_used", "note", "elapsed_sec", "started_at_utc", "finished_at_utc"])
 
     return records.select(F.col("clip_id").cast("int").alias("clip_id"), "frames").mapInPandas(run, RAW)
 
@@ -63,6 +71,41 @@ def output_records(raw: DataFrame, worker_id: str, version: str) -> DataFrame:
     return out.select("clip_id", F.lit(worker_id).alias("worker_id"), F.lit(version).alias("version"), "raw_output", "error_type", "error", "frames_used", "note", "elapsed_sec", "json_parse_ok", F.when(F.col("json_parse_ok"), F.from_json("text", J.MODEL_JSON)).alias("parsed_json"))
 
 
+@dataclass(frozen=True)
+class ModelSettings:
+    """What an output record says of how it was made."""
+
+    version: str = "1"
+    worker_id: str = ""
+    shard: int = 0
+    shards: int = 1
+    most_frames: int = 8
+    max_new_tokens: int = 800
+    min_pixels: int = 200704
+    max_pixels: int = 401408
+    dtype: str = "auto"
+
+
+def full_records(raw: DataFrame, records: DataFrame, settings: ModelSettings = ModelSettings()) -> DataFrame:
+    """RAW and what was asked -> the whole output record of each clip.
+
+    records(clip_id, clip_file, actual_start_time, actual_end_time, duration_sec, chosen array<struct>, missing array<string>):
+    chosen are the frames in their order, of which the first frames_used were used. With an error nothing is parsed.
+    """
+    ok = F.col("error").isNull()
+    text = J.brace_bounded(F.col("raw_output"))
+    one = raw.withColumn("cleaned_output", F.when(ok, text)).withColumn("json_parse_ok", F.coalesce(J.json_ok("cleaned_output"), F.lit(False)))
+    used = F.transform(F.slice("chosen", F.lit(1), F.col("frames_used")), lambda f, i: F.struct(i.alias("frame_order"), *[f[c].alias(c) for c in ("image_path", "local_timestamp", "global_timestamp", "selected_reason", "combined_score")]))
+    facts = {
+        "version": F.lit(settings.version), "input_mode": F.lit(INPUT_MODE), "worker_id": F.lit(settings.worker_id), "shard_index": F.lit(settings.shard), "num_shards": F.lit(settings.shards),
+        **{c: F.col(c) for c in ("clip_id", "clip_file", "actual_start_time", "actual_end_time", "duration_sec", "started_at_utc", "finished_at_utc")},
+        "elapsed_seconds": F.bround("elapsed_sec", 6), "selected_frame_count": F.col("frames_used"), "missing_frame_paths": F.col("missing"), "selected_frames_used": used,
+        "max_keyframes_per_clip": F.lit(settings.most_frames), "max_new_tokens": F.lit(settings.max_new_tokens), "min_pixels": F.lit(settings.min_pixels), "max_pixels": F.lit(settings.max_pixels), "dtype_requested": F.lit(settings.dtype),
+        "raw_output": F.coalesce("raw_output", F.lit("")), "cleaned_output": F.col("cleaned_output"), "parsed_json": F.when(F.col("json_parse_ok"), F.from_json("cleaned_output", J.MODEL_JSON)), "json_parse_ok": F.col("json_parse_ok"), "error_type": F.col("error_type"), "error": F.col("error"),
+    }
+    return one.join(records, "clip_id").select(*[v.alias(k) for k, v in facts.items()])
+
+
 def review_rows(outputs: DataFrame) -> DataFrame:
     """Flat rows for reviewers, with blank columns for their scores."""
     blank = {f"{n}_score": F.lit("") for n in ("object", "action", "scene", "hallucination", "completeness", "overall")} | {"human_notes": F.lit("")}
@@ -80,3 +123,24 @@ def run_worker(manifest: DataFrame, attempts: DataFrame, loader: Callable[[], Ca
     frames = todo.select("clip_id", F.explode("selected_frames").alias("f")).select("clip_id", "f.*").where("image_path is not null")
     chosen = K.choose_keyframes(frames, most_frames).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "image_path"))), lambda x: x["image_path"]).alias("frames"))
     return output_records(infer(todo.select("clip_id").join(chosen, "clip_id", "left"), loader), worker_id, version)
+
+
+def run_claimed(manifest: DataFrame, attempts: DataFrame, states: DataFrame, loader: Callable[[], Callable], worker: str, run_id: str, log: str, now: float, shards: int = 1, shard: int = 0, most_frames: int = 8, dialect: str = "strict", lease_seconds: float = 7200, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """A worker that shares its clips by job states: (outputs, states after).
+
+    What is left of its shard is claimed, only claimed clips go to the model, the outputs are appended to log (once: a
+    model needn't answer alike twice) and told back: a success, or a failure that may be retried but for lost files.
+    """
+    spark = manifest.sparkSession
+    todo = R.remaining(R.assigned(R.checked(manifest), shards, shard), attempts).select(F.lit(run_id).alias("run_id"), "clip_id", "selected_frames")
+    event = lambda df, seq, op, retry, error: df.select("run_id", "clip_id", F.lit(seq).alias("seq"), op.alias("op"), F.lit(worker).alias("worker"), F.lit(float(now)).alias("now"), retry.alias("retryable"), error.cast("string").alias("error"))
+    claims = event(todo, 0, F.lit("claim"), F.lit(False), F.lit(None))
+    held = Z.fold(claims, dialect, lease_seconds, max_attempts, Z.initialise(states, claims))
+    mine = held.where((F.col("worker") == worker) & (F.col("last_result") == "claimed") & (F.col("run_id") == run_id)).select("clip_id")
+    outputs = run_worker(manifest.join(mine, "clip_id", "left_semi"), attempts, loader, worker, most_frames=most_frames)
+    outputs.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(log)
+    made = spark.read.parquet(log).where((F.col("run_id") == run_id) & (F.col("worker_id") == worker)).join(mine, "clip_id", "left_semi")
+    kind = F.coalesce("error_type", F.lit("JSON_PARSE_FAILED"))
+    why = F.coalesce("error", F.lit("the output isn't JSON"))
+    marks = event(made, 1, F.when(R.success(), "succeed").otherwise("fail"), R.retryable(kind), F.concat_ws(": ", kind, why))
+    return made, Z.fold(marks, dialect, lease_seconds, max_attempts, held)

@@ -58,12 +58,60 @@ def step(s: Column, e: Column, dialect: str = "strict", lease_seconds: float = 7
     return F.when(e["op"] == "claim", claim).when(e["op"] == "renew", renew).when(e["op"] == "succeed", succeed).when(e["op"] == "fail", fail).otherwise(s)
 
 
-def fold(events: DataFrame, dialect: str = "strict", lease_seconds: float = 7200, max_attempts: int = 3) -> DataFrame:
-    """events(run_id, clip_id, seq, op, worker, now, retryable, error) -> the last state of each clip; a row a clip."""
+def fold(events: DataFrame, dialect: str = "strict", lease_seconds: float = 7200, max_attempts: int = 3, states: DataFrame | None = None, trace: bool = False) -> DataFrame:
+    """events(run_id, clip_id, seq, op, worker, now, retryable, error) -> the last state of each clip; a row a clip.
+
+    Without states all clips start as pending. With states(run_id, clip_id, STATE) these are gone on from: clips without
+    events stay as they are; one without a state is inserted by the local dialect, and has none of its events heeded by
+    the strict one (no row comes of it). trace adds what came of each event: results(seq, op, result, status, attempt).
+    """
     one = F.struct("seq", "op", "worker", F.col("now").cast("double").alias("now"), "retryable", "error")
     clips = events.groupBy("run_id", "clip_id").agg(F.array_sort(F.collect_list(one)).alias("e"))
-    last = F.aggregate("e", initial(), lambda s, e: step(s, e, dialect, lease_seconds, max_attempts))
-    return clips.select("run_id", "clip_id", last.alias("s")).select("run_id", "clip_id", "s.*")
+    start = initial()
+    if states is not None:
+        clips = clips.join(states.select("run_id", "clip_id", F.struct(*[F.col(k).cast(t).alias(k) for k, t in STATE.items()]).alias("s0")), ["run_id", "clip_id"], "full_outer")
+        if dialect == "strict":
+            clips = clips.where("s0 is not null")
+        clips = clips.withColumn("e", F.coalesce("e", F.array().cast(clips.schema["e"].dataType)))
+        start = F.coalesce("s0", initial())
+    move = lambda s, e: step(s, e, dialect, lease_seconds, max_attempts)
+    if not trace:
+        return clips.select("run_id", "clip_id", F.aggregate("e", start, move).alias("s")).select("run_id", "clip_id", "s.*")
+    seq = events.schema["seq"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<seq:{seq},op:string,result:string,status:string,attempt:int>>")
+
+    def traced(acc, e):
+        s = move(acc["s"], e)
+        came = F.struct(e["seq"].alias("seq"), e["op"].alias("op"), s["last_result"].alias("result"), s["status"].alias("status"), s["attempt"].alias("attempt"))
+        return F.struct(s.alias("s"), F.array_append(acc["r"], came).alias("r"))
+
+    out = clips.select("run_id", "clip_id", F.aggregate("e", F.struct(start.alias("s"), none.alias("r")), traced).alias("x"))
+    return out.select("run_id", "clip_id", "x.s.*", F.col("x.r").alias("results"))
+
+
+def succeeded_ids(states: DataFrame, run_id: str) -> DataFrame:
+    return of_run(states, run_id, ("clip_id",), (SUCCEEDED,)).distinct()
+
+
+def of_run(states: DataFrame, run_id: str, columns: tuple[str, ...] | None = None, statuses: tuple[str, ...] = ()) -> DataFrame:
+    """A run's rows, only columns and of statuses if asked for: both reach the scan, whose folders are runs if it was written by write_states."""
+    out = states.where(F.col("run_id") == run_id)
+    out = out.where(F.col("status").isin(*statuses)) if statuses else out
+    return out.select(*columns) if columns else out
+
+
+def state_of(states: DataFrame, run_id: str, clip_id: int) -> DataFrame:
+    return states.where((F.col("run_id") == run_id) & (F.col("clip_id") == clip_id))
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """A folder a run, so that a run's scan reads only its own."""
+    states.write.mode("overwrite").partitionBy("run_id").parquet(path)
+
+
+def stale(states: DataFrame, now: float) -> DataFrame:
+    """Running clips whose lease has run out: those that a claim takes over."""
+    return states.where((F.col("status") == RUNNING) & (F.col("lease") < now))
 
 
 def initialise(states: DataFrame, clips: DataFrame) -> DataFrame:

@@ -25,17 +25,27 @@ def without_internal(records: DataFrame, prefix: str = "_aggregation_") -> DataF
     return records.drop(*[c for c in records.columns if c.startswith(prefix)])
 
 
-def merge_summary(attempts: DataFrame, best: DataFrame, expected: DataFrame, invalid_lines: int = 0) -> DataFrame:
-    """One row about a merge. Repeated ids are counted before records are held to what is expected, so none is unexpected."""
+def merge_problems(attempts: DataFrame, best: DataFrame, expected: DataFrame) -> DataFrame:
+    """(problem, clip_id): duplicate (before records are held to what is expected), missing, unsuccessful."""
     held = best.join(expected, "clip_id", "left_semi")
-    ids = lambda df, name: df.agg(F.array_sort(F.collect_set("clip_id")).alias(name))
+    named = lambda df, problem: df.select(F.lit(problem).alias("problem"), "clip_id")
     twice = attempts.groupBy("clip_id").count().where("count > 1")
+    return named(twice, "duplicate").unionByName(named(expected.join(held, "clip_id", "left_anti"), "missing")).unionByName(named(held.where(~success()), "unsuccessful"))
+
+
+def merge_summary(attempts: DataFrame, best: DataFrame, expected: DataFrame, invalid_lines: int = 0, most: int = 10) -> DataFrame:
+    """One row about a merge: counts, and of each problem how many clips and the first most ids. All of them are in merge_problems."""
+    problems = merge_problems(attempts, best, expected)
+    first = problems.withColumn("r", F.row_number().over(Window.partitionBy("problem").orderBy("clip_id"))).where(F.col("r") <= most)
+    kinds = ("duplicate", "missing", "unsuccessful")
+    counts = problems.agg(*[F.count_if(F.col("problem") == k).alias(f"n_{k}") for k in kinds])
+    ids = first.agg(*[F.array_sort(F.collect_list(F.when(F.col("problem") == k, F.col("clip_id")))).alias(f"{k}_ids") for k in kinds])
     rows = attempts.agg(F.count("*").alias("raw_valid"), F.count_distinct("clip_id").alias("unique_clips"))
-    kept = held.agg(F.count("*").alias("selected"), F.count_if(success()).alias("successes"))
-    out = rows.withColumn("invalid_lines", F.lit(invalid_lines)).crossJoin(kept)  # single rows each
-    for one in (ids(twice, "duplicate_ids"), ids(expected.join(held, "clip_id", "left_anti"), "missing_ids"), ids(held.join(expected, "clip_id", "left_anti"), "unexpected_ids"), ids(held.where(~success()), "unsuccessful_ids")):
-        out = out.crossJoin(one)
-    return out.withColumn("complete", (F.size("missing_ids") == 0) & (F.size("unexpected_ids") == 0) & (F.size("unsuccessful_ids") == 0))
+    kept = best.join(expected, "clip_id", "left_semi").agg(F.count("*").alias("selected"), F.count_if(success()).alias("successes"))
+    out = rows.withColumn("invalid_lines", F.lit(invalid_lines)).crossJoin(kept).crossJoin(counts).crossJoin(ids)  # single rows each
+    # records are held to what is expected before, so none is unexpected
+    out = out.withColumns({"n_unexpected": F.lit(0).cast("long"), "unexpected_ids": F.slice("duplicate_ids", 1, 0)})
+    return out.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_unsuccessful") == 0))
 
 
 def reusable(planned: DataFrame, there: DataFrame, verify: bool = True) -> DataFrame:

@@ -35,7 +35,7 @@ def requested(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.distinct(), "clip_id", "left_semi")
 
 
-def positions(records: DataFrame, ranges: int = 1) -> DataFrame:
+def positions(records: DataFrame, ranges: int = 32) -> DataFrame:
     """records with their place (from 0) in the order of clip_id.
 
     With ranges over 1 no task sorts all of them: counts of ranges give each range its offset.
@@ -49,7 +49,7 @@ def positions(records: DataFrame, ranges: int = 1) -> DataFrame:
     return dealt.withColumn("inside", inside).join(F.broadcast(counts.select("range", "offset")), "range").withColumn("position", (F.col("offset") + F.col("inside")).cast("int")).drop("range", "offset", "inside")
 
 
-def assigned(records: DataFrame, shards: int, shard: int | None = None, ranges: int = 1) -> DataFrame:
+def assigned(records: DataFrame, shards: int, shard: int | None = None, ranges: int = 32) -> DataFrame:
     """records with shard, the place modulo shards after any filter before; only one shard's if asked for."""
     out = positions(records, ranges).withColumn("shard", F.col("position") % shards)
     return out if shard is None else out.where(F.col("shard") == shard)

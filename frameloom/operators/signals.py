@@ -1,80 +1,194 @@
-"""Pixel kernels on gray frames as arrays of ints, row by row: brightness, sharpness, histograms, differences."""
+"""Pixel kernels on gray frames as arrays of ints: NumPy over Arrow batches, a call a frame and none a pixel."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.columns import let
+FLOW = "mean double, p90 double, area double"
+
+
+def _each(kind: str, f: Callable) -> Callable[..., Column]:
+    """A column function of f, which gets the values of a row and isn't asked where one of them is null."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or (isinstance(v, float) and v != v) for v in row) else f(*row) for row in zip(*columns)], dtype=object)
 
+    def struct(*columns: pd.Series) -> pd.DataFrame:
+        names = [x.strip().split(" ")[0] for x in kind.split(",")]
+        rows = [(None,) * len(names) if any(v is None for v in row) else f(*row) for row in zip(*columns)]
+        return pd.DataFrame(rows, columns=names)
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return lambda *columns: F.pandas_udf(struct if " " in kind else run, kind)(*columns)
 
 
-def mean(px: Column) -> Column:
-    return _sum(px) / F.size(px)
+def _mean(px) -> float:
+    return float(np.mean(px)) if len(px) else None
 
 
-def variance(v: Column) -> Column:
-    """Population variance."""
-    return let(mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(v))
+def _laplacian_variance(px, height, width) -> float:
+    """Population variance of the 3x3 Laplacian; beyond the border the image is mirrored without repeating the border."""
+    g = np.asarray(px, float).reshape(int(height), int(width))
+    p = np.pad(g, [(min(1, n - 1),) * 2 for n in g.shape], mode="reflect")
+    p = np.pad(p, [(int(n == 1),) * 2 for n in g.shape], mode="edge")
+    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
 
 
-def laplacian(px: Column, height: Column, width: Column) -> Column:
-    """The 3x3 Laplacian of each pixel; beyond the border the image is mirrored without repeating the border."""
-    mirror = lambda i, n: F.when(n == 1, 0).when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
-    at = lambda y, x: F.element_at(px, (mirror(y, height) * width + mirror(x, width) + 1).cast("int")).cast("double")
+def _bhattacharyya(a, b) -> float:
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    size = np.sqrt(a.sum() * b.sum())
+    return float(np.sqrt(max(0.0, 1 - np.sqrt(a * b).sum() / size))) if size > 0 else 0.0
 
-    def one(i):
-        y, x = F.floor(i / width).cast("int"), (i % width).cast("int")
-        return at(y - 1, x) + at(y + 1, x) + at(y, x - 1) + at(y, x + 1) - 4 * at(y, x)
 
-    return F.transform(F.sequence(F.lit(0), height * width - 1), one)
+def _correlation_distance(a, b) -> float:
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    x, y = a - a.mean(), b - b.mean()
+    size = np.sqrt((x * x).sum() * (y * y).sum())
+    return max(0.0, 1 - float((x * y).sum() / size)) if size > 0 else 0.0
 
 
-def sharpness(px: Column, height: Column, width: Column) -> Column:
-    """Variance of the Laplacian."""
-    return let(laplacian(px, height, width), variance)
+mean = _each("double", _mean)
+#: Variance of the Laplacian of (pixels, height, width).
+sharpness = _each("double", _laplacian_variance)
+_absolute_difference = _each("double", lambda a, b: float(np.abs(np.asarray(a, float) - np.asarray(b, float)).mean()))
 
 
-def histogram(px: Column, bins: int, top: int = 256) -> Column:
+def histogram(px: Column | str, bins: int, top: int = 256) -> Column:
     """Counts of values 0..top-1 in even bins."""
-    step = top // bins
-    zero = F.array_repeat(F.lit(0.0), bins)
-    add = lambda h, v: F.transform(h, lambda c, i: F.when(i == F.floor(v / step), c + 1).otherwise(c))
-    return F.aggregate(px, zero, add)
+    return _each("array<double>", lambda v: np.bincount(np.asarray(v, np.int64) * bins // top, minlength=bins).astype(float).tolist())(px)
 
 
-def bhattacharyya(a: Column, b: Column) -> Column:
+def bhattacharyya(a: Column | str, b: Column | str) -> Column:
     """Distance of two histograms; 0 for missing ones."""
-    both = _sum(F.zip_with(a, b, lambda p, q: F.sqrt(p * q)))
-    share = both / F.sqrt(_sum(a) * _sum(b))
-    return F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 1 - share)), F.lit(0.0))
+    return F.coalesce(_each("double", _bhattacharyya)(a, b), F.lit(0.0))
 
 
-def correlation_distance(a: Column, b: Column) -> Column:
+def correlation_distance(a: Column | str, b: Column | str) -> Column:
     """One less the Pearson correlation, at least 0; 0 for missing ones."""
-    ma, mb = mean(a), mean(b)
-    co = let(ma, lambda x: let(mb, lambda y: _sum(F.zip_with(a, b, lambda p, q: (p - x) * (q - y)))))
-    size = F.sqrt(variance(a) * variance(b)) * F.size(a)
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.when(size > 0, co / size).otherwise(1.0)), F.lit(0.0))
+    return F.coalesce(_each("double", _correlation_distance)(a, b), F.lit(0.0))
 
 
-def absolute_difference(a: Column, b: Column) -> Column:
+def absolute_difference(a: Column | str, b: Column | str) -> Column:
     """Mean absolute difference, 0 without a frame before."""
-    return F.coalesce(_sum(F.zip_with(a, b, lambda p, q: F.abs(p - q).cast("double"))) / F.size(a), F.lit(0.0))
+    return F.coalesce(_absolute_difference(a, b), F.lit(0.0))
+
+
+def gray_pixels(data: Column | str, height: Column | str, width: Column | str, channels: Column | str) -> Column:
+    """Gray values of an image's bytes (one channel, or blue, green, red and perhaps alpha), rounded half to even."""
+
+    def gray(px, h, w, n):
+        if h <= 0 or w <= 0:
+            return None
+        v = np.frombuffer(px, np.uint8).reshape(-1, int(n)).astype(float)
+        return (v[:, 0] if n == 1 else np.rint(0.114 * v[:, 0] + 0.587 * v[:, 1] + 0.299 * v[:, 2])).astype(int).tolist()
+
+    return _each("array<int>", gray)(data, height, width, channels)
+
+
+def hue_saturation_histogram(data: Column | str, height: Column | str, width: Column | str, hues: int = 30, saturations: int = 32) -> Column:
+    """Counts of (hue, saturation) of an image's blue, green and red bytes, hue in 0..179, scaled to 0..1 by their least and greatest."""
+
+    def counts(px, h, w):
+        b, g, r = np.frombuffer(px, np.uint8).reshape(-1, 3).astype(float).T
+        top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+        d = np.where(top > low, top - low, 1)
+        hue = np.where(top == r, (g - b) / d, np.where(top == g, 2 + (b - r) / d, 4 + (r - g) / d)) * 30 * (top > low)
+        hue = np.rint(hue % 180) % 180
+        sat = np.rint(np.where(top > 0, 255 * (top - low) / np.where(top > 0, top, 1), 0))
+        n = np.bincount((hue * hues // 180 * saturations + sat * saturations // 256).astype(int), minlength=hues * saturations).astype(float)
+        return ((n - n.min()) / max(n.max() - n.min(), 1e-12)).tolist()
+
+    return _each("array<double>", counts)(data, height, width)
+
+
+def flow_numbers(dx: np.ndarray, dy: np.ndarray, threshold: float, camera: bool) -> tuple[float, float, float]:
+    """Mean, 90th percentile and share above threshold of a flow's lengths, less the median flow if the camera's motion is to be left out."""
+    dx, dy = np.asarray(dx, float).ravel(), np.asarray(dy, float).ravel()
+    if not len(dx):
+        return 0.0, 0.0, 0.0
+    if camera:
+        dx, dy = dx - np.median(dx), dy - np.median(dy)
+    size = np.sqrt(dx * dx + dy * dy)
+    return float(size.mean()), float(np.percentile(size, 90)), float((size > threshold).mean())
+
+
+def flow_summary(dx: Column | str, dy: Column | str, threshold: float = 1.0, camera: bool = True) -> Column:
+    """FLOW of flow vectors that are given."""
+    return _each(FLOW, lambda a, b: flow_numbers(a, b, threshold, camera))(dx, dy)
+
+
+def dense_flow(before: np.ndarray, after: np.ndarray, levels: int = 3, window: int = 15, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pixel of before went: least squares of brightness constancy in windows (Lucas-Kanade), coarse to fine."""
+
+    def halved(a):
+        a = a[: a.shape[0] // 2 * 2, : a.shape[1] // 2 * 2]
+        return (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4
+
+    def boxed(a):
+        r = window // 2
+        p = np.pad(np.pad(a, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return p[window:, window:] - p[:-window, window:] - p[window:, :-window] + p[:-window, :-window]
+
+    def at(a, y, x):
+        y, x = np.clip(y, 0, a.shape[0] - 1), np.clip(x, 0, a.shape[1] - 1)
+        y0, x0 = np.minimum(y.astype(int), max(a.shape[0] - 2, 0)), np.minimum(x.astype(int), max(a.shape[1] - 2, 0))
+        y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
+        fy, fx = y - y0, x - x0
+        return (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
+
+    steps = [(before.astype(float), after.astype(float))]
+    while len(steps) < levels and min(steps[-1][0].shape) >= 16:
+        steps.append((halved(steps[-1][0]), halved(steps[-1][1])))
+    dx = dy = np.zeros((1, 1))
+    for k, (a, b) in enumerate(reversed(steps)):
+        y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+        scale = 2.0 if k else 0.0
+        dx, dy = (scale * at(v, y / 2, x / 2) for v in (dx, dy))
+        gy, gx = (np.gradient(a, axis=i) if a.shape[i] > 1 else np.zeros_like(a) for i in (0, 1))
+        xx, xy, yy = boxed(gx * gx), boxed(gx * gy), boxed(gy * gy)
+        damp = 0.02 * float(np.mean(xx + yy)) + 1e-9  # where a window tells little, flow stays as it is
+        xx, yy = xx + damp, yy + damp
+        det = xx * yy - xy * xy
+        for _ in range(rounds):
+            to_y, to_x = y + dy, x + dx
+            seen = (to_y >= 0) & (to_y <= a.shape[0] - 1) & (to_x >= 0) & (to_x <= a.shape[1] - 1)
+            t = np.where(seen, at(b, to_y, to_x) - a, 0)
+            tx, ty = boxed(gx * t), boxed(gy * t)
+            dx, dy = dx - np.clip((yy * tx - xy * ty) / det, -window, window), dy - np.clip((xx * ty - xy * tx) / det, -window, window)
+    return dx, dy
+
+
+def optical_flow(before: Column | str, gray: Column | str, height: Column | str, width: Column | str, threshold: float = 1.0, camera: bool = True, ignore_bottom: float = 0.0, levels: int = 3) -> Column:
+    """FLOW between two frames, zeros without a frame before; the bottom share is ignored if asked for."""
+
+    def flow(a, b, h, w):
+        keep = max(1, min(int(h), round(int(h) * (1 - ignore_bottom))))
+        shape = lambda v: np.asarray(v, float).reshape(int(h), int(w))[:keep]
+        return flow_numbers(*dense_flow(shape(a), shape(b), levels), threshold, camera)
+
+    found = _each(FLOW, flow)(before, gray, height, width)
+    return F.struct(*[F.coalesce(found[c], F.lit(0.0)).alias(c) for c in ("mean", "p90", "area")])
 
 
 def with_frame_signals(frames: DataFrame) -> DataFrame:
     """frames(clip_id, frame_index, gray, height, width) with brightness, sharpness, frame_diff and hist_diff against the frame sampled before."""
     by = Window.partitionBy("clip_id").orderBy("frame_index")
-    f = frames.withColumn("_h", histogram(F.col("gray"), 64)).withColumns({"_g0": F.lag("gray").over(by), "_h0": F.lag("_h").over(by)})
+    f = frames.withColumn("_h", histogram("gray", 64)).withColumns({"_g0": F.lag("gray").over(by), "_h0": F.lag("_h").over(by)})
     return f.withColumns(
-        {
-            "brightness": mean(F.col("gray")),
-            "sharpness": sharpness(F.col("gray"), F.col("height"), F.col("width")),
-            "frame_diff": absolute_difference(F.col("gray"), F.col("_g0")),
-            "hist_diff": bhattacharyya(F.col("_h"), F.col("_h0")),
-        }
+        {"brightness": mean("gray"), "sharpness": sharpness("gray", "height", "width"), "frame_diff": absolute_difference("gray", "_g0"), "hist_diff": bhattacharyya("_h", "_h0")}
     ).drop("_h", "_g0", "_h0")
+
+
+def with_flow(frames: DataFrame, **how) -> DataFrame:
+    """frames(clip_id, frame_index, gray, height, width) with flow (FLOW) against the frame sampled before."""
+    before = F.lag("gray").over(Window.partitionBy("clip_id").orderBy("frame_index"))
+    return frames.withColumn("_g0", before).withColumn("flow", optical_flow("_g0", "gray", "height", "width", **how)).drop("_g0")
+
+
+def motion_scores(frames: DataFrame) -> DataFrame:
+    """frames(clip_id, timestamp, frame_index, gray, height, width) -> (clip_id, timestamp, score): the mean length of the flow."""
+    return with_flow(frames, camera=False, levels=2).select("clip_id", "timestamp", F.col("flow.mean").alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import columns as C
 
 
-def running_starts(clips: DataFrame, ranges: int = 1) -> DataFrame:
+def running_starts(clips: DataFrame, ranges: int = 32) -> DataFrame:
     """clips(clip_id, line, duration_sec) with start_sec and end_sec, in the order of (clip_id, line).
 
     With ranges over 1 the clips are dealt into ranges of clip_id: each range is summed, the sums of ranges (few rows)
@@ -75,7 +75,11 @@ def frame_sources(manifest: DataFrame, present: DataFrame) -> DataFrame:
     return paths.join(there, "image_path", "left").agg(F.count("*").alias("n_references"), F.count_distinct("image_path").alias("n_paths"), F.count_if(F.col("there").isNull()).alias("n_missing"))
 
 
-def boundaries(clips: DataFrame) -> DataFrame:
-    """Beyond the reference: a row for each pair of adjacent clips."""
-    by = Window.orderBy("clip_id")
-    return clips.select("clip_id", F.lead("clip_id").over(by).alias("next_clip_id"), "end_sec").where("next_clip_id is not null")
+def boundaries(clips: DataFrame, ranges: int = 32) -> DataFrame:
+    """Beyond the reference: a row for each pair of adjacent clips. Ranges of ids are sorted each for itself; a range's last clip meets the first of the next."""
+    edges = clips.select(F.percentile_approx(F.col("clip_id").cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
+    dealt = clips.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("e", lambda x: x < F.col("clip_id")))).drop("e")  # one row of at most ranges numbers
+    firsts = dealt.groupBy("range").agg(F.min("clip_id").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("range")))
+    inside = dealt.withColumn("inside", F.lead("clip_id").over(Window.partitionBy("range").orderBy("clip_id")))
+    out = inside.join(F.broadcast(firsts.select("range", "after")), "range")  # a row a range
+    return out.select("clip_id", F.coalesce("inside", "after").alias("next_clip_id"), "end_sec").where("next_clip_id is not null")

@@ -207,8 +207,7 @@ SELECT *, n_missing = 0 AND n_unsuccessful = 0 AS complete FROM (SELECT (SELECT
 def q_merge_summary(spark, sf_dir):
     a = attempts(spark, sf_dir)
     s = M.merge_summary(a, M.best_records(a), spark.range(390).select(F.col("id").cast("int").alias("clip_id")))
-    size = lambda c, n: F.size(c).cast("long").alias(n)
-    return s.select("raw_valid", "unique_clips", "invalid_lines", "selected", "successes", size("duplicate_ids", "n_duplicate"), size("missing_ids", "n_missing"), size("unsuccessful_ids", "n_unsuccessful"), "complete")
+    return s.select("raw_valid", "unique_clips", "invalid_lines", "selected", "successes", "n_duplicate", "n_missing", "n_unsuccessful", "complete")
 
 
 STEP = {
@@ -261,22 +260,22 @@ def q_dup_ids(spark, sf_dir):
     return R.duplicate_ids(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("clip_id")))
 
 
-@query("""WITH p AS (SELECT p_name AS path, p_size AS size, sha256(p_name || p_brand) AS digest FROM part), t AS (SELECT p_name AS path, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE sha256(p_name || p_brand) END AS digest FROM part WHERE p_partkey % 3 <> 0)
+@query("""WITH p AS (SELECT p_name || '/' || p_partkey AS path, p_size AS size, sha256(p_name || p_brand) AS digest FROM part), t AS (SELECT p_name || '/' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS size, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE sha256(p_name || p_brand) END AS digest FROM part WHERE p_partkey % 3 <> 0)
 SELECT p.path, p.size, coalesce(p.size = t.size AND p.digest = t.digest, false) AS reuse FROM p LEFT JOIN t USING (path)""", views="")
 def q_bundle_reuse(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    digest = F.sha2(F.concat("p_name", "p_brand"), 256)
-    planned = p.select(F.col("p_name").alias("path"), F.col("p_size").alias("size"), digest.alias("digest"))
+    digest, path = F.sha2(F.concat("p_name", "p_brand"), 256), F.concat_ws("/", "p_name", F.col("p_partkey").cast("string"))
+    planned = p.select(path.alias("path"), F.col("p_size").alias("size"), digest.alias("digest"))
     k = F.col("p_partkey")
-    there = p.where(k % 3 != 0).select(F.col("p_name").alias("path"), F.when(k % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(k % 7 == 0, "").otherwise(digest).alias("digest"))
+    there = p.where(k % 3 != 0).select(path.alias("path"), F.when(k % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"), F.when(k % 7 == 0, "").otherwise(digest).alias("digest"))
     return M.reusable(planned, there).select("path", "size", "reuse")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS clip_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PENDING' ELSE 'RUNNING' END AS status, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS completed FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH s AS (SELECT o_orderkey AS clip_id, CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PENDING' ELSE 'RUNNING' END AS status, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS completed FROM orders WHERE o_orderstatus <> 'P'),
 d AS (SELECT DISTINCT l_orderkey AS clip_id FROM lineitem WHERE l_returnflag = 'R')
 SELECT coalesce(s.clip_id, d.clip_id) AS clip_id, CASE WHEN d.clip_id IS NOT NULL THEN 'SUCCEEDED' ELSE s.status END AS status, CASE WHEN d.clip_id IS NOT NULL THEN coalesce(s.completed, 1e0) ELSE s.completed END AS completed FROM s FULL JOIN d ON s.clip_id = d.clip_id""", views="")
 def q_import_success(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")  # those have no state yet
     none = F.lit(None)
     status = F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("RUNNING")
     s = o.select(F.lit("run").alias("run_id"), F.col("o_orderkey").alias("clip_id"), Z.state(**{k: none for k in Z.STATE} | {"status": status, "attempt": F.lit(1), "completed": F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))}).alias("s")).select("run_id", "clip_id", "s.*")

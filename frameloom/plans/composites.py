@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions import columns as C
 from frameloom.operators import evaluation as E
 from frameloom.operators import merge as M
+from frameloom.operators import sampling as S
+from frameloom.operators import selection as K
 from frameloom.operators import shards as R
 from frameloom.operators import signals as G
 from frameloom.operators import timeline as T
 
 
-def build_manifest(records: DataFrame, ranges: int = 1) -> DataFrame:
+def build_manifest(records: DataFrame, ranges: int = 32) -> DataFrame:
     """Sampling records(clip_file, line, duration_sec, error, selected_frames) -> manifest rows on the global timeline.
 
     Clip ids are those in file names, else the record's place; failed clips keep a row and a span of no length.
@@ -31,17 +33,17 @@ def build_manifest(records: DataFrame, ranges: int = 1) -> DataFrame:
 
 def evaluate_keyframes(keyframes: DataFrame, images: DataFrame, version: str) -> DataFrame:
     """keyframes(clip_id, frame_id, timestamp, frame_path) with images(frame_path, gray, height, width): quality flags of each frame."""
-    f = keyframes.where("clip_id is not null").join(images, "frame_path", "left")
+    f = keyframes.where("clip_id is not null").join(images, "frame_path", "left").withColumn("_h", G.histogram("gray", 256))
     there = F.col("gray").isNotNull()
     f = f.withColumns(
         {
-            "brightness": F.when(there, G.mean(F.col("gray"))),
-            "sharpness": F.when(there, G.sharpness(F.col("gray"), F.col("height"), F.col("width"))),
-            "entropy": F.when(there, E.entropy(G.histogram(F.col("gray"), 256))),
+            "brightness": F.when(there, G.mean("gray")),
+            "sharpness": F.when(there, G.sharpness("gray", "height", "width")),
+            "entropy": F.when(there, E.entropy(F.col("_h"))),
             "vector": F.when(there, C.centred(F.col("gray"))),
         }
     )
-    return E.with_flags(E.with_similarity(f)).withColumn("version", F.lit(version)).drop("gray", "vector")
+    return E.with_flags(E.with_similarity(f)).withColumn("version", F.lit(version)).drop("gray", "vector", "_h")
 
 
 def evaluate_motion_coverage(keyframes: DataFrame, motion: DataFrame, paths: DataFrame, version: str, tolerance: float = E.TOLERANCE) -> DataFrame:
@@ -75,3 +77,51 @@ def bundle_plan(planned: DataFrame, local: DataFrame, needed: str = "config.json
     if not planned.where(F.element_at(F.split("path", "/"), -1) == needed).limit(1).count():
         raise ValueError(f"the bundle has no {needed}")
     return M.reusable(planned, local)
+
+
+def local_frames(manifest: DataFrame, cache: str) -> DataFrame:
+    """A manifest whose frames in an object store are named by their place in the cache, the store's path kept as source_image_path."""
+
+    def held(f, i):
+        name = F.element_at(F.split(f["image_path"], "/"), -1)
+        there = F.concat(F.lit(f"{cache.rstrip('/')}/frames/"), F.format_string("clip_%04d/%02d_", F.col("clip_id"), i), name)
+        return f.withField("source_image_path", f["image_path"]).withField("image_path", F.when(f["image_path"].rlike("(?i)^s3://"), there).otherwise(f["image_path"]))
+
+    return manifest.withColumn("selected_frames", F.transform("selected_frames", held))
+
+
+def contact_grid(frames: DataFrame, width: int = 320, height: int = 180, most_columns: int = 4) -> DataFrame:
+    """frames(clip_id, frame_order) with where each lies on its clip's sheet: (row, column, left, top, columns, rows)."""
+    n = frames.groupBy("clip_id").agg(F.count("*").alias("n"))
+    out = frames.join(n, "clip_id").withColumn("columns", F.least(F.lit(most_columns), F.col("n")).cast("int"))
+    out = out.withColumns({"rows": F.ceil(F.col("n") / F.col("columns")).cast("int"), "row": F.floor(F.col("frame_order") / F.col("columns")).cast("int"), "column": (F.col("frame_order") % F.col("columns")).cast("int")})
+    return out.withColumns({"left": F.col("column") * width, "top": F.col("row") * height}).drop("n")
+
+
+def manifest_complete(expected: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row (complete, reason, n, missing): every clip_file of expected has a manifest row with frames."""
+    done = manifest.where(F.coalesce("selected_frame_count", F.lit(0)) > 0).select("clip_file").distinct()
+    both = expected.select("clip_file").distinct().join(done.withColumn("_there", F.lit(True)), "clip_file", "left")
+    counts = both.agg(F.count("*").alias("n"), F.count_if(F.col("_there").isNull()).alias("missing"))
+    reason = F.when(F.col("n") == 0, "no clips").when(F.col("missing") > 0, F.format_string("%d missing", "missing")).otherwise("complete")
+    return counts.select((reason == "complete").alias("complete"), reason.alias("reason"), "n", "missing")
+
+
+def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_frames: int = 8, min_gap_sec: float = 1.0, use_optical_flow: bool = True, adaptive: bool = True, version: str = "1") -> DataFrame:
+    """The sampler: raw frames -> a row a clip with its chosen frames, their file names, and how the flow was weighed.
+
+    frames(clip_id, frame_index, timestamp_sec, value, kind, brightness, sharpness, flow_score, motion_area).
+    """
+    signals = S.with_lag_signals(frames)
+    scored = S.scored(signals, use_optical_flow, adaptive)
+    chosen = K.select_keyframes(scored, durations, num_frames, min_gap_sec)
+    one = F.struct("frame_order", "frame_index", "timestamp_sec", "selected_reason", "combined_score", C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index")).alias("image_file"))
+    nested = chosen.groupBy("clip_id").agg(F.array_sort(F.collect_list(one)).alias("selected_frames"), F.count("*").cast("int").alias("selected_count"))
+    counts = scored.groupBy("clip_id").agg(F.count("*").alias("num_candidates"), F.first("weight").alias("flow_weight"))
+    category: Column = F.lit("fixed_flow_weight" if use_optical_flow else "no_optical_flow")
+    out = counts.join(nested, "clip_id")
+    if use_optical_flow and adaptive:
+        out = out.join(S.clip_dynamics(signals).select("clip_id", "dynamic_score", F.col("label").alias("dynamic_category")), "clip_id")
+    else:
+        out = out.withColumns({"dynamic_score": F.lit(0.0), "dynamic_category": category})
+    return out.withColumn("sampler_version", F.lit(version))

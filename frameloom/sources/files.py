@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from frameloom.functions import columns as C
 from frameloom.functions.jsontext import json_ok
 
-VIDEO = "*.{mp4,mov,mkv,avi,webm,MP4,MOV,MKV,AVI,WEBM}"
+#: Suffixes of videos.
+VIDEO_SUFFIXES = ("mp4", "mov", "mkv", "avi", "webm")
 IMAGE = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
 #: Names by which records call a clip's id and its summary, in the order they are tried.
 ID_NAMES = ("clip_id", "clip", "id", "name", "video", "file", "filename")
@@ -36,13 +37,30 @@ def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = T
         return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp" + ", content binary" * content)
 
 
-def find_videos(spark: SparkSession, path: str) -> DataFrame:
-    """Videos of a folder, not of those in it, in the order of path."""
-    return listing(spark, path, VIDEO, recursive=False).select("path").orderBy("path")
+class NoFiles(ValueError):
+    """A folder holds none of the files that a reader needs."""
+
+
+def with_suffix(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """The files whose name ends in one of suffixes, in either case."""
+    return files.where(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$"))
+
+
+def find_videos(spark: SparkSession, path: str, suffixes: tuple[str, ...] = VIDEO_SUFFIXES, needed: bool = False) -> DataFrame:
+    """Videos of a folder, not of those in it, in the order of path; an error if there are none and one is needed."""
+    out = with_suffix(listing(spark, path, recursive=False), suffixes).select("path").orderBy("path")
+    if needed and out.isEmpty():
+        raise NoFiles(f"no videos in {path}")
+    return out
+
+
+def clip_rows(files: DataFrame) -> DataFrame:
+    """files(path) -> (clip_id, clip_path) of the videos among them."""
+    return with_suffix(files, VIDEO_SUFFIXES).select(C.normalize_clip_id(F.col("path")).alias("clip_id"), F.col("path").alias("clip_path"))
 
 
 def scan_clips(spark: SparkSession, path: str) -> DataFrame:
-    return listing(spark, path, VIDEO).select(C.normalize_clip_id(F.col("path")).alias("clip_id"), F.col("path").alias("clip_path")).orderBy("clip_id", "clip_path")
+    return clip_rows(listing(spark, path)).orderBy("clip_id", "clip_path")
 
 
 def keyframe_rows(paths: DataFrame) -> DataFrame:
@@ -61,24 +79,30 @@ def with_digest(files: DataFrame) -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256))
 
 
+def bundle_rows(files: DataFrame) -> DataFrame:
+    """files(relative_path, length, content) -> (relative_path, size_bytes, sha256) of those that lie in no excluded part."""
+    parts = F.split("relative_path", "/")
+    kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED_PARTS))))
+    return with_digest(kept).select("relative_path", F.col("length").alias("size_bytes"), "sha256")
+
+
 def bundle_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(relative_path, size_bytes, sha256) of a folder's files but those in excluded parts."""
+    """The rows of a bundle that is a folder."""
     root = path.rstrip("/") + "/"
-    files = with_digest(listing(spark, path, content=True))
-    rel = F.regexp_replace("path", "^.*?" + root.replace(".", r"\."), "")
-    files = files.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), "sha256")
-    parts = F.split("relative_path", "/")
-    return files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED_PARTS))))
+    return bundle_rows(listing(spark, path, content=True).withColumn("relative_path", F.regexp_replace("path", "^.*?" + root.replace(".", r"\."), "")))
+
+
+def bundle_totals(planned: DataFrame) -> DataFrame:
+    """One row about planned(size_bytes, reuse): files, bytes, GiB, and how many are uploaded or there already."""
+    return planned.agg(F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_bytes"), C.gib(F.sum("size_bytes")).alias("total_gib"), F.count_if(~F.col("reuse")).alias("uploaded"), F.count_if("reuse").alias("skipped"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, gray array<int>) of images; ones that can't be read have null gray."""
+    from frameloom.operators.signals import gray_pixels
+
     df = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
-    byte = lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("int")
-    n = F.col("nChannels")
-    pixel = lambda p: F.when(n == 1, byte(p + 1)).otherwise(F.bround(0.114 * byte(p * n + 1) + 0.587 * byte(p * n + 2) + 0.299 * byte(p * n + 3)).cast("int"))
-    gray = F.when(F.col("height") > 0, F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel))
-    return df.select(F.col("origin").alias("path"), "height", "width", gray.alias("gray"))
+    return df.select(F.col("origin").alias("path"), "height", "width", gray_pixels("data", "height", "width", "nChannels").alias("gray"))
 
 
 def filled(record: Column, name: str) -> Column:
@@ -102,10 +126,17 @@ def summaries_of(records: DataFrame, more_ids: tuple[str, ...] = (), more_summar
     return out.where("raw is not null").select(C.normalize_clip_id(F.col("raw")).alias("clip_id"), F.coalesce("summary", F.lit("")).alias("summary"))
 
 
-def scan_summaries(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(clip_id, summary) in the order of id from a folder of texts, a JSON list or map, JSON lines or a CSV table."""
+def kind_of(path: str) -> str:
+    """What a path's suffix says of it: json, jsonl or csv; without a suffix it is a folder of texts."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    return name.rsplit(".", 1)[-1] if "." in name else "folder"
+
+
+def scan_summaries(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(clip_id, summary) in the order of id from a folder of texts, a JSON list or map, JSON lines or a CSV table; the path says which."""
+    kind = kind or kind_of(path)
     if kind == "folder":
-        files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{txt,md}").select(F.input_file_name().alias("p"), "value")
+        files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{txt,md}", recursiveFileLookup=True).select(F.input_file_name().alias("p"), "value")
         out = files.select(C.normalize_clip_id(F.col("p")).alias("clip_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("summary"))
     elif kind == "json":
         whole = spark.read.text(path, wholetext=True).select(F.parse_json(F.regexp_replace("value", "^﻿", "")).alias("j"))
@@ -126,8 +157,25 @@ def scan_summaries(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return out.orderBy("clip_id")
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    df.select(*(columns or df.columns)).write.mode("overwrite").csv(path, header=True)
+#: The columns of a manifest's table.
+MANIFEST_COLUMNS = ("clip_id", "clip_file", "duration_sec", "actual_start_time", "actual_end_time", "selected_frame_count", "video_path", "keyframe_output_dir", "contact_sheet_path", "sampler_metadata_path", "sampler_error")
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | tuple[str, ...] | None = None, bom: bool = False, needed: bool = False) -> None:
+    """A table with a header, with a byte-order mark before it if asked for; an error if there are no rows and some are needed."""
+    if needed and df.isEmpty():
+        raise NoFiles(f"nothing to write to {path}")
+    names = list(columns or df.columns)
+    out = df.select(*names)
+    if bom:
+        out = out.toDF("\ufeff" + names[0], *names[1:])
+    out.write.mode("overwrite").csv(path, header=True)
+
+
+def basic_check(df: DataFrame, key: str = "clip_id") -> DataFrame:
+    """One row: rows, distinct keys, and the first three rows by key as JSON."""
+    first = df.orderBy(key, *[c for c in df.columns if c != key]).limit(3).agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))).alias("sample"))
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys")).crossJoin(first)  # single rows
 
 
 def read_csv(spark: SparkSession, path: str, needed: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:

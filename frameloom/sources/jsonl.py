@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,10 +19,17 @@ def _missing(e: AnalysisException) -> bool:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_num, text) of the non-blank lines: files are read whole, as line numbers need them."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "text"))
-    return lines.where(F.trim("text") != "").select("file", (F.col("n") + 1).alias("line_num"), F.regexp_replace("text", "^﻿", "").alias("text"))
+    """(file, line_num, text) of the non-blank lines, read line by line.
+
+    A line's number is its place in its split and how many lines the file's splits before have: a row a split is summed.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("i"), "value")
+    before = Window.partitionBy("at.path").orderBy("at.block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("at").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("at", "first", "offset")
+    numbered = lines.join(splits, "at").select(F.element_at(F.split("at.path", "/"), -1).alias("file"), (F.col("i") - F.col("first") + F.col("offset") + 1).cast("int").alias("line_num"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    return numbered.where(F.trim("text") != "")
 
 
 def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType | str, key: str | None = "clip_id") -> tuple[DataFrame, DataFrame]:
@@ -67,12 +74,22 @@ def append_attempts(df: DataFrame, path: str) -> None:
 
 
 def compact_successes(attempts: DataFrame, path: str) -> None:
-    """The last success of each clip in a new folder, to be put in place of the old one."""
+    """The last success of each clip, in the order of id, in a new folder."""
     from frameloom.operators.shards import latest_success
 
     write_jsonl(latest_success(attempts), path, ["clip_id"])
 
 
+def swap(spark: SparkSession, new: str, path: str, backup: str) -> None:
+    """Puts the folder new in the place of path, whose content is kept as backup."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(to(path)) and not files.rename(to(path), to(backup)):
+        raise OSError(f"{path} can't be kept as {backup}")
+    if not files.rename(to(new), to(path)):
+        raise OSError(f"{new} can't be put in the place of {path}")
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Several tables under one folder, each as Parquet."""
     for name, df in tables.items():

@@ -1,64 +1,58 @@
-"""Streams: job states kept per clip as events arrive, tailing of attempt logs, and windows over events."""
+"""Streams: job states gone on from batch to batch, tailing of attempt logs, and windows over events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from frameloom.operators.jobstate import FINAL, PENDING, RETRYABLE, RUNNING, SUCCEEDED
-
-STATE = "status string, worker string, attempt int, lease double, started double"
-OUT = "run_id string, clip_id long, seq long, op string, result string, status string, attempt int"
-
-
-def advance(s: dict, op: str, worker: str, now: float, retryable: bool, lease_seconds: float, max_attempts: int) -> str:
-    """The strict dialect's transition on a mutable state, row by row; says what came of the event."""
-    now = float(int(now // 1))
-    live = s["status"] == RUNNING and (s["lease"] or 0) >= now
-    if op == "claim":
-        expired = s["status"] == RUNNING and s["lease"] is not None and s["lease"] < now
-        if (s["status"] in (PENDING, RETRYABLE) or expired) and s["attempt"] < max_attempts:
-            s.update(status=RUNNING, worker=worker, attempt=s["attempt"] + 1, lease=now + lease_seconds, started=s["started"] if s["started"] is not None else now)
-            return "claimed"
-        if s["status"] in (SUCCEEDED, FINAL):
-            return "already_succeeded" if s["status"] == SUCCEEDED else "final_failed"
-        if live:
-            return "leased_by_another_worker"
-        if s["attempt"] >= max_attempts:
-            if s["status"] != RUNNING or expired:
-                s.update(status=FINAL, worker=None, lease=None)
-            return "max_attempts_reached"
-        return "claim_condition_failed"
-    if s["status"] != RUNNING or s["worker"] != worker:
-        return "not_owner"
-    if op == "renew":
-        s["lease"] = now + lease_seconds
-        return "renewed"
-    if op == "succeed":
-        s.update(status=SUCCEEDED, lease=None)
-        return "succeeded"
-    s.update(status=RETRYABLE if retryable and s["attempt"] < max_attempts else FINAL, lease=None)
-    return s["status"]
-
-
-def job_state_stream(events: DataFrame, lease_seconds: float = 7200, max_attempts: int = 3) -> DataFrame:
-    """A stream of events(run_id, clip_id, seq, op, worker, now, retryable) -> what came of each. Events of a batch are taken in order of seq."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(("status", "worker", "attempt", "lease", "started"), state.get)) if state.exists else {"status": PENDING, "worker": None, "attempt": 0, "lease": None, "started": None}
-        out = []
-        every = pd.concat(list(frames)).sort_values("seq")
-        for e in every.itertuples():
-            result = advance(s, e.op, e.worker, e.now, bool(e.retryable), lease_seconds, max_attempts)
-            out.append((key[0], key[1], e.seq, e.op, result, s["status"], s["attempt"]))
-        state.update(tuple(s.values()))
-        yield pd.DataFrame(out, columns=["run_id", "clip_id", "seq", "op", "result", "status", "attempt"])
-
-    return events.groupBy("run_id", "clip_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+from frameloom.operators import jobstate as Z
+
+EVENT = "run_id string, clip_id long, seq long, op string, result string, status string, attempt int"
+
+
+def folders(spark: SparkSession, path: str, start: str) -> list[str]:
+    """Names of the finished folders in path that begin with start, in order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = lambda x: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
+    return sorted(x.getPath().getName() for x in files.listStatus(where) if x.getPath().getName().startswith(start) and done(x)) if files.exists(where) else []
+
+
+def current_states(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The states after the last batch (before batch number before)."""
+    names = [n for n in folders(spark, path, "states-") if before is None or int(n.split("-")[1]) < before]
+    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+
+
+def state_keeper(path: str, dialect: str = "strict", lease_seconds: float = 7200, max_attempts: int = 3) -> Callable[[DataFrame, int], None]:
+    """For writeStream.foreachBatch: folds a batch of events(run_id, clip_id, seq, op, worker, now, retryable) on the states of the batch before.
+
+    It is the batch engine's transition, so there is but one. Each batch writes its states and what came of its events
+    under its number; a batch that is run again after a crash starts from the same states and writes the same. Clips that
+    aren't known yet are made pending first. Leases run out by the time of the next claim.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        events = batch.withColumn("error", F.lit(None).cast("string")) if "error" not in batch.columns else batch
+        states = current_states(spark, path, number)
+        if states is None:
+            states = events.select("run_id", "clip_id", Z.initial().alias("s")).select("run_id", "clip_id", "s.*").limit(0)
+        out = Z.fold(events, dialect, lease_seconds, max_attempts, Z.initialise(states, events), trace=True)
+        out.write.mode("overwrite").parquet(f"{path}/made-{number:012d}")
+        made = spark.read.parquet(f"{path}/made-{number:012d}")
+        made.select("run_id", "clip_id", F.explode("results").alias("r")).select("run_id", "clip_id", "r.*").write.mode("overwrite").parquet(f"{path}/results-{number:012d}")
+        made.drop("results").write.mode("overwrite").parquet(f"{path}/states-{number:012d}")
+
+    return keep
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """What came of the events of all batches (EVENT)."""
+    names = folders(spark, path, "results-")
+    return spark.read.parquet(*[f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], EVENT)
 
 
 def deduplicated_attempts(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:

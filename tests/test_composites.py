@@ -34,6 +34,21 @@ def test_signals_against_numpy(spark):
     assert d == pytest.approx(1 - np.corrcoef(a, b)[0, 1])
 
 
+def test_flow_finds_shifts(spark):
+    y, x = np.mgrid[:48, :64].astype(float)
+    scene = lambda dy, dx: 128 + 60 * np.sin((x - dx) / 5) * np.cos((y - dy) / 7) + 40 * np.sin((x - dx + y - dy) / 9)
+    dx, dy = G.dense_flow(scene(0, 0), scene(1.5, 2.5))
+    assert abs(np.median(dx) - 2.5) < 0.2 and abs(np.median(dy) - 1.5) < 0.2
+    rows = [(1, i, float(i), np.rint(scene(i, 2 * i)).astype(int).ravel().tolist(), 48, 64) for i in range(3)]
+    df = spark.createDataFrame(rows, "clip_id int, frame_index int, timestamp double, gray array<int>, height int, width int")
+    got = {r.timestamp: r.score for r in G.motion_scores(df).collect()}
+    assert got[0.0] == 0 and abs(got[1.0] - np.hypot(1, 2)) < 0.3 and abs(got[2.0] - np.hypot(1, 2)) < 0.3
+    assert all(r.flow.mean < 0.3 for r in G.with_flow(df).collect())  # the camera's motion is left out
+    one = spark.createDataFrame([(bytearray([0, 0, 255] * 3 + [10, 10, 10]), 2, 2)], "data binary, h int, w int")
+    hist = one.select(G.hue_saturation_histogram("data", "h", "w")).first()[0]
+    assert len(hist) == 960 and hist[31] == 1.0 and hist[0] == pytest.approx(1 / 3)
+
+
 @pytest.fixture
 def loader():
     def load():
@@ -101,8 +116,16 @@ def test_config():
     for bad in ({"shards": 0}, {"shard": 1}, {"lease_seconds": 0}, {"shared_state": True, "force": True, "run_id": "r"}, {"shared_state": True}):
         with pytest.raises(ValueError):
             config.WorkerConfig(**bad).checked()
-    env = {"A": "Yes", "N": "3", "E": " "}
-    assert config.flag("A", env=env) and not config.flag("B", env=env) and config.number("N", 1, env) == 3 and config.optional("E", "d", env) == "d" and config.required("A", env) == "Yes"
-    with pytest.raises(ValueError):
-        config.required("E", env)
-    assert config.shard_of(None, 3) == 3 and config.shard_of(0, 3) == 0 and config.shard_of(None, None) == 0
+    env = {"FL_SHARDS": "3", "JOB_ARRAY_INDEX": "2", "FL_SHARED_STATE": "Yes", "FL_FORCE": "no", "FL_OUTPUT": " "}
+    c = config.from_text(config.WorkerConfig, env, "FL_", run_id="r")
+    assert (c.shards, c.shard, c.shared_state, c.force, c.output, c.run_id) == (3, 2, True, False, "out", "r")
+    assert config.from_text(config.WorkerConfig, env, "FL_", shard=0).shard == 0
+
+    @config.dataclass(frozen=True)
+    class Needs:
+        name: "str"
+        size: "int" = 1
+
+    with pytest.raises(ValueError, match="NAME"):
+        config.from_text(Needs, {"NAME": ""})
+    assert config.from_text(Needs, {"NAME": "x", "SIZE": "4"}) == Needs("x", 4)

@@ -85,7 +85,12 @@ def test_job_state_stream(spark, tmp_path):
     write("1.json", [("r", 1, 0, "claim", "a", 0.0, False), ("r", 1, 1, "claim", "b", 1.0, False), ("r", 2, 2, "claim", "b", 1.0, False)])
     write("2.json", [("r", 1, 3, "fail", "a", 2.0, True), ("r", 1, 4, "claim", "b", 3.0, False), ("r", 1, 5, "succeed", "b", 4.0, False)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-    q = jobs.job_state_stream(stream).writeStream.format("memory").queryName("job_results").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.seq: (r.result, r.status, r.attempt) for r in spark.table("job_results").collect()}
-    assert got[0] == ("claimed", "RUNNING", 1) and got[1][0] == "leased_by_another_worker" and got[5] == ("succeeded", "SUCCEEDED", 2) and got[2][0] == "claimed"
+    kept = str(tmp_path / "kept")
+    for _ in range(2):
+        q = stream.writeStream.foreachBatch(jobs.state_keeper(kept)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = {r.seq: (r.result, r.status, r.attempt) for r in jobs.results(spark, kept).collect()}
+        assert got[0] == ("claimed", "RUNNING", 1) and got[1][0] == "leased_by_another_worker" and got[2][0] == "claimed"
+        write("3.json", [("r", 2, 6, "claim", "c", 1e6, False)])
+    states = {r.clip_id: (r.status, r.attempt, r.worker) for r in jobs.current_states(spark, kept).collect()}
+    assert got[5] == ("succeeded", "SUCCEEDED", 2) and states == {1: ("SUCCEEDED", 2, "b"), 2: ("RUNNING", 2, "c")}
