@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -61,6 +63,23 @@ def test_top_k_against_brute_force(spark, block):
     assert op4_topk.top_k(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [7e7, 1.0]), (1, [2.0, 0.0]), (2, [1e300, -1e300]), (3, [3e12 + 0.5, 2e9]), (20, [1e300, 1e300]), (40, [2.0**40 + 1, 3.0]), (41, [2.0**40, 3.0])]
+    rows += [(100 + i, (rng.normal(size=2) * 10.0 ** rng.integers(0, 15)).tolist()) for i in range(60)]
+    got = Counter(map(tuple, op4_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", k=6, block=16, query_block=4).collect()))
+    whole = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    hold = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    want = Counter()
+    for i, q in whole.items():
+        if i % 20 == 0:
+            scores = sorted((-hold(sum(x * y for x, y in zip(q, v))), j) for j, v in whole.items() if j != i)[:6]
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scores))
+    assert got == want and max(s for _, _, _, s in got) == 2**63 - 1
+    two = spark.createDataFrame([(0, [7e7, 1.0]), (1, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in op4_topk.top_k(two, "vec_id", "embedding").collect()] == [(0, 1, 1, 573440000000)]
+
+
 def test_bounds_hold_for_all_resolutions():
     rng = np.random.default_rng(9)
     q, c = (rng.integers(-60, 60, (50, 37)).astype(float) for _ in range(2))
