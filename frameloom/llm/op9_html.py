@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,6 +87,7 @@ class Tree:
     def __init__(self, page: str):
         self.tag, self.parent, self.out, self.article, self.named = ["#"], [0], [False], [False], [0]
         self.runs: list[tuple[int, str | None]] = []
+        self.opened: Counter[str] = Counter()  # how many of a name are on the stack: no search for what isn't there
         stack, at, end = [0], 0, len(page)
         while at < end:
             m = TAG.search(page, at)
@@ -109,10 +111,10 @@ class Tree:
     def pop(self, stack: list[int], depth: int) -> None:
         while len(stack) > depth:
             self.edge(stack, self.tag[stack[-1]])
-            stack.pop()
+            self.opened[self.tag[stack.pop()]] -= 1
 
     def close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1, 0, -1) if self.opened[name] else ():
             if self.tag[stack[k]] == name:
                 self.pop(stack, k)
                 return
@@ -121,14 +123,14 @@ class Tree:
         self.edge(stack, name)
 
     def open(self, stack: list[int], name: str, attrs: str, page: str, at: int) -> int:
-        if name in CLOSES_P:
+        if name in CLOSES_P and self.opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[k]] == "p":
                     self.pop(stack, k)
                     break
                 if self.tag[stack[k]] not in INLINE:
                     break
-        if name in ENDS:
+        if name in ENDS and any(self.opened[t] for t in ENDS[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if (t := self.tag[stack[k]]) in ENDS[name]:
                     self.pop(stack, k)
@@ -154,6 +156,7 @@ class Tree:
             m = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             return m.end() if m else len(page)
         stack.append(len(self.tag) - 1)
+        self.opened[name] += 1
         return at
 
 

@@ -1,5 +1,13 @@
 """Pages of any url as WARC, main texts under odd class names, and short paragraphs."""
 
+import os
+import time
+from html.parser import HTMLParser
+
+import duckdb
+import pytest
+from held import DATA
+
 from frameloom.llm import op2_warc, op6_paragraphs, op9_html
 
 
@@ -30,3 +38,40 @@ def test_short_paragraphs_are_units(spark):
     texts = [(1, "All rights reserved by us\nfirst text"), (2, "second\nall rights reserved by us"), (3, "Read more\nthird"), (4, "read  more\nfourth one"), (5, "more read")]
     out = op6_paragraphs.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.start, r.words, r.component_id, r.removed) for r in out} == {(1, 0, 5, 1, False), (2, 7, 5, 1, True), (3, 0, 2, 3, False), (4, 0, 2, 3, True)}
+
+
+class Slow(HTMLParser):
+    """The text of article elements, by the parser of the standard library."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.parts = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts.append("" if tag in op9_html.INLINE else " ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts.append("" if tag in op9_html.INLINE else " ")
+
+    def handle_data(self, data):
+        self.parts.append(data if self.depth else "")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_query_against_the_standard_parser(spark):
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{DATA}/pages.parquet'").fetchall()
+    got = {r.page_id: (r.text, r.n_chars) for r in op9_html.op9_html(spark, DATA).collect()}
+    want = {i: " ".join("".join(Slow(h or "").parts).split()) for i, h in pages}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_unbalanced_pages_take_time_in_proportion():
+    body = "".join(f"<p>Paragraph {i}, with commas, and text enough to count.</p>" for i in range(20))
+    for page in ("<div>" * 50_000 + "</span></b></li>" * 50_000, "<b>" * 50_000 + "<div></i>" * 50_000, "<ul><li>" * 50_000 + "</td>" * 50_000):
+        began = time.monotonic()
+        text = op9_html.main_text(f"<article>{body}</article>{page}")
+        assert text.startswith("Paragraph 0,") and time.monotonic() - began < 10
