@@ -96,10 +96,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, w
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """docs less those that hold an item; rows with null ids stay."""
-    bad = cut(contained(docs.select("doc_id", "text"), items, threshold, width).select("doc_id").distinct())
-    bad = F.broadcast(bad) if fits(bad, 32) else bad
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs less the rows whose text holds an item. Each row is judged by its own text, whatever its id; null texts stay."""
+    hashes = F.struct(F.xxhash64(F.col("text").cast("string")).alias("h1"), F.xxhash64(F.lit("text"), F.col("text").cast("string")).alias("h2"))
+    bad = cut(contained(docs.select(hashes.alias("doc_id"), "text"), items, threshold, width).select(F.col("doc_id").alias("key")).distinct())
+    bad = F.broadcast(bad) if fits(bad, 64) else bad
+    packed = docs.select(F.struct(*docs.columns).alias("row"), hashes.alias("key"))  # any names may be there
+    return packed.join(bad, "key", "left_anti").select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,14 +93,14 @@ def balance(histogram: DataFrame, sums: np.ndarray, targets: np.ndarray, means:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, fill_rounds: int = 6) -> DataFrame:
-    """docs(doc_id, source, size) -> (doc_id, size, source_size, target, rate, copies, taken), a row for each of docs."""
+    """docs(doc_id, source, size) -> (doc_id, source, size, source_size, target, rate, copies, taken), a row for each of docs."""
     spark = docs.sparkSession
     docs = cut(docs.select("doc_id", "source", "size", F.monotonically_increasing_id().alias("rid")))
     rows = docs.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).collect()
     rows.sort(key=lambda r: (r.source is None, r.source or ""))
     sums, counts = np.array([float(r.s or 0) for r in rows]), np.array([r.n for r in rows], float)
     if not rows:
-        return docs.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return docs.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
     targets = np.array(shared_targets(sums.tolist(), [weights[i % len(weights)] for i in range(len(rows))], share * sums.sum(), most))
     means = np.where(counts > 0, sums / np.maximum(counts, 1), 1.0)
     names = spark.createDataFrame([(i, r.source) for i, r in enumerate(rows)], "sid int, name string")
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     sids = np.arange(len(rows))
     r = F.when(F.col("size") > 0, rate(F.col("lam"), F.col("size"), F.col("mean"), most)).otherwise(0.0)
-    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / float(1 << 53)  # by size too, as ids may be null
     meta = meta.join(small(spark, sid=sids, lam=lam, mean=means), "sid").withColumn("rate", r).withColumn("base", F.floor("rate").cast("int"))
     meta = meta.withColumn("k", u - (F.col("rate") - F.col("base"))).withColumn("x", (F.col("k") + 1) / 2 * RANGES)
     meta = meta.withColumn("x1", F.least(F.floor("x"), F.lit(RANGES - 1)).cast("int")).withColumn("x2", F.least(F.floor((F.col("x") - F.col("x1")) * RANGES), F.lit(RANGES - 1)).cast("int"))
@@ -164,12 +164,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         chosen = chosen.join(small(spark, rid=np.array([*picked]), turn=np.array([*picked.values()], np.int32)), "rid", "left")
         chosen = chosen.withColumn("extra", F.col("extra") + F.coalesce("turn", F.lit(0)))
     out = chosen.join(small(spark, sid=sids, source_size=sums.astype(np.int64), target=targets), "sid").withColumn("copies", (F.col("base") + F.col("extra")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    out = out.join(names, "sid").withColumnRenamed("name", "source")
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+MIXED = ("size", "source_size", "target", "rate", "copies", "taken")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs(doc_id, text, source, ...) with all their columns and MIXED, which replace columns of these names.
+
+    Rows equal in id, source and size share their copies out among them, the fewest to the least hash of the text.
+    """
+    keys = {"k1": F.col("doc_id").cast("long"), "k2": F.col("source").cast("string"), "k3": n_words(F.col("text").cast("string"))}
+    held = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(k) for k, v in keys.items()], F.xxhash64(F.col("text").cast("string")).alias("h"))  # any names may be there
+    made = mix(held.select(F.col("k1").alias("doc_id"), F.col("k2").alias("source"), F.col("k3").alias("size")), **how)
+    facts = made.groupBy("doc_id", "source", "size", "source_size", "target", "rate", "copies").agg(F.count("*").alias("n"))
+    # a key's rows have one or two numbers of copies: floor of the rate and one more, or one off for the sum's sake
+    few = F.struct("copies", "n")
+    facts = cut(facts.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(few)).alias("c"), *[F.first(x).alias(x) for x in ("source_size", "target", "rate")]))
+    out = held.join(facts, F.col("k1").eqNullSafe(facts.doc_id) & F.col("k2").eqNullSafe(facts.source) & (F.col("k3") == facts["size"]))
+    one = out.where("size(c) = 1").withColumn("copies", F.col("c")[0]["copies"])
+    rank = F.row_number().over(Window.partitionBy("k1", "k2", "k3").orderBy("h"))
+    upto = F.transform("c", lambda x, i: F.struct(x["copies"].alias("copies"), F.aggregate(F.slice("c", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
+    several = out.where("size(c) > 1").withColumns({"rank": rank, "upto": upto})
+    several = several.withColumn("copies", F.filter("upto", lambda x: F.col("rank") <= x["upto"])[0]["copies"])
+    kept = [c for c in docs.columns if c not in MIXED]
+    columns = [*[F.col("row")[c].alias(c) for c in kept], F.col("k3").alias("size"), "source_size", "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("k3") * F.col("copies")).alias("taken")]
+    return one.select(*columns).unionByName(several.select(*columns))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
+    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")))
+    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 QUERIES = {"op5_mix": op5_mix}
