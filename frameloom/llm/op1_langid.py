@@ -6,11 +6,12 @@ for any number of languages. A text's popcount for a language is how many of its
 filter's false-positive rate f (its fill to the power k) adds about f(N - hits) to it, so the corrected count is
 (popcount - f N) / (1 - f). The largest corrected count decides; its share of N lies in score.
 
-A language's filter holds its ``profile`` most typical n-grams of one to four letters, within words, where a
-leading or trailing blank marks a word's edge: those whose share of the language's n-grams is at least ``ratio``
-of their share in any other language, by documents. They are learned from at most about ``max_docs`` documents a
-language (a documented bound; documents are drawn by a hash of their id), and the model that is broadcast holds
-``profile`` n-grams a language at most. Everything is predicted from whole texts.
+A language's filter holds its ``profile`` most typical n-grams of one to four letters (and those as common as the last
+of them), within words, where a leading or trailing blank marks a word's edge: those whose share of the language's n-grams is at least ``ratio``
+of their share in any other language, by documents, and which more than one document has (any, of languages with less
+than FEW documents). They are learned from at most about ``max_docs`` documents a
+language (a documented bound; documents are drawn by a hash of their id), and the model that is broadcast holds n-grams
+of these documents at most. Everything is predicted from whole texts.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; with nothing to learn from, every text
 is; a text with letters of which no n-gram is known gets the language with the most training documents and score
@@ -21,6 +22,7 @@ is; a text with letters of which no n-gram is known gets the language with the m
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -34,6 +36,7 @@ from frameloom.llm.common import crc_fold, cut, mix64, pieces, table
 
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
+FEW = 20
 #: Bytes of text that are looked at together.
 PIECE = 1 << 20
 #: Runs of letters, and of a few numerals that count as none.
@@ -190,9 +193,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     all_of = {r[0]: float(r[1]) for r in seen.groupBy("l").agg(F.sum("n")).collect()}
     total = F.create_map(*[x for k, v in all_of.items() for x in (F.lit(k), F.lit(v))]) if all_of else F.lit(None)
     seen = seen.withColumn("p", F.col("n") / total[F.col("l")] if all_of else F.lit(0.0)).withColumn("top", F.max("p").over(Window.partitionBy("code")))
-    typical = seen.where((F.col("p") >= ratio * F.col("top")) & (F.col("n") > 1))
-    ranked = typical.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("p"), "code"))).where(F.col("r") <= profile)
-    rows = ranked.select("l", "code").toPandas()
+    # one document may have its quirks, but where there are few they are all there is
+    few = F.lit(False) if not (scarce := [i for i, n in enumerate(names) if sizes[n] < FEW]) else F.col("l").isin(scarce)
+    typical = cut(seen.where((F.col("p") >= ratio * F.col("top")) & ((F.col("n") > 1) | few)).select("l", "code", "n"))
+    # the profile's last number of documents: from a row for each number, max_docs a language at most
+    least, held = {}, Counter()
+    for x in sorted(typical.groupBy("l", "n").agg(F.count("*").alias("c")).collect(), key=lambda x: -x.n):
+        if held[x.l] < profile:
+            least[x.l] = x.n
+        held[x.l] += x.c
+    enough = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])[F.col("l")] if least else F.lit(0)
+    rows = typical.where(F.col("n") >= enough).select("l", "code").toPandas()
     size = 1 << max(10, int(np.ceil(np.log2(max(1, rows.code.nunique()) * bits / 2))))
     model = Model(names, max(range(len(names)), key=lambda i: (sizes[names[i]], -i)), np.zeros((size, -(-len(names) // 64)), np.uint64), probes)
     for i, mine in rows.groupby("l").code:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slow import base_spans
 
 from frameloom.llm import op1_langid, op3_decontaminate, op7_simhash, op10_secrets
-from frameloom.llm.common import components
+from frameloom.llm.common import components, mix64
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,6 +39,40 @@ def test_language_edges(spark, prose):
     assert kept.columns == extra.columns and {r.score for r in kept.collect()} == {9}
 
 
+def test_one_document_a_language_is_enough(spark, prose):
+    docs = spark.createDataFrame([(1, prose("en", 200, 1), "en"), (2, prose("de", 200, 2), "de")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(i, prose("de" if i % 2 else "en", 40, 50 + i)) for i in range(20)], "doc_id long, text string")
+    got = op1_langid.identify(asked, op1_langid.learn(docs)).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id % 2 else "en") and r.score > 0.3 for r in got)
+
+
+def test_decisions_against_single_grams(spark, prose):
+    rows = [(i, prose(lang, 40, i), lang) for i in range(60) for lang in ["de" if i % 2 else "en"]]
+    model = op1_langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    false = model.false_rates()
+    texts = [prose("de", 30, 900) + " " + prose("en", n, 901) for n in (1, 20, 60)] + ["The", "q", "une Ähre 12", "... 3"]
+    langs, scores = model.decide(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        hits, n = np.zeros(len(model.languages)), 0
+        for word in re.findall(r"[^\W\d_]+", t.lower()):
+            marked = f" {word} "
+            for size in op1_langid.SIZES:
+                for k in range(len(marked) - size + 1):
+                    g = marked[k : k + size]
+                    if g.strip() and not (size == 1 and g == " "):
+                        codes = np.full(1, size, np.uint64)
+                        for ch in g:
+                            codes = codes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0 if ch == " " else ord(ch))
+                        held = int(model.holders(mix64(codes))[0, 0])
+                        hits += [held >> i & 1 for i in range(len(hits))]
+                        n += 1
+        counts = np.maximum(hits - false * n, 0) / np.maximum(1 - false, 1e-9)
+        if n == 0:
+            assert (lang, score) == ("und", 0)
+        else:
+            assert abs(score - min(1, counts.max() / n)) < 1e-6 and (counts.max() <= 0 or lang == model.languages[int(counts.argmax())])
+
+
 def test_bloom_masks_have_all_languages_of_a_gram():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
