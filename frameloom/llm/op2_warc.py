@@ -139,8 +139,8 @@ def warc_type(url: str, content_type: str, head: bytes) -> tuple[str, str]:
     return "resource", "text/dns" if url.lower().startswith("dns:") else content_type or "application/octet-stream"
 
 
-def warc_record(url: str, ip: str, date: str, content_type: str, content: bytes, digest: str, key: int | None, target: int | None = None) -> bytes:
-    """A WARC record without the blank lines after it. target: the key of the response that it revisits."""
+def warc_record(url: str, ip: str, date: str, content_type: str, content: bytes, digest: str, key: int | None, target: int | None = None, target_url: str | None = None, target_date: str | None = None) -> bytes:
+    """A WARC record without the blank lines after it. target: key, url and date of the response that it revisits."""
     head, payload = http_parts(url, content)
     kind, mime = warc_type(url, content_type, head)
     payload_digest = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
@@ -150,7 +150,7 @@ def warc_record(url: str, ip: str, date: str, content_type: str, content: bytes,
     block = content
     if target is not None:
         block = head
-        named += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Key", str(target)), ("WARC-Payload-Length", str(len(payload)))]
+        named += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(target_url, target_date, digest, target)), ("WARC-Refers-To-Target-URI", target_url), ("WARC-Refers-To-Date", iso_date(target_date)), ("WARC-Refers-To-Key", str(target)), ("WARC-Payload-Length", str(len(payload)))]
     named += [("WARC-Payload-Digest", payload_digest), ("WARC-Block-Digest", sha1_32(block)), ("Content-Type", mime), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named) + "\r\n").encode("utf-8", "surrogateescape") + block
 
@@ -209,18 +209,18 @@ def pages_as_arc(batches: Iterator[pa.RecordBatch], version: int, date: str, mos
 
 
 def write_warc(records: DataFrame, path: str, least: int = 1000, per_file: int = 5000, digests: DataFrame | None = None) -> None:
-    """Writes the records (as of convert_arc) as WARC files. digests: the same rows, if they come cheaper without content."""
+    """Writes the records (as of convert_arc) as WARC files of at most per_file records. digests: the same rows, if they come cheaper without content."""
     light = (records if digests is None else digests).where(F.col("n") >= least)
-    again = cut(light.groupBy("digest", "n").agg(F.max("key").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "n", "first"))
-    again = F.broadcast(again) if fits(again, 120) else again
+    again = cut(light.groupBy("digest", "n").agg(F.max(F.struct("key", "url", "date")).alias("first"), F.count("*").alias("c")).where("c > 1 and first.key is not null").select("digest", "n", "first"))
+    again = F.broadcast(again) if fits(again, 400) else again
     records = records.join(again, ["digest", "n"], "left")
-    target = F.when(F.col("key").isNull() | (F.col("key") != F.col("first")), F.col("first"))
+    target = F.when(F.col("key").isNull() | (F.col("key") != F.col("first.key")), F.col("first"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([warc_record(*row) for row in zip(*(c.to_pylist() for c in b.columns))], pa.binary())], ["value"])
 
-    rows = records.select("url", "ip", "date", "type", "content", "digest", "key", target.alias("target")).mapInArrow(made, "value binary")
+    rows = records.select("url", "ip", "date", "type", "content", "digest", "key", *[target[c].alias(f"target_{c}") for c in ("key", "url", "date")]).mapInArrow(made, "value binary")
     rows.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -254,8 +254,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def archive_pages(pages: DataFrame, path: str, least: int = 1000, version: int = 2, date: str = "20010203040506") -> None:
     """pages(page_id, url, html) as ARC volumes, converted to WARC files in path."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    # files are read whole, so they hold some 64 MB of pages before they are packed
+    mean = rows.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 600)).first()[0] or 600
     records = [rows.mapInArrow(lambda bs, c=c: converted(pages_as_arc(bs, version, date), c), RECORD) for c in (True, False)]
-    write_warc(records[0], path, least, digests=records[1])
+    write_warc(records[0], path, least, int(max(1, min(5000, (64 << 20) // mean))), records[1])
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,9 @@ def test_pages_to_warc_and_back(spark, tmp_path):
     assert {r.payload for r in back if r.key == 7} == {body(long)} and {r.payload for r in back if r.record_type == "revisit"} == {None}
     file = next((tmp_path / "w").glob("part-*.gz"))
     assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n")
+    every = [f for x in (tmp_path / "w").glob("part-*.gz") for f, _ in op2_warc.warc_records(gzip.decompress(x.read_bytes()))]
+    named = {f["warc-record-id"]: f for f in every}
+    assert all(named[f["warc-refers-to"]]["warc-target-uri"] == f["warc-refers-to-target-uri"] == "http://a/%207" and named[f["warc-refers-to"]]["warc-type"] == "response" for f in every if f["warc-type"] == "revisit")
     op2_warc.archive_pages(pages.where("false"), str(tmp_path / "e"))
     assert op2_warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
