@@ -196,9 +196,10 @@ def top_k(frame: DataFrame, id_col: str, vector_col: str, every: int = 20, k: in
 
     n_blocks, asked, weight = blocks.agg(F.count("*"), F.sum("n"), F.sum(F.length("vectors"))).first()
     q = cut(blocks.repartition(max(1, -(-(asked or 0) // (every * query_block))), "block").mapInArrow(queries, BLOCK))
-    # the grid that moves least: a candidate is sent to each part, a query to each group, and a group's blocks fit in a task
+    # the grid that moves least: a candidate is sent to each part, a query to each group with k rows (some four times
+    # its own weight) sent back, and a group's blocks fit in a task
     cells = cells or 4 * frame.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, min(n_blocks, max(math.isqrt(cells * every), (weight or 0) >> 28)))
+    groups = max(1, min(n_blocks, max(math.isqrt(cells * every // 4), (weight or 0) >> 28)))
     parts = max(1, min(q.count(), -(-cells // groups)))
     to = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     of = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
