@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import BROADCAST_BYTES, WORD, cut, table
+from frameloom.llm.common import BROADCAST_BYTES, WORD, cut, fits, table
 
 RANGES = 4096
 
@@ -183,15 +183,16 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     # a key's rows have one or two numbers of copies: floor of the rate and one more, or one off for the sum's sake
     few = F.struct("copies", "n")
     facts = cut(facts.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(few)).alias("c"), *[F.first(x).alias(x) for x in ("source_size", "target", "rate")]))
-    out = held.join(facts, F.col("k1").eqNullSafe(facts.doc_id) & F.col("k2").eqNullSafe(facts.source) & (F.col("k3") == facts["size"]))
-    one = out.where("size(c) = 1").withColumn("copies", F.col("c")[0]["copies"])
+    join = lambda f: held.join(f, F.col("k1").eqNullSafe(f.doc_id) & F.col("k2").eqNullSafe(f.source) & (F.col("k3") == f["size"]))
+    one = join(facts.where("size(c) = 1")).withColumn("copies", F.col("c")[0]["copies"])
     rank = F.row_number().over(Window.partitionBy("k1", "k2", "k3").orderBy("h"))
     upto = F.transform("c", lambda x, i: F.struct(x["copies"].alias("copies"), F.aggregate(F.slice("c", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("upto")))
-    several = out.where("size(c) > 1").withColumns({"rank": rank, "upto": upto})
+    shared = cut(facts.where("size(c) > 1"))
+    several = join(F.broadcast(shared) if fits(shared, 256) else shared).withColumns({"rank": rank, "upto": upto})
     several = several.withColumn("copies", F.filter("upto", lambda x: F.col("rank") <= x["upto"])[0]["copies"])
     kept = [c for c in docs.columns if c not in MIXED]
     columns = [*[F.col("row")[c].alias(c) for c in kept], F.col("k3").alias("size"), "source_size", "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("k3") * F.col("copies")).alias("taken")]
-    return one.select(*columns).unionByName(several.select(*columns))
+    return one.select(*columns) if shared.isEmpty() else one.select(*columns).unionByName(several.select(*columns))
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
