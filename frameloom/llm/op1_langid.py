@@ -42,7 +42,7 @@ PIECE = 1 << 20
 #: Runs of letters, and of a few numerals that count as none.
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose popcounts a worker keeps; beyond that it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 _letters: list[np.ndarray] = []
 
 
@@ -212,16 +212,16 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to docs; columns of these names are replaced."""
+def identify(docs: DataFrame, model: Model | None, text: str = "text", within: str | None = None) -> DataFrame:
+    """Adds lang_pred and score to docs; columns of these names are replaced. The text may be a field within a struct."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    at = names.index(text)
+    at = names.index(within or text)
     held = docs.sparkSession.sparkContext.broadcast(model)  # profile n-grams a language at most
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs, scores = b.column(at).to_pylist(), [], []
+            texts, langs, scores = (b.column(at).field(text) if within else b.column(at)).to_pylist(), [], []
             for i, j in pieces([len(t or "") for t in texts], PIECE):
                 if held.value is None:
                     x, s = [UNKNOWN] * (j - i), np.zeros(j - i)
@@ -240,8 +240,9 @@ def of_known_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     The model is learned from the rows of docs that have a language.
     """
     model = learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))  # any names may be there
-    return identify(packed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    # any names may be there; the text goes to Python once, within its row
+    packed = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"))
+    return identify(packed, model, "text", "row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

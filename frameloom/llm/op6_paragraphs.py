@@ -250,7 +250,7 @@ def band_links(sets: list[frozenset], threshold: float) -> list[tuple[int, int]]
     return forest.edges
 
 
-def verified_links(classes: DataFrame, threshold: float, block: int, most: int = 1 << 20) -> DataFrame:
+def verified_links(classes: DataFrame, threshold: float, block: int, most: int = 1 << 18) -> DataFrame:
     """classes(unit, bands, shingles), distinct units -> (a, b). Blocks hold about block classes or most shingles."""
     each = classes.select("unit", "shingles", F.explode("bands").alias("band"))
     hot = each.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.size("shingles")) / most)).alias("parts"))
