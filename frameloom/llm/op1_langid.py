@@ -44,6 +44,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Words whose popcounts a worker keeps; beyond that it starts anew.
 WORDS_KEPT = 150_000
 _letters: list[np.ndarray] = []
+_kept: dict[str, tuple] = {}
 
 
 def letters() -> np.ndarray:
@@ -110,9 +111,10 @@ class Model:
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. N-grams lie within words, so a word's popcounts are looked up once and kept."""
-        words = self.__dict__.get("words")
-        if words is None or len(words) > WORDS_KEPT:
-            words = self.words = Words()
+        held, words = _kept.get("words", (None, None))
+        if held is not self or len(words) > WORDS_KEPT:  # a worker outlives models: it keeps the words of one
+            words = Words()
+            _kept["words"] = self, words
         places = [list(map(words.__getitem__, WORD.findall((t or "").lower()))) for t in texts]
         words.count(self)
         flat = np.fromiter(chain.from_iterable(places), np.int64)
