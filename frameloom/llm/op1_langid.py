@@ -43,6 +43,8 @@ PIECE = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose popcounts a worker keeps; beyond that it starts anew.
 WORDS_KEPT = 150_000
+#: Words whose n-grams are counted together, which bounds the arrays of a worker.
+WORDS_AT_ONCE = 1 << 13
 _letters: list[np.ndarray] = []
 _kept: dict[str, tuple] = {}
 
@@ -151,12 +153,14 @@ class Words(dict):
         if not self.new:
             return
         k = len(model.languages)
-        fresh = np.zeros((len(self.new), k + 2))
-        codes, of, fresh[:, k + 1] = grams(self.new)
-        held = model.holders(codes)
-        fresh[:, k] = np.bincount(of, minlength=len(self.new))
-        for i in range(k):
-            fresh[:, i] = np.bincount(of[(held[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(self.new))
+        fresh = np.zeros((len(self.new), k + 2), np.float32)
+        for s in range(0, len(self.new), WORDS_AT_ONCE):
+            part = fresh[s : s + WORDS_AT_ONCE]
+            codes, of, part[:, k + 1] = grams(self.new[s : s + WORDS_AT_ONCE])
+            held = model.holders(codes)
+            part[:, k] = np.bincount(of, minlength=len(part))
+            for i in range(k):
+                part[:, i] = np.bincount(of[(held[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(part))
         if len(self) > len(self.rows):  # room for twice as many
             self.rows = np.vstack([self.rows.reshape(-1, k + 2)[: len(self) - len(self.new)], np.zeros((2 * len(self), k + 2), np.float32)])
         self.rows[len(self) - len(self.new) : len(self)] = fresh
