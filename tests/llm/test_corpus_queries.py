@@ -27,7 +27,7 @@ def test_against_sql(spark, name):
 
 def test_all_are_registered():
     names = set(registry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def test_languages_held_out(spark):
