@@ -18,6 +18,7 @@ from frameloom.functions import jsontext as J
 from frameloom.operators import jobstate as Z
 from frameloom.operators import selection as K
 from frameloom.operators import shards as R
+from frameloom.sources.folders import scratch
 
 RAW = "clip_id int, raw_output string, error_type string, error string, frames_used int, note string, elapsed_sec double, started_at_utc string, finished_at_utc string"
 INPUT_MODE = "content_aware_keyframes_as_images"
@@ -128,18 +129,22 @@ def run_worker(manifest: DataFrame, attempts: DataFrame, loader: Callable[[], Ca
 def run_claimed(manifest: DataFrame, attempts: DataFrame, states: DataFrame, loader: Callable[[], Callable], worker: str, run_id: str, log: str, now: float, shards: int = 1, shard: int = 0, most_frames: int = 8, dialect: str = "strict", lease_seconds: float = 7200, max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
     """A worker that shares its clips by job states: (outputs, states after).
 
-    What is left of its shard is claimed, only claimed clips go to the model, the outputs are appended to log (once: a
-    model needn't answer alike twice) and told back: a success, or a failure that may be retried but for lost files.
+    What is left of its shard is claimed, only claimed clips go to the model, the outputs are appended to log with the
+    attempt that made them (once: a model needn't answer alike twice) and told back: a success, or a failure that may be
+    retried but for lost files. Rows of earlier attempts stay in log, but only those of the attempts claimed here count.
     """
     spark = manifest.sparkSession
     todo = R.remaining(R.assigned(R.checked(manifest), shards, shard), attempts).select(F.lit(run_id).alias("run_id"), "clip_id", "selected_frames")
     event = lambda df, seq, op, retry, error: df.select("run_id", "clip_id", F.lit(seq).alias("seq"), op.alias("op"), F.lit(worker).alias("worker"), F.lit(float(now)).alias("now"), retry.alias("retryable"), error.cast("string").alias("error"))
     claims = event(todo, 0, F.lit("claim"), F.lit(False), F.lit(None))
-    held = Z.fold(claims, dialect, lease_seconds, max_attempts, Z.initialise(states, claims))
-    mine = held.where((F.col("worker") == worker) & (F.col("last_result") == "claimed") & (F.col("run_id") == run_id)).select("clip_id")
+    path = scratch(spark, "claims")
+    Z.fold(claims, dialect, lease_seconds, max_attempts, Z.initialise(states, claims)).write.parquet(f"{path}/held")
+    held = spark.read.parquet(f"{path}/held")
+    mine = held.where((F.col("worker") == worker) & (F.col("last_result") == "claimed") & (F.col("run_id") == run_id)).select("clip_id", "attempt")
     outputs = run_worker(manifest.join(mine, "clip_id", "left_semi"), attempts, loader, worker, most_frames=most_frames)
-    outputs.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(log)
-    made = spark.read.parquet(log).where((F.col("run_id") == run_id) & (F.col("worker_id") == worker)).join(mine, "clip_id", "left_semi")
+    outputs.join(mine, "clip_id").withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(log)
+    told = spark.read.parquet(log).where((F.col("run_id") == run_id) & (F.col("worker_id") == worker))
+    made = told.join(mine, ["clip_id", "attempt"], "left_semi")
     kind = F.coalesce("error_type", F.lit("JSON_PARSE_FAILED"))
     why = F.coalesce("error", F.lit("the output isn't JSON"))
     marks = event(made, 1, F.when(R.success(), "succeed").otherwise("fail"), R.retryable(kind), F.concat_ws(": ", kind, why))

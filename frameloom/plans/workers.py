@@ -187,18 +187,41 @@ def q_worker(spark, sf_dir):
     return I.run_worker(given, done, stub, "w", 3, 1, most_frames=3).select("clip_id", "json_parse_ok", "error_type")
 
 
-@query("""SELECT CAST(clip_id AS INTEGER) AS clip_id, CASE WHEN clip_id % 11 = 0 THEN 'RUNNING' WHEN NOT failed AND clip_id % 3 <> 0 THEN 'SUCCEEDED' WHEN error_type = 'FileNotFoundError' OR clip_id % 2 = 0 THEN 'FINAL_FAILED' ELSE 'RETRYABLE_FAILED' END AS status,
-CAST(CASE WHEN clip_id % 11 = 0 THEN 1 WHEN clip_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempt, CASE WHEN clip_id % 11 = 0 THEN 'other' ELSE 'w' END AS worker FROM inf""", INFER)
-def q_worker_states(spark, sf_dir):
+def worker_states(spark, sf_dir):
+    """(clips, states): some are held by another worker, some failed twice, some have no state."""
     given = model_input(spark, sf_dir)
     k, none = F.col("clip_id"), F.lit(None)
     s = Z.state(**({c: none for c in Z.STATE} | {"status": F.when(k % 11 == 0, "RUNNING").when(k % 2 == 0, "RETRYABLE_FAILED").otherwise("PENDING"), "worker": F.when(k % 11 == 0, "other"), "attempt": F.when(k % 11 == 0, 1).when(k % 2 == 0, 2).otherwise(0), "lease": F.when(k % 11 == 0, 500.0)}))
     states = given.where("clip_id % 13 <> 0 or clip_id % 2 = 0 or clip_id % 11 = 0").select(F.lit("r").alias("run_id"), "clip_id", s.alias("s")).select("run_id", "clip_id", "s.*")
+    return given, states
+
+
+@query("""SELECT CAST(clip_id AS INTEGER) AS clip_id, CASE WHEN clip_id % 11 = 0 THEN 'RUNNING' WHEN NOT failed AND clip_id % 3 <> 0 THEN 'SUCCEEDED' WHEN error_type = 'FileNotFoundError' OR clip_id % 2 = 0 THEN 'FINAL_FAILED' ELSE 'RETRYABLE_FAILED' END AS status,
+CAST(CASE WHEN clip_id % 11 = 0 THEN 1 WHEN clip_id % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempt, CASE WHEN clip_id % 11 = 0 THEN 'other' ELSE 'w' END AS worker FROM inf""", INFER)
+def q_worker_states(spark, sf_dir):
+    given, states = worker_states(spark, sf_dir)
     nothing = spark.createDataFrame([], "clip_id int, error string, json_parse_ok boolean")
     out = I.run_claimed(given, nothing, states, stub, "w", "r", scratch(spark, "log"), 100.0, most_frames=3)[1]
     return out.select("clip_id", "status", "attempt", "worker")
 
 
+def calm():
+    """A model that always answers."""
+    return lambda record, frames: f'{{"clip_id": {record["clip_id"]}, "summary": "{len(frames)} frames"}}'
+
+
+@query("""SELECT CAST(clip_id AS INTEGER) AS clip_id, CASE WHEN clip_id % 11 = 0 THEN 'RUNNING' WHEN n = 0 AND clip_id % 2 = 1 THEN 'RETRYABLE_FAILED' WHEN (NOT failed AND clip_id % 3 <> 0) OR clip_id % 2 = 1 THEN 'SUCCEEDED' ELSE 'FINAL_FAILED' END AS status,
+CAST(CASE WHEN clip_id % 11 = 0 THEN 1 WHEN clip_id % 2 = 0 THEN 3 WHEN failed OR clip_id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt, CASE WHEN clip_id % 11 = 0 OR clip_id % 2 = 1 AND NOT failed AND clip_id % 3 <> 0 OR clip_id % 2 = 0 THEN 0 ELSE 1 END AS n_second FROM inf""", INFER)
+def q_worker_retry(spark, sf_dir):
+    """What failed and may be tried again is claimed again by the same worker, whose log has the rows of both attempts."""
+    given, states = worker_states(spark, sf_dir)
+    nothing, log = spark.createDataFrame([], "clip_id int, error string, json_parse_ok boolean"), scratch(spark, "log")
+    first = I.run_claimed(given, nothing, states, stub, "w", "r", log, 100.0, most_frames=3)[1]
+    outputs, out = I.run_claimed(given, nothing, first, calm, "w", "r", log, 200.0, most_frames=3)
+    again = outputs.groupBy("clip_id").agg(F.count("*").cast("int").alias("n_second"))
+    return out.join(again, "clip_id", "left").select("clip_id", "status", "attempt", F.coalesce("n_second", F.lit(0)).alias("n_second"))
+
+
 # --- job states gone on from
 
 

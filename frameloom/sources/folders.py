@@ -9,11 +9,22 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset and there is but one machine."""
+    """The folder all executors share: spark.checkpoint.dir of the session, which is then where checkpoints go.
+
+    Without that setting a cluster session is an error. A local session, which is one machine, gets a folder of its own.
+    """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held and not spark.sparkContext.master.startswith("local"):
+    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held:
+        if set_already.isEmpty():
+            spark.sparkContext.setCheckpointDir(held)
+        return held
+    if set_already.isDefined():
+        return set_already.get()
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return held or tempfile.gettempdir()
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="frameloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
