@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameloom.sources.folders import scratch, shared_dir
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What one side of a join may weigh to be broadcast; larger sides are shuffled.
@@ -21,30 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Set here only where it is unset and there is but one machine."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held:
-        if set_already.isEmpty():
-            spark.sparkContext.setCheckpointDir(held)
-        return held
-    if set_already.isDefined():
-        return set_already.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="frameloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one; it is removed when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    return path
+def row_of(docs: DataFrame, **changed: Column) -> Column:
+    """All columns of docs, of any names, as one struct; some of them changed."""
+    return F.struct(*[changed.get(c, docs[quoted(c)]).alias(c) for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 @contextmanager

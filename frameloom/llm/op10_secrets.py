@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import cut, fits, table
+from frameloom.llm.common import cut, fits, row_of, table
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -232,14 +232,13 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.05) -> Data
     kept = find_spans(docs.select(*hashes, "text"), alpha, ("h1", "h2")).where(F.size("spans") > 0)
     kept = cut(kept.select("h1", "h2", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("spans")).dropDuplicates(["h1", "h2"]))
     kept = F.broadcast(kept) if fits(kept, 512) else kept
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(
-        F.greatest(a["at"], x["e"]).alias("at"),
-        F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(F.col("row.text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-    )
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("row.text"), a["at"] + 1, F.length("row.text"))))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), *hashes)  # any names may be there
-    out = packed.join(kept, ["h1", "h2"], "left").withColumn("clean", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(clean))
+    # what is kept lies between the spans' ends so far and a later start; the text itself is copied once
+    upto = F.aggregate("spans", F.array(F.lit(0)), lambda ends, x: F.array_append(ends, F.greatest(F.element_at(ends, -1), x["e"])))
+    gaps = F.filter(F.zip_with(F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.length("row.text"))), F.col("upto"), lambda s, e: F.struct(e.alias("from"), s.alias("to"))), lambda x: x["to"] >= x["from"])
+    clean = F.array_join(F.transform("gaps", lambda x: F.substring(F.col("row.text"), x["from"] + 1, x["to"] - x["from"])), mask)
+    packed = docs.select(row_of(docs).alias("row"), *hashes)  # any names may be there
+    kept = kept.withColumn("upto", upto)
+    out = packed.join(kept, ["h1", "h2"], "left").withColumn("gaps", gaps).withColumn("clean", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(clean))
     made = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import table
+from frameloom.llm.common import quoted, row_of, table
 
 #: The delimiter and the escape are control characters; those of the text become the escape and a digit.
 DELIMITER, ESCAPE = "\x1f", "\x1b"
@@ -87,9 +87,9 @@ def draws(key: Column) -> list[Column]:
 def transformed(docs: DataFrame, text: str = "text", key: str = "doc_id", plain_percent: int = 10, spm_percent: int = 20, sentinels: Sentinels = Sentinels()) -> DataFrame:
     """docs with MADE: units, form (plain, psm, spm), the three parts (null if plain) and the output."""
     kept = [c for c in docs.columns if c not in MADE]
-    whole = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
-    h = draws(docs[f"`{key}`"])
-    row = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in kept]).alias("row"), whole.alias("whole"), *[x.alias(f"h{i}") for i, x in enumerate(h)])
+    whole = F.coalesce(docs[quoted(text)].cast("string"), F.lit(""))
+    h = draws(docs[quoted(key)])
+    row = docs.select(row_of(docs.select(*[docs[quoted(c)] for c in kept])).alias("row"), whole.alias("whole"), *[x.alias(f"h{i}") for i, x in enumerate(h)])
     held = F.lit(False)
     for s in sentinels.all():
         held = held | F.contains("whole", F.lit(s))

@@ -6,12 +6,12 @@ for any number of languages. A text's popcount for a language is how many of its
 filter's false-positive rate f (its fill to the power k) adds about f(N - hits) to it, so the corrected count is
 (popcount - f N) / (1 - f). The largest corrected count decides; its share of N lies in score.
 
-A language's filter holds its ``profile`` most typical n-grams of one to four letters (and those as common as the last
-of them), within words, where a leading or trailing blank marks a word's edge: those whose share of the language's n-grams is at least ``ratio``
-of their share in any other language, by documents, and which more than one document has (any, of languages with less
-than FEW documents). They are learned from at most about ``max_docs`` documents a
-language (a documented bound; documents are drawn by a hash of their id), and the model that is broadcast holds n-grams
-of these documents at most. Everything is predicted from whole texts.
+A language's filter holds its typical n-grams of one to four letters, within words, where a leading or trailing blank
+marks a word's edge: all whose share of the language's n-grams is at least ``ratio`` of their share in any other language,
+by documents, and which the share ``spread`` of its documents has. They are learned from at most about ``max_docs``
+documents a language (a documented bound; documents are drawn by a hash of their id). The table is filled by tasks, slot by
+slot; what goes through the driver and is broadcast is the table, of 2**``most_bits`` slots at most: more n-grams fill it
+further, which the correction of the counts allows for. Everything is predicted from whole texts.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; with nothing to learn from, every text
 is; a text with letters of which no n-gram is known gets the language with the most training documents and score
@@ -21,8 +21,8 @@ is; a text with letters of which no n-gram is known gets the language with the m
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -32,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import crc_fold, cut, mix64, pieces, table
+from frameloom.llm.common import crc_fold, cut, mix64, pieces, row_of, table
 
 SIZES = (1, 2, 3, 4)
 UNKNOWN = "und"
-FEW = 20
 #: Bytes of text that are looked at together.
 PIECE = 1 << 20
 #: Runs of letters, and of a few numerals that count as none.
@@ -95,9 +94,10 @@ class Model:
     usual: int
     table: np.ndarray
     probes: int
+    slots: int = 0
 
     def positions(self, codes: np.ndarray) -> Iterator[np.ndarray]:
-        mask, step = np.uint64(len(self.table) - 1), mix64(codes ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+        mask, step = np.uint64((self.slots or len(self.table)) - 1), mix64(codes ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
         for k in range(self.probes):
             yield (codes + np.uint64(k) * step) & mask
 
@@ -167,7 +167,7 @@ class Words(dict):
         self.new = []
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 1000, profile: int = 20000, ratio: float = 0.6, probes: int = 4, bits: int = 16) -> Model | None:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 1000, spread: float = 0.01, ratio: float = 0.6, probes: int = 4, bits: int = 16, most_bits: int = 22) -> Model | None:
     """A model of the languages of docs; see the module for the bounds."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
@@ -199,22 +199,21 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     all_of = {r[0]: float(r[1]) for r in seen.groupBy("l").agg(F.sum("n")).collect()}
     total = F.create_map(*[x for k, v in all_of.items() for x in (F.lit(k), F.lit(v))]) if all_of else F.lit(None)
     seen = seen.withColumn("p", F.col("n") / total[F.col("l")] if all_of else F.lit(0.0)).withColumn("top", F.max("p").over(Window.partitionBy("code")))
-    # one document may have its quirks, but where there are few they are all there is
-    few = F.lit(False) if not (scarce := [i for i, n in enumerate(names) if sizes[n] < FEW]) else F.col("l").isin(scarce)
-    typical = cut(seen.where((F.col("p") >= ratio * F.col("top")) & ((F.col("n") > 1) | few)).select("l", "code", "n"))
-    # the profile's last number of documents: from a row for each number, max_docs a language at most
-    least, held = {}, Counter()
-    for x in sorted(typical.groupBy("l", "n").agg(F.count("*").alias("c")).collect(), key=lambda x: -x.n):
-        if held[x.l] < profile:
-            least[x.l] = x.n
-        held[x.l] += x.c
-    enough = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])[F.col("l")] if least else F.lit(0)
-    rows = typical.where(F.col("n") >= enough).select("l", "code").toPandas()
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, rows.code.nunique()) * bits / 2))))
+    least = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(spread * min(max_docs, sizes[n])))])
+    typical = cut(seen.where((F.col("p") >= ratio * F.col("top")) & (F.col("n") >= least[F.col("l")])).select("l", "code"))
+    size = 1 << min(most_bits, max(10, math.ceil(math.log2(max(1, typical.count()) * bits / 2))))
     model = Model(names, max(range(len(names)), key=lambda i: (sizes[names[i]], -i)), np.zeros((size, -(-len(names) // 64)), np.uint64), probes)
-    for i, mine in rows.groupby("l").code:
-        for p in model.positions(mine.to_numpy().view(np.uint64)):
-            model.table[p, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+    shape = Model(names, 0, np.zeros((0, 1), np.uint64), probes, size)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, codes = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            mask = (np.uint64(1) << (of % 64).astype(np.uint64)).view(np.int64)
+            for at in shape.positions(codes):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array((of // 64).astype(np.int32)), pa.array(mask)], ["slot", "word", "mask"])
+
+    filled = typical.mapInArrow(placed, "slot int, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()  # the table's slots at most
+    model.table[filled["slot"].to_numpy(), filled["word"].to_numpy()] = filled["mask"].to_numpy().view(np.uint64)
     return model
 
 
@@ -223,7 +222,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", within: s
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
     at = names.index(within or text)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # profile n-grams a language at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded size
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +246,7 @@ def of_known_languages(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     """
     model = learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), **how)
     # any names may be there; the text goes to Python once, within its row
-    packed = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"))
+    packed = docs.select(row_of(docs, text=F.col("text").cast("string")).alias("row"))
     return identify(packed, model, "text", "row").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import cut, fits, shared_dir, table
+from frameloom.llm.common import cut, fits, scratch, table
 
 FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -261,7 +261,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = 1000, version: int =
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     archive_pages(table(spark, sf_dir, "pages"), path)
     back = read_warc(spark, path, payload=False)
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

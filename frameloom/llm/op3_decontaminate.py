@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import BROADCAST_BYTES, cut, fits, table
+from frameloom.llm.common import BROADCAST_BYTES, cut, fits, row_of, table
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -100,7 +100,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     hashes = F.struct(F.xxhash64(F.col("text").cast("string")).alias("h1"), F.xxhash64(F.lit("text"), F.col("text").cast("string")).alias("h2"))
     bad = cut(contained(docs.select(hashes.alias("doc_id"), "text"), items, threshold, width).select(F.col("doc_id").alias("key")).distinct())
     bad = F.broadcast(bad) if fits(bad, 64) else bad
-    packed = docs.select(F.struct(*docs.columns).alias("row"), hashes.alias("key"))  # any names may be there
+    packed = docs.select(row_of(docs).alias("row"), hashes.alias("key"))  # any names may be there
     return packed.join(bad, "key", "left_anti").select("row.*")
 
 

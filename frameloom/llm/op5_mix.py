@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import BROADCAST_BYTES, WORD, cut, fits, table
+from frameloom.llm.common import BROADCAST_BYTES, WORD, cut, fits, row_of, table
 
 RANGES = 4096
 
@@ -177,7 +177,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Rows equal in id, source and size share their copies out among them, the fewest to the least hash of the text.
     """
     keys = {"k1": F.col("doc_id").cast("long"), "k2": F.col("source").cast("string"), "k3": n_words(F.col("text").cast("string"))}
-    held = docs.select(F.struct(*docs.columns).alias("row"), *[v.alias(k) for k, v in keys.items()], F.xxhash64(F.col("text").cast("string")).alias("h"))  # any names may be there
+    held = docs.select(row_of(docs).alias("row"), *[v.alias(k) for k, v in keys.items()], F.xxhash64(F.col("text").cast("string")).alias("h"))  # any names may be there
     made = mix(held.select(F.col("k1").alias("doc_id"), F.col("k2").alias("source"), F.col("k3").alias("size")), **how)
     facts = made.groupBy("doc_id", "source", "size", "source_size", "target", "rate", "copies").agg(F.count("*").alias("n"))
     # a key's rows have one or two numbers of copies: floor of the rate and one more, or one off for the sum's sake

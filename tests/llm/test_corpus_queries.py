@@ -78,8 +78,8 @@ def test_stages_take_odd_tables(spark, prose):
     long = prose("en", 6000, 1)
     rows = [(i, prose("en" if i % 2 else "de", 60, i), "en" if i % 2 else "de", f"s{i % 3}") for i in range(40)]
     rows += [(None, prose("en", 70, 90), "en", None), (None, prose("en", 70, 90), "en", None), (3, prose("en", 80, 91), "en", "s1"), (3, rows[3][1], "en", "s0"), (50, None, "en", "s0"), (51, "", None, "s1"), (None, None, None, None), (52, long, "en", "s2"), (53, long, "en", "s2"), (None, rows[7][1], "en", "s1")]
-    names = ("row", "_h1", "_k1", "h1", "key", "size", "copies", "unit", "lang_pred", "score", "base", "spans", "k1", "c")
-    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    names = ("a.b", "row", "_h1", "_k1", "h1", "key", "size", "copies", "unit", "lang_pred", "score", "base", "spans", "k1", "c")
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         assert set(docs.columns) <= set(out.columns)
