@@ -112,9 +112,9 @@ def number_before_suffix(name: Column) -> Column:
     return captured(name, r"(\d+)\.mp4$").try_cast("int")
 
 
-def frame_file_name(order: Column, seconds: Column, index: Column) -> Column:
-    """%02d_t%07.3f_f%d.jpg, rounded half to even."""
-    return F.format_string("%02d_t%07.3f_f%d.jpg", order, half_even(seconds, 3), index)
+def frame_file_name(order: Column, seconds: Column, index: Column, suffix: str = ".jpg") -> Column:
+    """%02d_t%07.3f_f%d and the suffix, rounded half to even."""
+    return F.format_string("%02d_t%07.3f_f%d" + suffix, order, half_even(seconds, 3), index)
 
 
 def percent(x: Column) -> Column:

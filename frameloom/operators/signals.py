@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.flow import polynomial_flow
+
 FLOW = "mean double, p90 double, area double"
 
 
@@ -121,54 +123,13 @@ def flow_summary(dx: Column | str, dy: Column | str, threshold: float = 1.0, cam
     return _each(FLOW, lambda a, b: flow_numbers(a, b, threshold, camera))(dx, dy)
 
 
-def dense_flow(before: np.ndarray, after: np.ndarray, levels: int = 3, window: int = 15, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Where each pixel of before went: least squares of brightness constancy in windows (Lucas-Kanade), coarse to fine."""
-
-    def halved(a):
-        a = a[: a.shape[0] // 2 * 2, : a.shape[1] // 2 * 2]
-        return (a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]) / 4
-
-    def boxed(a):
-        r = window // 2
-        p = np.pad(np.pad(a, r, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        return p[window:, window:] - p[:-window, window:] - p[window:, :-window] + p[:-window, :-window]
-
-    def at(a, y, x):
-        y, x = np.clip(y, 0, a.shape[0] - 1), np.clip(x, 0, a.shape[1] - 1)
-        y0, x0 = np.minimum(y.astype(int), max(a.shape[0] - 2, 0)), np.minimum(x.astype(int), max(a.shape[1] - 2, 0))
-        y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-        fy, fx = y - y0, x - x0
-        return (a[y0, x0] * (1 - fx) + a[y0, x1] * fx) * (1 - fy) + (a[y1, x0] * (1 - fx) + a[y1, x1] * fx) * fy
-
-    steps = [(before.astype(float), after.astype(float))]
-    while len(steps) < levels and min(steps[-1][0].shape) >= 16:
-        steps.append((halved(steps[-1][0]), halved(steps[-1][1])))
-    dx = dy = np.zeros((1, 1))
-    for k, (a, b) in enumerate(reversed(steps)):
-        y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
-        scale = 2.0 if k else 0.0
-        dx, dy = (scale * at(v, y / 2, x / 2) for v in (dx, dy))
-        gy, gx = (np.gradient(a, axis=i) if a.shape[i] > 1 else np.zeros_like(a) for i in (0, 1))
-        xx, xy, yy = boxed(gx * gx), boxed(gx * gy), boxed(gy * gy)
-        damp = 0.02 * float(np.mean(xx + yy)) + 1e-9  # where a window tells little, flow stays as it is
-        xx, yy = xx + damp, yy + damp
-        det = xx * yy - xy * xy
-        for _ in range(rounds):
-            to_y, to_x = y + dy, x + dx
-            seen = (to_y >= 0) & (to_y <= a.shape[0] - 1) & (to_x >= 0) & (to_x <= a.shape[1] - 1)
-            t = np.where(seen, at(b, to_y, to_x) - a, 0)
-            tx, ty = boxed(gx * t), boxed(gy * t)
-            dx, dy = dx - np.clip((yy * tx - xy * ty) / det, -window, window), dy - np.clip((xx * ty - xy * tx) / det, -window, window)
-    return dx, dy
-
-
 def optical_flow(before: Column | str, gray: Column | str, height: Column | str, width: Column | str, threshold: float = 1.0, camera: bool = True, ignore_bottom: float = 0.0, levels: int = 3) -> Column:
     """FLOW between two frames, zeros without a frame before; the bottom share is ignored if asked for."""
 
     def flow(a, b, h, w):
         keep = max(1, min(int(h), round(int(h) * (1 - ignore_bottom))))
         shape = lambda v: np.asarray(v, float).reshape(int(h), int(w))[:keep]
-        return flow_numbers(*dense_flow(shape(a), shape(b), levels), threshold, camera)
+        return flow_numbers(*polynomial_flow(shape(a), shape(b), levels), threshold, camera)
 
     found = _each(FLOW, flow)(before, gray, height, width)
     return F.struct(*[F.coalesce(found[c], F.lit(0.0)).alias(c) for c in ("mean", "p90", "area")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions import columns as C
@@ -13,6 +13,12 @@ from frameloom.operators import selection as K
 from frameloom.operators import shards as R
 from frameloom.operators import signals as G
 from frameloom.operators import timeline as T
+from frameloom.operators.images import encoded, keyframe_files
+from frameloom.operators.media import checked_metadata
+from frameloom.operators.scan import ScanSettings, with_signals
+from frameloom.sources.folders import scratch
+from frameloom.sources.staged import write_files
+from frameloom.sources.video import read_frames, read_metadata
 
 
 def build_manifest(records: DataFrame, ranges: int = 32) -> DataFrame:
@@ -110,9 +116,10 @@ def manifest_complete(expected: DataFrame, manifest: DataFrame) -> DataFrame:
 def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_frames: int = 8, min_gap_sec: float = 1.0, use_optical_flow: bool = True, adaptive: bool = True, version: str = "1") -> DataFrame:
     """The sampler: raw frames -> a row a clip with its chosen frames, their file names, and how the flow was weighed.
 
-    frames(clip_id, frame_index, timestamp_sec, value, kind, brightness, sharpness, flow_score, motion_area).
+    frames(clip_id, frame_index, timestamp_sec, value, kind, brightness, sharpness, flow_score, motion_area), or with
+    frame_diff and hist_diff in place of value and kind.
     """
-    signals = S.with_lag_signals(frames)
+    signals = frames if "frame_diff" in frames.columns else S.with_lag_signals(frames)
     scored = S.scored(signals, use_optical_flow, adaptive)
     chosen = K.select_keyframes(scored, durations, num_frames, min_gap_sec)
     one = F.struct("frame_order", "frame_index", "timestamp_sec", "selected_reason", "combined_score", C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index")).alias("image_file"))
@@ -125,3 +132,34 @@ def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_fram
     else:
         out = out.withColumns({"dynamic_score": F.lit(0.0), "dynamic_category": category})
     return out.withColumn("sampler_version", F.lit(version))
+
+
+def sample_videos(spark: SparkSession, path: str, out: str, candidate_fps: float = 2.0, missing_fps: float | None = None, scan: ScanSettings = ScanSettings(), num_frames: int = 8, min_gap_sec: float = 1.0, adaptive: bool = True, sheet_width: int = 320, segment: int = 256) -> DataFrame:
+    """The sampler on video files: candidates are read and scanned, the chosen frames read again and written to out.
+
+    A row a clip as sample_clips gives it. In out each clip has its frames, its contact sheet and selected_frames.json; all
+    files are there at the end, or none. Videos without frames or frame rate are an error, but for missing_fps.
+    """
+    metadata = checked_metadata(read_metadata(spark, path).withColumn("path", F.col("video")).withColumn("fps", F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit(float(missing_fps or 0)))))
+    frames = read_frames(spark, path, ("video", "frame_index", "timestamp_sec", "fps", "gray", "height", "width"), candidate_fps, missing_fps)
+    place = F.floor(F.col("frame_index") / C.thinning_step(F.col("fps"), candidate_fps))
+    held = scratch(spark, "signals")
+    with_signals(frames, scan, place, segment).write.parquet(f"{held}/signals")
+    found = spark.read.parquet(f"{held}/signals").withColumnRenamed("video", "clip_id")
+    durations = metadata.select(F.col("video").alias("clip_id"), (F.col("frame_count") / F.col("fps")).alias("duration_sec"))
+    sample_clips(found, durations, num_frames, min_gap_sec, scan.flow, adaptive).write.parquet(f"{held}/clips")
+    clips = spark.read.parquet(f"{held}/clips")
+    chosen = clips.select("clip_id", F.explode("selected_frames").alias("f")).select("clip_id", "f.*").drop("image_file")
+    pixels = frames.select(F.col("video").alias("clip_id"), F.col("frame_index").cast("int").alias("frame_index"), "gray", "height", "width")
+    write_files(keyframe_files(chosen.join(pixels, ["clip_id", "frame_index"]), sheet_width), out, overwrite=True)
+    return clips
+
+
+def write_fixed_keyframes(spark: SparkSession, path: str, out: str, n: int = 8, missing_fps: float = 24.0) -> DataFrame:
+    """Evenly spaced frames of each video, written to out; (clip_id, frames written). Places that have no frame are left out."""
+    frames = read_frames(spark, path, ("video", "frame_index", "timestamp_sec", "gray", "height", "width"), missing_fps=missing_fps)
+    counts = read_metadata(spark, path).where("frame_count > 0").select("video", F.posexplode(C.evenly_spaced(F.col("frame_count"), n)).alias("frame_order", "frame_index"))
+    chosen = counts.join(frames, ["video", "frame_index"]).withColumn("clip_id", F.col("video"))
+    named = chosen.select(F.concat_ws("/", "clip_id", C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index"), suffix=".png")).alias("path"), encoded("gray", "height", "width").alias("content"))
+    write_files(named, out, overwrite=True)
+    return chosen.groupBy("clip_id").agg(F.count("*").cast("int").alias("n_frames"))

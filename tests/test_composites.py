@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frameloom.operators.flow import polynomial_flow
 from frameloom import config
 from frameloom.operators import inference as I
 from frameloom.operators import signals as G
@@ -37,7 +38,7 @@ def test_signals_against_numpy(spark):
 def test_flow_finds_shifts(spark):
     y, x = np.mgrid[:48, :64].astype(float)
     scene = lambda dy, dx: 128 + 60 * np.sin((x - dx) / 5) * np.cos((y - dy) / 7) + 40 * np.sin((x - dx + y - dy) / 9)
-    dx, dy = G.dense_flow(scene(0, 0), scene(1.5, 2.5))
+    dx, dy = polynomial_flow(scene(0, 0), scene(1.5, 2.5))
     assert abs(np.median(dx) - 2.5) < 0.2 and abs(np.median(dy) - 1.5) < 0.2
     rows = [(1, i, float(i), np.rint(scene(i, 2 * i)).astype(int).ravel().tolist(), 48, 64) for i in range(3)]
     df = spark.createDataFrame(rows, "clip_id int, frame_index int, timestamp double, gray array<int>, height int, width int")
