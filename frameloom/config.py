@@ -36,10 +36,12 @@ def from_text(kind: type, source: Mapping[str, str] | None = None, prefix: str =
 
 @dataclass(frozen=True)
 class WorkerConfig:
+    """A worker of a run. Its shard is told by itself, or by the variable that a scheduler sets for the jobs of an array."""
+
     run_id: str = ""
     worker_id: str = ""
     shards: int = setting(1, "NUM_SHARDS")
-    shard: int = setting(0, "SHARD_INDEX", "JOB_ARRAY_INDEX")
+    shard: int = setting(0, "SHARD_INDEX", "AWS_BATCH_JOB_ARRAY_INDEX", "SLURM_ARRAY_TASK_ID")
     most_frames: int = 8
     lease_seconds: int = 7200
     max_attempts: int = 3

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.operators.timeline import in_ranges
+
 
 class MissingClips(ValueError):
     """Clips were asked for that the manifest doesn't have, or has twice."""
@@ -35,21 +37,20 @@ def requested(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.distinct(), "clip_id", "left_semi")
 
 
-def positions(records: DataFrame, ranges: int = 32) -> DataFrame:
+def positions(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """records with their place (from 0) in the order of clip_id.
 
-    With ranges over 1 no task sorts all of them: counts of ranges give each range its offset.
+    No task sorts all of them, unless ranges is 1: counts of ranges give each range its offset.
     """
-    if ranges <= 1:
+    if ranges == 1:
         return records.withColumn("position", F.row_number().over(Window.orderBy("clip_id")) - 1)
-    edges = records.select(F.percentile_approx(F.col("clip_id").cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
-    dealt = records.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("e", lambda x: x < F.col("clip_id")))).drop("e")  # one row of at most ranges numbers
+    dealt = in_ranges(records, ranges)
     counts = dealt.groupBy("range").count().withColumn("offset", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("range").orderBy("clip_id")) - 1
     return dealt.withColumn("inside", inside).join(F.broadcast(counts.select("range", "offset")), "range").withColumn("position", (F.col("offset") + F.col("inside")).cast("int")).drop("range", "offset", "inside")
 
 
-def assigned(records: DataFrame, shards: int, shard: int | None = None, ranges: int = 32) -> DataFrame:
+def assigned(records: DataFrame, shards: int, shard: int | None = None, ranges: int | None = None) -> DataFrame:
     """records with shard, the place modulo shards after any filter before; only one shard's if asked for."""
     out = positions(records, ranges).withColumn("shard", F.col("position") % shards)
     return out if shard is None else out.where(F.col("shard") == shard)

@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from frameloom.functions import columns as C
 
 
-def running_starts(clips: DataFrame, ranges: int = 32) -> DataFrame:
+#: Rows that a task sorts, and the fewest ranges that are dealt out where their number isn't given.
+RANGE_ROWS, FEWEST_RANGES = 1 << 20, 8
+
+
+def in_ranges(df: DataFrame, ranges: int | None = None, key: str = "clip_id") -> DataFrame:
+    """df with range, the place of its range of key; as many ranges as its rows need if their number isn't given."""
+    ranges = ranges or max(FEWEST_RANGES, -(-df.count() // RANGE_ROWS))
+    edges = df.select(F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("_edges"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("_edges", lambda x: x < F.col(key)))).drop("_edges")  # one row of as many numbers as ranges
+
+
+def running_starts(clips: DataFrame, ranges: int | None = None) -> DataFrame:
     """clips(clip_id, line, duration_sec) with start_sec and end_sec, in the order of (clip_id, line).
 
-    With ranges over 1 the clips are dealt into ranges of clip_id: each range is summed, the sums of ranges (few rows)
-    are run through, and only ranges are sorted, so no task sees all clips. Sums then add up in another order, so
+    The clips are dealt into ranges of clip_id (one sort of all if ranges is 1): each range is summed, the sums of ranges (few
+    rows) are run through, and only ranges are sorted, so no task sees all clips. Sums then add up in another order, so
     starts may differ in the last bits.
     """
     clips = clips.withColumn("duration_sec", F.coalesce(F.col("duration_sec"), F.lit(0.0)))
     order = [F.col("clip_id"), F.col("line")]
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    if ranges <= 1:
+    if ranges == 1:
         start = F.coalesce(F.sum("duration_sec").over(before(Window.orderBy(*order))), F.lit(0.0))
         return clips.withColumn("start_sec", start).withColumn("end_sec", F.col("start_sec") + F.col("duration_sec"))
-    edges = clips.select(F.percentile_approx(F.col("clip_id").cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
-    clips = clips.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("e", lambda x: x < F.col("clip_id")))).drop("e")  # one row of at most ranges numbers
+    clips = in_ranges(clips, ranges)
     sums = clips.groupBy("range").agg(F.sum("duration_sec").alias("t")).withColumn("offset", F.coalesce(F.sum("t").over(before(Window.orderBy("range"))), F.lit(0.0)))
     inside = F.coalesce(F.sum("duration_sec").over(before(Window.partitionBy("range").orderBy(*order))), F.lit(0.0))
     out = clips.withColumn("inside", inside).join(F.broadcast(sums.select("range", "offset")), "range")
@@ -75,10 +85,9 @@ def frame_sources(manifest: DataFrame, present: DataFrame) -> DataFrame:
     return paths.join(there, "image_path", "left").agg(F.count("*").alias("n_references"), F.count_distinct("image_path").alias("n_paths"), F.count_if(F.col("there").isNull()).alias("n_missing"))
 
 
-def boundaries(clips: DataFrame, ranges: int = 32) -> DataFrame:
+def boundaries(clips: DataFrame, ranges: int | None = None) -> DataFrame:
     """Beyond the reference: a row for each pair of adjacent clips. Ranges of ids are sorted each for itself; a range's last clip meets the first of the next."""
-    edges = clips.select(F.percentile_approx(F.col("clip_id").cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e"))
-    dealt = clips.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("e", lambda x: x < F.col("clip_id")))).drop("e")  # one row of at most ranges numbers
+    dealt = in_ranges(clips, ranges)
     firsts = dealt.groupBy("range").agg(F.min("clip_id").alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("range")))
     inside = dealt.withColumn("inside", F.lead("clip_id").over(Window.partitionBy("range").orderBy("clip_id")))
     out = inside.join(F.broadcast(firsts.select("range", "after")), "range")  # a row a range

@@ -21,7 +21,7 @@ from frameloom.sources.staged import write_files
 from frameloom.sources.video import read_frames, read_metadata
 
 
-def build_manifest(records: DataFrame, ranges: int = 32) -> DataFrame:
+def build_manifest(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """Sampling records(clip_file, line, duration_sec, error, selected_frames) -> manifest rows on the global timeline.
 
     Clip ids are those in file names, else the record's place; failed clips keep a row and a span of no length.

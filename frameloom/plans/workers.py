@@ -17,6 +17,7 @@ from frameloom.operators import timeline as T
 from frameloom.plans import composites as P
 from frameloom.plans.clips import FMT, TL
 from frameloom.plans.views import ATTEMPTS, CLIP_FRAMES, CLIPS, FRAMES, attempts, clip_frames, clips, job_events, raw_frames, table
+from frameloom.sources import snapshots as N
 from frameloom.sources.folders import scratch
 
 QUERIES, ORACLES = {}, {}
@@ -222,6 +223,27 @@ def q_worker_retry(spark, sf_dir):
     return out.join(again, "clip_id", "left").select("clip_id", "status", "attempt", F.coalesce("n_second", F.lit(0)).alias("n_second"))
 
 
+@query("""SELECT c_custkey AS clip_id, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'RUNNING' ELSE 'PENDING' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'a' WHEN c_custkey % 3 = 0 THEN 'b' END AS worker,
+CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS refused, 2 AS version, 1 AS n_conflicts FROM customer""")
+def q_conditional_commits(spark, sf_dir):
+    """Two workers claim clips from the same version: the later one is refused and claims again on what the first has made."""
+    path = scratch(spark, "states")
+    c = table(spark, sf_dir, "customer").select(F.lit("r").alias("run_id"), F.col("c_custkey").alias("clip_id"))
+    N.commit(c.select("run_id", "clip_id", Z.initial().alias("s")).select("run_id", "clip_id", "s.*"), path, None)
+    event = lambda rows, worker: rows.select("run_id", "clip_id", F.lit(0).alias("seq"), F.lit("claim").alias("op"), F.lit(worker).alias("worker"), F.lit(10.0).alias("now"), F.lit(False).alias("retryable"), F.lit(None).cast("string").alias("error"))
+    claims = lambda worker, k: lambda states: Z.fold(event(c.where(F.col("clip_id") % k == 0), worker), states=states)
+    early, version = N.read(spark, path)
+    N.update(spark, path, claims("a", 2))
+    conflicts = 0
+    try:
+        N.commit(claims("b", 3)(early), path, version)
+    except N.Conflict:
+        conflicts = 1
+        N.update(spark, path, claims("b", 3))
+    out, version = N.read(spark, path)
+    return out.select("clip_id", "status", "worker", "refused", F.lit(version).alias("version"), F.lit(conflicts).alias("n_conflicts"))
+
+
 # --- job states gone on from
 
 

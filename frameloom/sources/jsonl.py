@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from frameloom.functions.jsontext import json_ok
+from frameloom.sources.folders import scratch
 
 
 class BadLine(ValueError):
@@ -49,22 +50,39 @@ def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType
 
 
 def read_strict(spark: SparkSession, path: str | list[str], schema: StructType | str, key: str | None = "clip_id", unique: bool = True) -> DataFrame:
-    """Records in the order of key; an error for bad lines, missing keys, repeated keys and no lines at all."""
-    records, counts = read_tolerant(spark, path, schema, key)
-    c = counts.first()
-    if c.invalid or not c.valid:
-        raise BadLine(f"{c.invalid} lines can't be read" if c.invalid else "there are no lines")
+    """Records in the order of key; an error for bad lines, missing keys, repeated keys and no lines at all.
+
+    The files are read once: the records are written to the shared folder, and how many lines were good, bad and repeated is
+    observed as they pass. Only an error looks again, for the keys that it names.
+    """
+    try:
+        lines = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    except AnalysisException as e:
+        raise (BadLine("there are no lines") if _missing(e) else e) from e
+    parsed = lines.where(F.trim("text") != "").withColumn("ok", json_ok("text")).withColumn("r", F.from_json("text", schema))
+    good = F.coalesce(F.col("ok") & (F.col(f"r.{key}").isNotNull() if key else F.lit(True)), F.lit(False))
+    seen, twice = Observation(), Observation()
+    records = parsed.observe(seen, F.count_if(~good).alias("invalid")).where(good).select("file", "r.*")
     if key and unique:
-        twice = [r[0] for r in records.groupBy(key).count().where("count > 1").orderBy(key).limit(10).collect()]
-        if twice:
-            raise BadLine(f"repeated {key}: {twice}")
-    return records.orderBy(key) if key else records
+        place = F.row_number().over(Window.partitionBy(key).orderBy("file"))
+        records = records.withColumn("_place", place).observe(twice, F.count_if(F.col("_place") == 2).alias("n")).drop("_place")
+    held = f"{scratch(spark, 'records')}/r"
+    records.write.parquet(held)
+    out = spark.read.schema(records.schema).parquet(held)
+    # where nothing is left nothing may have been observed
+    bad = parsed.where(~good).count() if out.isEmpty() else seen.get["invalid"]
+    if bad or out.isEmpty():
+        raise BadLine(f"{bad} lines can't be read" if bad else "there are no lines")
+    if key and unique and twice.get["n"]:
+        names = [r[0] for r in out.groupBy(key).count().where("count > 1").orderBy(key).limit(10).collect()]
+        raise BadLine(f"repeated {key}: {names}")
+    return out.orderBy(key) if key else out
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """An object a line, nulls kept. With order one file is written in it, for small results; else as many as partitions."""
+    """An object a line, nulls kept. With order the lines are in it, within each file and from file to file by their numbers."""
     if order:
-        df = df.coalesce(1).sortWithinPartitions(*order)
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

@@ -117,7 +117,7 @@ def test_config():
     for bad in ({"shards": 0}, {"shard": 1}, {"lease_seconds": 0}, {"shared_state": True, "force": True, "run_id": "r"}, {"shared_state": True}):
         with pytest.raises(ValueError):
             config.WorkerConfig(**bad).checked()
-    env = {"FL_SHARDS": "3", "JOB_ARRAY_INDEX": "2", "FL_SHARED_STATE": "Yes", "FL_FORCE": "no", "FL_OUTPUT": " "}
+    env = {"FL_SHARDS": "3", "AWS_BATCH_JOB_ARRAY_INDEX": "2", "FL_SHARED_STATE": "Yes", "FL_FORCE": "no", "FL_OUTPUT": " "}
     c = config.from_text(config.WorkerConfig, env, "FL_", run_id="r")
     assert (c.shards, c.shard, c.shared_state, c.force, c.output, c.run_id) == (3, 2, True, False, "out", "r")
     assert config.from_text(config.WorkerConfig, env, "FL_", shard=0).shard == 0
