@@ -119,7 +119,7 @@ def keyframe_files(chosen: DataFrame, width: int = 320) -> DataFrame:
     pictures = named.select(F.concat_ws("/", "clip_id", "image_file").alias("path"), encoded("gray", "height", "width").alias("content"))
     one = F.struct("frame_order", "frame_index", "timestamp_sec", "selected_reason", "combined_score", "image_file")
     listed = named.groupBy("clip_id").agg(F.array_sort(F.collect_list(one)).alias("selected_frames"))
-    record = F.to_json(F.struct(F.concat(F.col("clip_id"), F.lit(".mp4")).alias("clip_file"), F.size("selected_frames").alias("selected_count"), "selected_frames", F.concat_ws("/", "clip_id", F.concat("clip_id", F.lit("_contact_sheet.png"))).alias("contact_sheet_path"), F.lit(None).cast("string").alias("error")), {"ignoreNullFields": "false"})
+    record = F.to_json(F.struct(F.concat(F.col("clip_id"), F.lit(".mp4")).alias("clip_file"), F.size("selected_frames").alias("selected_count"), "selected_frames", F.concat_ws("/", "clip_id", F.concat(F.element_at(F.split("clip_id", "/"), -1), F.lit("_contact_sheet.png"))).alias("contact_sheet_path"), F.lit(None).cast("string").alias("error")), {"ignoreNullFields": "false"})
     records = listed.select(F.concat_ws("/", "clip_id", F.lit("selected_frames.json")).alias("path"), record.cast("binary").alias("content"))
 
     def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +127,7 @@ def keyframe_files(chosen: DataFrame, width: int = 320) -> DataFrame:
             rows = []
             for clip, frames in zip(b["clip_id"], b["frames"]):
                 pages = [pixels_of(bytes(f["gray"]), f["height"], f["width"]) for f in frames]
-                rows.append((f"{clip}/{clip}_contact_sheet.png", png(contact_sheet(pages, width), "\n".join(f["label"] for f in frames))))
+                rows.append((f"{clip}/{clip.rsplit('/', 1)[-1]}_contact_sheet.png", png(contact_sheet(pages, width), "\n".join(f["label"] for f in frames))))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     frames = F.array_sort(F.collect_list(F.struct("frame_order", label.alias("label"), "height", "width", "gray")))

@@ -113,7 +113,7 @@ def manifest_complete(expected: DataFrame, manifest: DataFrame) -> DataFrame:
     return counts.select((reason == "complete").alias("complete"), reason.alias("reason"), "n", "missing")
 
 
-def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_frames: int = 8, min_gap_sec: float = 1.0, use_optical_flow: bool = True, adaptive: bool = True, version: str = "1") -> DataFrame:
+def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_frames: int = 8, min_gap_sec: float = 1.0, use_optical_flow: bool = True, adaptive: bool = True, version: str = "1", suffix: str = ".jpg") -> DataFrame:
     """The sampler: raw frames -> a row a clip with its chosen frames, their file names, and how the flow was weighed.
 
     frames(clip_id, frame_index, timestamp_sec, value, kind, brightness, sharpness, flow_score, motion_area), or with
@@ -122,7 +122,7 @@ def sample_clips(frames: DataFrame, durations: DataFrame | None = None, num_fram
     signals = frames if "frame_diff" in frames.columns else S.with_lag_signals(frames)
     scored = S.scored(signals, use_optical_flow, adaptive)
     chosen = K.select_keyframes(scored, durations, num_frames, min_gap_sec)
-    one = F.struct("frame_order", "frame_index", "timestamp_sec", "selected_reason", "combined_score", C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index")).alias("image_file"))
+    one = F.struct("frame_order", "frame_index", "timestamp_sec", "selected_reason", "combined_score", C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index"), suffix).alias("image_file"))
     nested = chosen.groupBy("clip_id").agg(F.array_sort(F.collect_list(one)).alias("selected_frames"), F.count("*").cast("int").alias("selected_count"))
     counts = scored.groupBy("clip_id").agg(F.count("*").alias("num_candidates"), F.first("weight").alias("flow_weight"))
     category: Column = F.lit("fixed_flow_weight" if use_optical_flow else "no_optical_flow")
@@ -147,7 +147,7 @@ def sample_videos(spark: SparkSession, path: str, out: str, candidate_fps: float
     with_signals(frames, scan, place, segment).write.parquet(f"{held}/signals")
     found = spark.read.parquet(f"{held}/signals").withColumnRenamed("video", "clip_id")
     durations = metadata.select(F.col("video").alias("clip_id"), (F.col("frame_count") / F.col("fps")).alias("duration_sec"))
-    sample_clips(found, durations, num_frames, min_gap_sec, scan.flow, adaptive).write.parquet(f"{held}/clips")
+    sample_clips(found, durations, num_frames, min_gap_sec, scan.flow, adaptive, suffix=".png").write.parquet(f"{held}/clips")
     clips = spark.read.parquet(f"{held}/clips")
     chosen = clips.select("clip_id", F.explode("selected_frames").alias("f")).select("clip_id", "f.*").drop("image_file")
     pixels = frames.select(F.col("video").alias("clip_id"), F.col("frame_index").cast("int").alias("frame_index"), "gray", "height", "width")
