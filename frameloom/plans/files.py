@@ -15,6 +15,7 @@ from frameloom.plans.views import ATTEMPTS, attempts, table
 from frameloom.sources import files as L
 from frameloom.sources import jsonl as S
 from frameloom.sources.folders import scratch
+from frameloom.sources.staged import write_files
 
 QUERIES, ORACLES = {}, {}
 
@@ -351,3 +352,59 @@ def q_candidates(spark, sf_dir):
 def q_resized(spark, sf_dir):
     m = metadata(spark, sf_dir).where("frame_count > 0").withColumns({"h": F.col("frame_count").cast("int"), "w": (F.substring("path", 2, 20).cast("int") % 900 + 1)})
     return m.select("path", V.resized(F.col("h"), F.col("w"), 384).alias("r"), C.kept_rows(F.col("h"), 0.12).alias("kept")).select("path", "r.height", "r.width", "kept")
+
+
+# --- listings of written files, and tables and logs of several files
+
+NAMED = "nm AS (SELECT n_nationkey AS k, n_name, CASE n_nationkey % 4 WHEN 0 THEN 'MP4' WHEN 1 THEN 'mov' WHEN 2 THEN 'txt' ELSE 'mkv' END AS ext FROM nation)"
+
+
+def named_files(spark, sf_dir):
+    """A folder of videos and other files, each video's like also in a folder of its own."""
+    n = table(spark, sf_dir, "nation")
+    ext = F.element_at(F.array(*map(F.lit, ("MP4", "mov", "txt", "mkv"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    name = F.concat(F.format_string("clip_%04d.", "n_nationkey"), ext)
+    files = n.select(F.explode(F.array(name, F.concat(F.lit("more/"), F.format_string("k%d/", "n_nationkey"), name))).alias("path"), F.col("n_name").cast("binary").alias("content"))
+    path = f"{scratch(spark, 'named')}/f"
+    write_files(files, path)
+    return path
+
+
+@query("SELECT printf('clip_%04d.', k) || ext AS name FROM nm WHERE ext <> 'txt'", NAMED)
+def q_found_videos(spark, sf_dir):
+    """Videos of the folder itself, whatever the case of their suffixes."""
+    return L.find_videos(spark, named_files(spark, sf_dir), needed=True).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+@query("SELECT printf('clip_%04d.', k) || ext AS name, CAST(length(n_name) AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM nm, range(2) r(i) GROUP BY ALL", NAMED)
+def q_listed_files(spark, sf_dir):
+    files = L.listing(spark, named_files(spark, sf_dir), "clip_*")
+    return files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name"), "length").agg(F.count("*").alias("n"))
+
+
+@query("SELECT printf('clip_%04d', k) AS clip_id, CAST(2 AS BIGINT) AS n FROM nm WHERE ext <> 'txt'", NAMED)
+def q_scanned_clips(spark, sf_dir):
+    return L.scan_clips(spark, named_files(spark, sf_dir)).groupBy("clip_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey AS clip_id, printf('%d, "x".mp4', c_custkey) AS clip_file, c_acctbal AS duration_sec, c_custkey % 13 AS selected_frame_count, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS sampler_error FROM customer""")
+def q_manifest_table(spark, sf_dir):
+    """A manifest's table with all its columns, written and read back with some needed."""
+    c = table(spark, sf_dir, "customer")
+    made = {"clip_id": F.col("c_custkey"), "clip_file": F.format_string('%d, "x".mp4', "c_custkey"), "duration_sec": F.col("c_acctbal"), "selected_frame_count": F.col("c_custkey") % 13, "sampler_error": F.when(F.col("c_custkey") % 5 != 0, F.col("c_name"))}
+    path = scratch(spark, "manifest")
+    L.write_csv(c.select(*[made.get(n, F.lit(None).cast("string")).alias(n) for n in L.MANIFEST_COLUMNS]), path, L.MANIFEST_COLUMNS, needed=True)
+    types = {"clip_id": "long", "duration_sec": "double", "selected_frame_count": "long"}
+    back = L.read_csv(spark, path, ("clip_id", "clip_file"), ", ".join(f"{n} {types.get(n, 'string')}" for n in L.MANIFEST_COLUMNS))
+    return back.select(*made)
+
+
+@query("SELECT clip_id, CAST(count(*) AS BIGINT) AS n, count(DISTINCT line % 3) AS n_logs, count(*) FILTER (error IS NULL) AS n_clean FROM att GROUP BY 1", ATTEMPTS)
+def q_several_logs(spark, sf_dir):
+    """Logs of three shards, appended one after the other, read as one."""
+    a, path = attempts(spark, sf_dir).select("clip_id", "line", "error", "json_parse_ok", (F.col("line") % 3).alias("shard")), scratch(spark, "logs")
+    for k in range(3):
+        S.append_attempts(a.where(F.col("shard") == k), path)
+    logs = [f"{path}/shard={k}" for k in range(3)]
+    found = S.read_tolerant(spark, logs, "clip_id long, line long, error string, json_parse_ok boolean")[0]
+    return found.groupBy("clip_id").agg(F.count("*").alias("n"), F.count_distinct(F.col("line") % 3).alias("n_logs"), F.count_if(F.col("error").isNull()).alias("n_clean"))

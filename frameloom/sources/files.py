@@ -169,7 +169,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | tuple[str, ...] | N
     out = df.select(*names)
     if bom:
         out = out.toDF("\ufeff" + names[0], *names[1:])
-    out.write.mode("overwrite").csv(path, header=True)
+    out.write.mode("overwrite").csv(path, header=True, escape='"')  # quotes within a value are doubled
 
 
 def basic_check(df: DataFrame, key: str = "clip_id") -> DataFrame:
