@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def completed(attempts: DataFrame) -> DataFrame:
     return attempts.where(success()).select("clip_id").distinct()
 
 
+def bucketed(df: DataFrame, path: str, buckets: int, key: str = "clip_id") -> DataFrame:
+    """df, written to path in buckets of key, each sorted: joins and groupings by key of tables with as many buckets move no rows.
+
+    The table is in no catalog afterwards; its files stay in path.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external one: only its name goes
+    return out
+
+
 def remaining(records: DataFrame, attempts: DataFrame) -> DataFrame:
     """What no successful attempt has done."""
     return records.join(completed(attempts), "clip_id", "left_anti")

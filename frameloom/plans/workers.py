@@ -12,6 +12,7 @@ from frameloom.operators import inference as I
 from frameloom.operators import jobstate as Z
 from frameloom.operators import merge as M
 from frameloom.operators import sampling as S
+from frameloom.operators import shards as R
 from frameloom.operators import signals as G
 from frameloom.operators import timeline as T
 from frameloom.plans import composites as P
@@ -46,8 +47,6 @@ NAMES = "nm AS (SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orde
 
 @query(r"SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(name, 'clip[_-](\d+)', 1), '') AS INTEGER), pos) AS clip_id, TRY_CAST(nullif(regexp_extract(name, '(\d+)\.mp4$', 1), '') AS INTEGER) AS number FROM nm", NAMES)
 def q_clip_number(spark, sf_dir):
-    from frameloom.operators import shards as R
-
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
     name = F.when(k == 0, F.concat(F.lit("ep01_clip_"), c, F.lit(".mp4"))).when(k == 1, F.concat(F.lit("clip-"), c, F.lit(".mov"))).when(k == 2, F.concat(F.lit("scene"), c, F.lit(".mp4"))).otherwise("other.mp4")
     o = R.positions(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id"), name.alias("name")))
@@ -244,6 +243,15 @@ def q_conditional_commits(spark, sf_dir):
     return out.select("clip_id", "status", "worker", "refused", F.lit(version).alias("version"), F.lit(conflicts).alias("n_conflicts"))
 
 
+@query("SELECT c_custkey AS clip_id, c_name AS clip_file FROM customer WHERE c_custkey NOT IN (SELECT clip_id FROM att WHERE error IS NULL AND json_parse_ok)", ATTEMPTS)
+def q_bucketed_remaining(spark, sf_dir):
+    """What is left to do, from a manifest and attempts in buckets of the clip."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id"), F.col("c_name").alias("clip_file"))
+    a = attempts(spark, sf_dir).select(F.col("clip_id").cast(c.schema["clip_id"].dataType).alias("clip_id"), "error", "json_parse_ok")
+    path = scratch(spark, "buckets")
+    return R.remaining(R.bucketed(c, f"{path}/manifest", 8), R.bucketed(a, f"{path}/attempts", 8))
+
+
 # --- job states gone on from
 
 

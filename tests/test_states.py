@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import inference as I
 from frameloom.operators import jobstate as Z
+from frameloom.operators import shards as R
 from frameloom.sources import jsonl as S
 from frameloom.sources import snapshots as N
 from frameloom.streaming import leases as L
@@ -129,3 +130,18 @@ def test_strict_reading_scans_once(spark, tmp_path):
     for bad, why in ((str(tmp_path / "e"), "no lines"), (str(tmp_path / "none"), "no lines")):
         with pytest.raises(S.BadLine, match=why):
             S.read_strict(spark, bad, "clip_id long")
+
+
+def test_buckets_join_without_an_exchange(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(200).select(F.col("id").alias("clip_id"))
+        attempts = ids.where("clip_id % 3 = 0").withColumn("error", F.lit(None).cast("string")).withColumn("json_parse_ok", F.col("clip_id") % 2 == 0)
+        left = R.remaining(R.bucketed(ids, str(tmp_path / "m"), 4), R.bucketed(attempts, str(tmp_path / "a"), 4))
+        assert sorted(r.clip_id for r in left.collect()) == [i for i in range(200) if i % 6]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan and "LeftAnti" in plan
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
