@@ -94,19 +94,19 @@ def test_competing_commits(spark, tmp_path):
         N.read(spark, path, 0)
 
 
-def failing():
-    def model(record, frames):
-        raise RuntimeError("not yet")
-
-    return model
-
-
 def test_a_retry_by_the_same_worker_succeeds(spark, tmp_path):
     frame = "struct<frame_order: int, timestamp_sec: double, combined_score: double, image_path: string>"
     manifest = spark.createDataFrame([(i, [(0, 0.0, 1.0, "p")]) for i in range(3)], f"clip_id int, selected_frames array<{frame}>")
     nothing = spark.createDataFrame([], "clip_id int, error string, json_parse_ok boolean")
     states = spark.createDataFrame([("r", i) for i in range(3)], "run_id string, clip_id int").withColumn("s", Z.initial()).select("run_id", "clip_id", "s.*")
     log = str(tmp_path / "log")
+
+    def failing():
+        def model(record, frames):
+            raise RuntimeError("not yet")
+
+        return model
+
     for attempt in (1, 2):
         outputs, states = I.run_claimed(manifest, nothing, states, failing, "w", "r", log, 100.0 * attempt)
         assert {(r.status, r.attempt, r.last_result) for r in states.collect()} == {(Z.RETRYABLE, attempt, Z.RETRYABLE)} and outputs.count() == 3
