@@ -19,25 +19,27 @@ def _missing(e: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(e)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> DataFrame:
     """(file, line_num, text) of the non-blank lines, read line by line.
 
     A line's number is its place in its split and how many lines the file's splits before have: a row a split is summed.
+    Files that are together the parts of one log, in the order of their paths, are numbered on from one to the next.
     """
     at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     lines = spark.read.text(path).select(at.alias("at"), F.monotonically_increasing_id().alias("i"), "value")
-    before = Window.partitionBy("at.path").orderBy("at.block").rowsBetween(Window.unboundedPreceding, -1)
+    log = Window.orderBy("at.path", "at.block") if together else Window.partitionBy("at.path").orderBy("at.block")
+    before = log.rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("at").agg(F.min("i").alias("first"), F.count("*").alias("n"))
     splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("at", "first", "offset")
-    numbered = lines.join(splits, "at").select(F.element_at(F.split("at.path", "/"), -1).alias("file"), (F.col("i") - F.col("first") + F.col("offset") + 1).cast("int").alias("line_num"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    numbered = lines.join(F.broadcast(splits), "at").select(F.element_at(F.split("at.path", "/"), -1).alias("file"), (F.col("i") - F.col("first") + F.col("offset") + 1).cast("int").alias("line_num"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
     return numbered.where(F.trim("text") != "")
 
 
-def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType | str, key: str | None = "clip_id") -> tuple[DataFrame, DataFrame]:
-    """(records, counts): records are the lines that a strict parser takes and that have a key, with file and line_num;
-    counts is one row of how many lines were valid and not. A path that isn't there has no lines."""
+def read_tolerant(spark: SparkSession, path: str | list[str], schema: StructType | str, key: str | None = "clip_id", together: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, counts): records are the lines that a strict parser takes and that have a key, with file and line_num (see
+    read_lines); counts is one row of how many lines were valid and not. A path that isn't there has no lines."""
     try:
-        lines = read_lines(spark, path)
+        lines = read_lines(spark, path, together)
         lines.schema
     except AnalysisException as e:
         if not _missing(e):

@@ -27,3 +27,22 @@ def test_extracted_json_of_five_digit_ids(spark, tmp_path):
     data = tables(tmp_path, conversations="SELECT * REPLACE (conv_id + 9990 AS conv_id) FROM conversations")
     for name in ("q_json_extract", "q_json_ok", "q_stringify_events"):
         assert_same(spark, registry.QUERIES[name], registry.ORACLES[name], data)
+
+
+def test_lines_are_written_by_several_tasks_and_numbered_through(spark, tmp_path):
+    from frameloom.plans import files
+    from frameloom.sources import jsonl as S
+
+    data = tables(tmp_path, orders="SELECT * REPLACE (o_orderkey + 1500 * i AS o_orderkey) FROM orders, range(40) r(i)")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = files.lines(spark, data)
+    finally:
+        spark.conf.unset(setting)
+    parts = spark.read.text(found).select("_metadata.file_name").distinct().count()
+    assert parts > 1  # no task has sorted all of them
+    last = lambda together: [r[0] for r in S.read_lines(spark, found, together).groupBy("file").agg({"line_num": "max"}).select("max(line_num)").collect()]
+    assert len(last(True)) == len(last(False)) == parts and max(last(False)) < max(last(True)) <= 60000
+    for name in ("q_line_numbers", "q_jsonl_tolerant", "q_jsonl_counts"):
+        assert_same(spark, registry.QUERIES[name], registry.ORACLES[name], data)
