@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import columns as C
+from frameloom.sources.folders import shared_dir
 
+#: Rows that a task sorts, and the fewest and most ranges that are dealt out where their number isn't given.
+RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 1 << 20, 8, 4096
 
-#: Rows that a task sorts, and the fewest ranges that are dealt out where their number isn't given.
-RANGE_ROWS, FEWEST_RANGES = 1 << 20, 8
+
+def range_edges(df: DataFrame, ranges: int | None = None, key: str = "clip_id") -> list[float]:
+    """What parts the ranges of key, from one look at df; as many ranges as its rows need if their number isn't given."""
+    parts = ranges or MOST_RANGES
+    if parts == 1:
+        return []
+    n, found = df.agg(F.count("*"), F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()
+    ranges = ranges or min(parts, max(FEWEST_RANGES, -(-n // RANGE_ROWS)))
+    return [found[i * parts // ranges - 1] for i in range(1, ranges)] if found else []
+
+
+def range_of(edges: list[float], key: str = "clip_id") -> Column:
+    """The place of the range of key."""
+    return F.size(F.filter(F.lit(edges), lambda x: x < F.col(key))) if edges else F.lit(0)
 
 
 def in_ranges(df: DataFrame, ranges: int | None = None, key: str = "clip_id") -> DataFrame:
-    """df with range, the place of its range of key; as many ranges as its rows need if their number isn't given."""
-    ranges = ranges or max(FEWEST_RANGES, -(-df.count() // RANGE_ROWS))
-    edges = df.select(F.percentile_approx(F.col(key).cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("_edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("_edges", lambda x: x < F.col(key)))).drop("_edges")  # one row of as many numbers as ranges
+    """df with range, the place of its range of key."""
+    return df.withColumn("range", range_of(range_edges(df, ranges, key), key))
 
 
 def running_starts(clips: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -24,7 +37,8 @@ def running_starts(clips: DataFrame, ranges: int | None = None) -> DataFrame:
 
     The clips are dealt into ranges of clip_id (one sort of all if ranges is 1): each range is summed, the sums of ranges (few
     rows) are run through, and only ranges are sorted, so no task sees all clips. Sums then add up in another order, so
-    starts may differ in the last bits.
+    starts may differ in the last bits. Ranges are found and summed from ids and durations alone, kept in the shared folder,
+    so that the clips themselves, whatever they are made of, are made once.
     """
     clips = clips.withColumn("duration_sec", F.coalesce(F.col("duration_sec"), F.lit(0.0)))
     order = [F.col("clip_id"), F.col("line")]
@@ -32,8 +46,11 @@ def running_starts(clips: DataFrame, ranges: int | None = None) -> DataFrame:
     if ranges == 1:
         start = F.coalesce(F.sum("duration_sec").over(before(Window.orderBy(*order))), F.lit(0.0))
         return clips.withColumn("start_sec", start).withColumn("end_sec", F.col("start_sec") + F.col("duration_sec"))
-    clips = in_ranges(clips, ranges)
-    sums = clips.groupBy("range").agg(F.sum("duration_sec").alias("t")).withColumn("offset", F.coalesce(F.sum("t").over(before(Window.orderBy("range"))), F.lit(0.0)))
+    shared_dir(clips.sparkSession)
+    slim = clips.select("clip_id", "duration_sec").checkpoint(eager=True)
+    place = range_of(range_edges(slim, ranges))
+    clips = clips.withColumn("range", place)
+    sums = slim.withColumn("range", place).groupBy("range").agg(F.sum("duration_sec").alias("t")).withColumn("offset", F.coalesce(F.sum("t").over(before(Window.orderBy("range"))), F.lit(0.0)))
     inside = F.coalesce(F.sum("duration_sec").over(before(Window.partitionBy("range").orderBy(*order))), F.lit(0.0))
     out = clips.withColumn("inside", inside).join(F.broadcast(sums.select("range", "offset")), "range")
     out = out.withColumn("start_sec", F.col("offset") + F.col("inside")).withColumn("end_sec", F.col("start_sec") + F.col("duration_sec"))
@@ -67,13 +84,17 @@ def manifest_stats(manifest: DataFrame, low: float = 18.0, high: float = 22.0) -
     )
 
 
+def cloud_path(path: Column, place: Column, prefix: str) -> Column:
+    """Where a frame of clip_id, at its place in it, lies under prefix; a path in the store stays."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(path.rlike("(?i)^s3://"), path).otherwise(F.concat(F.lit(prefix.rstrip("/") + "/"), F.format_string("clip_%04d/%02d_", F.col("clip_id"), place), name))
+
+
 def with_cloud_paths(manifest: DataFrame, prefix: str) -> DataFrame:
     """Frames' image_path under prefix as clip_%04d/%02d_<name>; the old one kept as source_image_path; paths in the store stay."""
 
     def moved(f, i):
-        name = F.element_at(F.split(f["image_path"], "/"), -1)
-        new = F.when(f["image_path"].rlike("(?i)^s3://"), f["image_path"]).otherwise(F.concat(F.lit(prefix.rstrip("/") + "/"), F.format_string("clip_%04d/%02d_", F.col("clip_id"), i), name))
-        return f.withField("source_image_path", f["image_path"]).withField("image_path", new)
+        return f.withField("source_image_path", f["image_path"]).withField("image_path", cloud_path(f["image_path"], i, prefix))
 
     return manifest.withColumn("selected_frames", F.transform("selected_frames", moved))
 

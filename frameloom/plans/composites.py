@@ -33,8 +33,9 @@ def build_manifest(records: DataFrame, ranges: int | None = None) -> DataFrame:
         start = F.col("start_sec") + F.coalesce(f["timestamp_sec"], F.lit(0.0))
         return f.withField("frame_order", i).withField("local_timestamp", C.format_time(F.coalesce(f["timestamp_sec"], F.lit(0.0)))).withField("global_timestamp_sec", start).withField("global_timestamp", C.format_time(start))
 
-    out = clips.withColumn("selected_frames", F.transform("selected_frames", timed))
-    return out.withColumns({"actual_start_time": C.format_time(F.col("start_sec")), "actual_end_time": C.format_time(F.col("end_sec")), "selected_frame_count": F.coalesce(F.array_size("selected_frames"), F.lit(0))})
+    # frames are counted before they are timed, so that who only counts them doesn't time them
+    out = clips.withColumns({"actual_start_time": C.format_time(F.col("start_sec")), "actual_end_time": C.format_time(F.col("end_sec")), "selected_frame_count": F.coalesce(F.array_size("selected_frames"), F.lit(0))})
+    return out.withColumn("selected_frames", F.transform("selected_frames", timed))
 
 
 def evaluate_keyframes(keyframes: DataFrame, images: DataFrame, version: str) -> DataFrame:
@@ -66,7 +67,8 @@ def evaluate_motion_coverage(keyframes: DataFrame, motion: DataFrame, paths: Dat
 def prepare_cloud_run(manifest: DataFrame, prefix: str, present: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifest with store paths, uploads(source, target) that aren't in present(target), one row of counts)."""
     moved = T.with_cloud_paths(manifest, prefix)
-    pairs = moved.select(F.explode("selected_frames").alias("f")).select(F.col("f.source_image_path").alias("source"), F.col("f.image_path").alias("target"))
+    paths = manifest.select("clip_id", F.posexplode("selected_frames.image_path").alias("i", "source"))  # of the frames only these are read
+    pairs = paths.select("source", T.cloud_path(F.col("source"), F.col("i"), prefix).alias("target"))
     uploads = pairs.where("source <> target").distinct().join(present, "target", "left_anti").select("source", "target")
     counts = pairs.agg(F.count("*").alias("n_references"), F.count_distinct("target").alias("n_targets"))
     return moved, uploads, counts

@@ -360,7 +360,9 @@ def q_build_manifest(spark, sf_dir):
 
 @query("SELECT count(*) AS n_references, count(DISTINCT printf('%d/%d/%d', clip_id, frame_order, 0)) AS n_targets, count(*) FILTER (frame_order > 0) AS n_uploads FROM cf", CLIP_FRAMES)
 def q_cloud_run(spark, sf_dir):
-    m = P.build_manifest(records(spark, sf_dir))
+    path = f"{scratch(spark, 'manifest')}/m"
+    P.build_manifest(records(spark, sf_dir)).write.parquet(path)
+    m = spark.read.parquet(path)
     moved = P.prepare_cloud_run(m, "s3://b/run", spark.createDataFrame([], "target string"))[0]
     there = moved.select(F.col("selected_frames")[0]["image_path"].alias("target"))
     _, uploads, counts = P.prepare_cloud_run(m, "s3://b/run", there)

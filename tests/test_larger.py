@@ -46,3 +46,21 @@ def test_lines_are_written_by_several_tasks_and_numbered_through(spark, tmp_path
     assert len(last(True)) == len(last(False)) == parts and max(last(False)) < max(last(True)) <= 60000
     for name in ("q_line_numbers", "q_jsonl_tolerant", "q_jsonl_counts"):
         assert_same(spark, registry.QUERIES[name], registry.ORACLES[name], data)
+
+
+def test_clips_are_made_once_for_their_running_starts(spark):
+    from pyspark.sql import functions as F
+
+    from frameloom.operators import timeline as T
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    clips = spark.range(0, 5000, 1, 2).select(F.col("id").alias("clip_id"), F.col("id").alias("line"), F.lit(2.0).alias("duration_sec")).mapInArrow(passed, "clip_id long, line long, duration_sec double")
+    out = T.running_starts(clips, 16)
+    assert out.where("start_sec = clip_id * 2").count() == 5000
+    assert seen.value == 10000  # ids and durations, then the clips themselves
