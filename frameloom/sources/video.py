@@ -1,7 +1,7 @@
 """Uncompressed video (Y4M: a line of header, then frames of one size) as a source of frames and a sink.
 
-A file is cut into ranges of bytes, whatever its length; a task reads the header, and of the frames that begin in its
-range only those that are asked for: by a range of frame_index, which Spark pushes down, by a rate of candidates, which is an
+A file is cut into ranges of bytes, whatever its length, and small ranges are dealt to a task together; of each a task reads
+the header, and of the frames that begin in it only those that are asked for: by a range of frame_index, which Spark pushes down, by a rate of candidates, which is an
 option, or none where no pixels are among the columns. A video may be several files in one folder, each with the number of
 its first frame in its header; so a long video is also written by many tasks.
 """
@@ -26,6 +26,8 @@ MAGIC, FRAME, SUFFIX = b"YUV4MPEG2", b"FRAME\n", ".y4m"
 #: Bytes of a frame for each pixel, by colour space; the first plane is the gray picture.
 COLOURS = {"mono": Fraction(1), "420": Fraction(3, 2), "422": Fraction(2), "444": Fraction(3)}
 LONGEST_HEADER = 4096
+#: What a task reads where ranges are small, and what opening a file counts for.
+TOGETHER_BYTES, OPEN_BYTES = 32 << 20, 1 << 18
 FRAMES = "video string, path string, frame_index long, timestamp_sec double, fps double, height int, width int, gray binary"
 METADATA = "video string, path string, first long, frames long, fps double, height int, width int, error string"
 
@@ -109,6 +111,26 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads."""
+
+    found: list[Range]
+
+
+def together(ranges: Iterable[Range], most: int) -> list[Ranges]:
+    """Ranges in their order, as many a task as make about most bytes, each counted as a file opened."""
+    out, total = [], 0
+    for r in ranges:
+        cost = r.end - r.start + OPEN_BYTES
+        if not out or total + cost > most:
+            out.append(Ranges([]))
+            total = 0
+        out[-1].found.append(r)
+        total += cost
+    return out
+
+
 class Y4mReader(DataSourceReader):
     """Frames in ranges of bytes; low and high are what was pushed down of frame_index."""
 
@@ -140,8 +162,9 @@ class Y4mReader(DataSourceReader):
     def narrow(self, low: int | None, high: int | None) -> None:
         self.low, self.high = max(self.low, self.low if low is None else low), min(self.high, self.high if high is None else high)
 
-    def partitions(self) -> list[Range]:
-        return [Range(x.path, x.size, s, min(x.size, s + self.task_bytes)) for x in files_in(self.path, SUFFIX) for s in range(0, max(x.size, 1), self.task_bytes)]
+    def partitions(self) -> list[Ranges]:
+        ranges = (Range(x.path, x.size, s, min(x.size, s + self.task_bytes)) for x in files_in(self.path, SUFFIX) for s in range(0, max(x.size, 1), self.task_bytes))
+        return together(ranges, max(self.task_bytes, TOGETHER_BYTES))
 
     def wanted(self, header: Header, part: Range) -> range:
         """Numbers within the file of the frames to read."""
@@ -156,7 +179,11 @@ class Y4mReader(DataSourceReader):
         low += -(header.first + low) % step
         return range(low, max(low, high), step)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for r in part.found:
+            yield from self.read_range(r)
+
+    def read_range(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, root = located(self.path)
         pixels = "gray" in self.columns
         with store.open_input_file(part.path) as file:
