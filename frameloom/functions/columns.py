@@ -20,7 +20,15 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def format_time(seconds: Column) -> Column:
     """HH:MM:SS.mmm; milliseconds are rounded half to even, hours have no bound."""
-    ms = half_even(seconds * 1000).cast("long")
+    return format_millis(millis(seconds))
+
+
+def millis(seconds: Column) -> Column:
+    return half_even(seconds * 1000).cast("long")
+
+
+def format_millis(ms: Column) -> Column:
+    """HH:MM:SS.mmm of whole milliseconds."""
     rest = F.pmod(ms, F.lit(3_600_000))
     return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3_600_000), F.floor(rest / 60_000), F.floor(F.pmod(rest, F.lit(60_000)) / 1000), F.pmod(rest, F.lit(1000)))
 

@@ -31,7 +31,7 @@ def build_manifest(records: DataFrame, ranges: int | None = None) -> DataFrame:
 
     def timed(f, i):
         start = F.col("start_sec") + F.coalesce(f["timestamp_sec"], F.lit(0.0))
-        return f.withField("frame_order", i).withField("local_timestamp", C.format_time(F.coalesce(f["timestamp_sec"], F.lit(0.0)))).withField("global_timestamp_sec", start).withField("global_timestamp", C.format_time(start))
+        return f.withField("frame_order", i).withField("local_timestamp", C.let(C.millis(F.coalesce(f["timestamp_sec"], F.lit(0.0))), C.format_millis)).withField("global_timestamp_sec", start).withField("global_timestamp", C.let(C.millis(start), C.format_millis))
 
     # frames are counted before they are timed, so that who only counts them doesn't time them
     out = clips.withColumns({"actual_start_time": C.format_time(F.col("start_sec")), "actual_end_time": C.format_time(F.col("end_sec")), "selected_frame_count": F.coalesce(F.array_size("selected_frames"), F.lit(0))})
@@ -153,7 +153,8 @@ def sample_videos(spark: SparkSession, path: str, out: str, candidate_fps: float
     clips = spark.read.parquet(f"{held}/clips")
     chosen = clips.select("clip_id", F.explode("selected_frames").alias("f")).select("clip_id", "f.*").drop("image_file")
     pixels = frames.select(F.col("video").alias("clip_id"), F.col("frame_index").cast("int").alias("frame_index"), "gray", "height", "width")
-    write_files(keyframe_files(chosen.join(pixels, ["clip_id", "frame_index"]), sheet_width), out, overwrite=True)
+    chosen.join(pixels, ["clip_id", "frame_index"]).write.parquet(f"{held}/chosen")  # pictures, sheets and records are made of it
+    write_files(keyframe_files(spark.read.parquet(f"{held}/chosen"), sheet_width), out, overwrite=True)
     return clips
 
 
