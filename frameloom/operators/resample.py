@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the cubic kernel are whole numbers of 2**-CUBIC_BITS.
@@ -86,3 +88,20 @@ def similarity_vector(picture: np.ndarray, size: int = 32) -> np.ndarray:
     v -= v.mean()
     n = math.sqrt(float(v @ v))
     return v / n if n else v
+
+
+def with_vectors(frames: DataFrame, size: int = 32, together: int = 256) -> DataFrame:
+    """frames(gray binary, height, width, ...) with their similarity vectors instead of the pixels, null for a null; so many are held at a time."""
+    kept = [f for f in frames.schema if f.name not in ("gray", "height", "width")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, together):
+                part = b.slice(i, together)
+                there = [g.as_py() for g in part.column("gray")]
+                found = [similarity_vector(pixels_of(g, h.as_py(), w.as_py()), size) for g, h, w in zip(there, part.column("height"), part.column("width")) if g is not None]
+                lengths = np.array([0 if g is None else size * size for g in there], np.int32)
+                vectors = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), np.cumsum(lengths, dtype=np.int32)]), pa.array(np.concatenate(found) if found else np.empty(0)), mask=pa.array(lengths == 0))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), vectors], [*(f.name for f in kept), "vector"])
+
+    return frames.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "vector array<double>"]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from frameloom.operators import evaluation as E
 from frameloom.operators import flow as W
 from frameloom.operators import images as I
-from frameloom.operators.resample import pixels_of, resized_pixels, similarity_vector
+from frameloom.operators.resample import pixels_of, resized_pixels, with_vectors
 from frameloom.operators.scan import ScanSettings, with_signals
 from frameloom.plans import composites as P
 from frameloom.plans.workers import LAPLACE, PIXELS, pixels
@@ -145,8 +145,8 @@ FROM vf o JOIN ls n USING (vec_id) LEFT JOIN (SELECT video, i + 1 AS i, v FROM v
 )
 def q_near_dup_pixels(spark, sf_dir):
     """Likeness of frames to the one before, from their pixels in 32 x 32."""
-    similar = F.pandas_udf(lambda g: g.map(lambda x: similarity_vector(pixels_of(x, 8, 8)).tolist()), "array<double>")
-    f = video_frames(spark, sf_dir).select(F.col("video").alias("clip_id"), F.col("frame_index").cast("double").alias("timestamp"), F.col("frame_index").cast("string").alias("frame_id"), similar("gray").alias("vector"))
+    f = video_frames(spark, sf_dir).select(F.col("video").alias("clip_id"), F.col("frame_index").cast("double").alias("timestamp"), F.col("frame_index").cast("string").alias("frame_id"), "gray", "height", "width")
+    f = with_vectors(f)
     out = E.with_similarity(f)
     return out.select(F.col("clip_id").alias("video"), F.col("timestamp").cast("long").alias("frame_index"), F.round("similarity", 6).alias("similarity"))
 
