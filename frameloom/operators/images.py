@@ -30,11 +30,19 @@ def _chunk(name: bytes, data: bytes) -> bytes:
 
 def png(picture: np.ndarray, notes: str = "") -> bytes:
     """A gray picture of bytes as PNG, notes as its description."""
-    h, w = picture.shape
-    lines = np.zeros((h, w + 1), np.uint8)
-    lines[:, 1:] = picture
+    return png_of_bands(*picture.shape, iter([picture]), notes)
+
+
+def png_of_bands(h: int, w: int, bands: Iterator[np.ndarray], notes: str = "") -> bytes:
+    """The PNG of a picture that comes in bands from the top, of which one is held at a time."""
+    pack, packed = zlib.compressobj(), []
+    for band in bands:
+        lines = np.zeros((len(band), w + 1), np.uint8)
+        lines[:, 1:] = band
+        packed.append(pack.compress(lines.tobytes()))
+    packed.append(pack.flush())
     text = _chunk(b"iTXt", b"Description\0\0\0\0\0" + notes.encode("utf-8", "replace")) if notes else b""
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + text + _chunk(b"IDAT", zlib.compress(lines.tobytes())) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + text + _chunk(b"IDAT", b"".join(packed)) + _chunk(b"IEND", b"")
 
 
 def png_picture(data: bytes) -> tuple[np.ndarray, str]:
@@ -97,21 +105,32 @@ def decoded(content: Column | str) -> Column:
 
 def contact_sheet(pictures: list[np.ndarray], width: int = 320, most_columns: int = 4) -> np.ndarray:
     """Pictures in a grid under a band for the title, a band for a label under each."""
-    thumbs = [resample(p, *shape, "cubic") if (shape := kept_shape(*p.shape, width)) != p.shape else p for p in pictures]
-    columns = min(most_columns, len(thumbs))
-    tall = max(t.shape[0] for t in thumbs) + LABEL
-    sheet = np.full((TITLE + -(-len(thumbs) // columns) * tall, columns * width), PAPER, np.uint8)
-    for i, t in enumerate(thumbs):
-        top, left = TITLE + i // columns * tall, i % columns * width
-        sheet[top : top + t.shape[0], left : left + t.shape[1]] = t
-    return sheet
+    return np.concatenate(list(sheet_bands(pictures, width, most_columns)[2]))
+
+
+def sheet_bands(pictures: list[np.ndarray], width: int = 320, most_columns: int = 4) -> tuple[int, int, Iterator[np.ndarray]]:
+    """(height, width, bands) of a contact sheet: the title's band, then a row of the grid each, made as it is taken."""
+    shapes = [kept_shape(*p.shape, width) for p in pictures]
+    columns = min(most_columns, len(pictures))
+    tall = max(h for h, _ in shapes) + LABEL
+
+    def made() -> Iterator[np.ndarray]:
+        yield np.full((TITLE, columns * width), PAPER, np.uint8)
+        for i in range(0, len(pictures), columns):
+            band = np.full((tall, columns * width), PAPER, np.uint8)
+            for k, (p, shape) in enumerate(zip(pictures[i : i + columns], shapes[i : i + columns])):
+                t = p if shape == p.shape else resample(p, *shape, "cubic")
+                band[: t.shape[0], k * width : k * width + t.shape[1]] = t
+            yield band
+
+    return TITLE + -(-len(pictures) // columns) * tall, columns * width, made()
 
 
 def keyframe_files(chosen: DataFrame, width: int = 320) -> DataFrame:
     """chosen(clip_id string, frame_order, frame_index, timestamp_sec, selected_reason, combined_score, gray, height, width) -> FILES.
 
     A picture a frame, and for each clip its contact sheet, with the labels as notes, and selected_frames.json. A clip's
-    frames are few (those selected), so its sheet is made in one call.
+    sheet is made in one call, which holds the frames as they came and one row of the sheet's grid in its size.
     """
     name = C.frame_file_name(F.col("frame_order"), F.col("timestamp_sec"), F.col("frame_index"), suffix=".png")
     named = chosen.withColumn("image_file", name)
@@ -124,11 +143,10 @@ def keyframe_files(chosen: DataFrame, width: int = 320) -> DataFrame:
 
     def sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for clip, frames in zip(b["clip_id"], b["frames"]):
                 pages = [pixels_of(bytes(f["gray"]), f["height"], f["width"]) for f in frames]
-                rows.append((f"{clip}/{clip.rsplit('/', 1)[-1]}_contact_sheet.png", png(contact_sheet(pages, width), "\n".join(f["label"] for f in frames))))
-            yield pd.DataFrame(rows, columns=["path", "content"])
+                sheet = png_of_bands(*sheet_bands(pages, width), "\n".join(f["label"] for f in frames))
+                yield pd.DataFrame([(f"{clip}/{clip.rsplit('/', 1)[-1]}_contact_sheet.png", sheet)], columns=["path", "content"])
 
     frames = F.array_sort(F.collect_list(F.struct("frame_order", label.alias("label"), "height", "width", "gray")))
     return pictures.unionByName(records).unionByName(named.groupBy("clip_id").agg(frames.alias("frames")).mapInPandas(sheets, FILES))

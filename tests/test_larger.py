@@ -64,3 +64,42 @@ def test_clips_are_made_once_for_their_running_starts(spark):
     out = T.running_starts(clips, 16)
     assert out.where("start_sec = clip_id * 2").count() == 5000
     assert seen.value == 10000  # ids and durations, then the clips themselves
+
+
+def test_small_ranges_of_videos_share_a_task():
+    from frameloom.sources.video import Range, together
+
+    ranges = [Range(f"v/{i // 3}", 1500, 500 * (i % 3), 500 * (i % 3) + 500) for i in range(3000)]
+    parts = together(ranges, 32 << 20)
+    assert len(parts) < 30 and [r for p in parts for r in p.found] == ranges
+    large = [Range("v", 1 << 30, i << 25, (i + 1) << 25) for i in range(32)]
+    assert [p.found for p in together(large, 32 << 20)] == [[r] for r in large]
+
+
+def test_vectors_come_in_small_batches(spark):
+    import numpy as np
+
+    from frameloom.operators import resample as R
+
+    gray = np.random.default_rng(1).integers(0, 256, (700, 64)).astype(np.uint8)
+    rows = [(i, None if i == 300 else gray[i].tobytes(), 8, 8) for i in range(700)]
+    out = R.with_vectors(spark.createDataFrame(rows, "id long, gray binary, height int, width int").coalesce(1))
+    assert out.columns == ["id", "vector"]
+    for r in out.collect():
+        assert r.vector is None if r.id == 300 else r.vector == R.similarity_vector(gray[r.id].reshape(8, 8)).tolist()
+
+
+def test_a_sheet_is_not_held_whole():
+    import tracemalloc
+
+    import numpy as np
+
+    from frameloom.operators import images as I
+
+    pages = [np.full((8, 8), k % 256, np.uint8) for k in range(240)]
+    tracemalloc.start()
+    made = I.png_of_bands(*I.sheet_bands(pages, 320))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # the sheet is of 29 MB
+    assert np.array_equal(I.png_picture(made)[0], I.contact_sheet(pages, 320))
