@@ -24,6 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each component of Jaccard similarities of 0.8 or more on five-word shingles.
 
+    Candidates are linked by the fingerprints and the index of op7_simhash, and by MinHash where these differ in more than three bits.
     Null ids come last; of rows equal in id and text one stays; texts without words, null ones too, are copies of each other.
     """
     return copies.without_near_copies(docs)

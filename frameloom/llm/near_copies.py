@@ -1,9 +1,11 @@
-"""Near copies of documents by MinHash banding, verified by the exact Jaccard similarity of five-word shingles.
+"""Near copies of documents by SimHash and by MinHash banding, verified by the exact Jaccard similarity of five-word shingles.
 
 A document's set are its ``width``-word shingles, lower-cased (ASCII); one of fewer words has all its words as one
 shingle, one of no words has none. Documents of equal sets are one class. Bands of ``rows`` minimum hashes are tuned
-as in op6: the fewest whose miss rate at the threshold is below ``miss``. Only classes that share a band are shingled
-again; what meets in a band is verified exactly and yields spanning links, not pairs (see op6_paragraphs).
+as in op6: the fewest whose miss rate at the threshold is below ``miss``. Fingerprints are those of op7_simhash, linked by
+its index of byte positions, its tally and its three bits: classes whose fingerprints are linked share a band of their own.
+At the threshold two fingerprints differ in some ten bits, so neither way stands in for the other. Only classes that share
+a band are shingled again; what meets in a band is verified exactly and yields spanning links, not pairs (see op6_paragraphs).
 
 Removal is by row: of each component one row stays, that of the least id (null ids last, then by the text's hashes;
 of rows equal in id and text any one). Texts without words are copies of each other; an empty table gives no rows.
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.chunks import Chunk
 from frameloom.llm.common import components, cut, fits, mix64, pieces, row_of
 from frameloom.llm.op6_paragraphs import tuned, verified_links
+from frameloom.llm.op7_simhash import fingerprint, links
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,17 +85,25 @@ def text_sets(batch: pa.RecordBatch, column: int, width: int, most: int = 1 << 2
 
 
 def sketches(keyed: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """keyed(h1, h2, doc_id, text binary) -> (h1, h2, doc_id, unit, bands), a row for each."""
+    """keyed(h1, h2, doc_id, text binary) -> (h1, h2, doc_id, unit, fp, bands), a row for each; fp is op7's fingerprint."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e, h, sizes in text_sets(b, 3, width):
                 unit, made_bands = set_bands(h, sizes, bands, rows)
+                fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(3).slice(s, e - s)), np.uint64, e - s)
                 offsets = np.r_[0, np.cumsum((sizes > 0) * bands)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made_bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(s, e - s) for k in range(3)), pa.array(unit.view(np.int64)), lists], ["h1", "h2", "doc_id", "unit", "bands"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(s, e - s) for k in range(3)), pa.array(unit.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["h1", "h2", "doc_id", "unit", "fp", "bands"])
 
-    return keyed.mapInArrow(made, "h1 long, h2 long, doc_id long, unit long, bands array<long>")
+    return keyed.mapInArrow(made, "h1 long, h2 long, doc_id long, unit long, fp long, bands array<long>")
+
+
+def print_bands(held: DataFrame) -> DataFrame:
+    """held(unit, fp, bands) -> (unit, band): classes whose fingerprints op7 links, near or far, share a band."""
+    prints = held.where(F.size("bands") > 0).select("unit", "fp").distinct()
+    linked = components(links(prints.select("fp").distinct()))
+    return prints.join(linked, prints.fp == linked.node, "left").select("unit", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("band")).distinct()
 
 
 def shingled(classes: DataFrame, width: int) -> DataFrame:
@@ -115,7 +126,7 @@ def without_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5,
     held = cut(sketches(keyed, width, tuned(threshold, miss, rows), rows))
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     classes = cut(held.groupBy("unit").agg(F.min(head).alias("head"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    each = classes.select("unit", F.explode("bands").alias("band"))
+    each = classes.select("unit", F.explode("bands").alias("band")).unionByName(print_bands(held))
     shared = cut(each.groupBy("band").count().where("count > 1").select("band"))
     shared = F.broadcast(shared) if fits(shared, 16) else shared
     near = each.join(shared, "band", "left_semi").groupBy("unit").agg(F.collect_list("band").alias("shared"))

@@ -30,9 +30,9 @@ TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 MIN_SHARED_BYTES = 5
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles, as an unsigned integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: str | bytes | None, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of the word shingles of a text or its UTF-8, as an unsigned integer."""
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]

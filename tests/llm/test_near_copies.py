@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 
+from frameloom.llm import near_copies, op7_simhash
+
 
 def sets(t):
     w = (t or "").lower().split()
@@ -48,3 +50,19 @@ def test_planted_near_copies(spark, prose):
     assert Counter(x.doc_id for x in kept) == want
     assert want[7] == 2 and want[None] == 1 and want[400] == 1 and want[303] == 1
     assert corpus_pipeline.near_copies(spark, docs.where("false"), "").count() == 0
+
+
+def test_fingerprints_find_what_bands_miss(spark, prose):
+    rows = []
+    for i in range(12):
+        often = [f"w{i}x{k}" for k in range(101)] * 60  # fingerprints count repeats, sets don't
+        tail = lambda n, k: [f"t{i}y{n}z{k}y{j}" for j in range(n)]  # noqa: B023, E731
+        rows += [(10 * i + k, " ".join(often + tail(8, k))) for k in range(2)]  # 0.86
+        rows += [(10 * i + 5 + k, " ".join([f"v{i}x{k}" for k in range(101)] * 60 + tail(40, k))) for k in range(2)]  # 0.54
+    s = [sets(t) for _, t in rows]
+    assert all((similar(s[i], s[i + 1]) >= 0.8) == (rows[i][0] % 10 == 0) for i in range(0, len(rows), 2))
+    assert all((op7_simhash.fingerprint(rows[i][1]) ^ op7_simhash.fingerprint(rows[i + 1][1])).bit_count() <= 3 for i in range(0, len(rows), 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # a single band of 60 minimum hashes: pairs of 0.86 share it in one case of ten thousand
+    kept = {r.doc_id for r in near_copies.without_near_copies(docs, rows=60, miss=0.9999).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1}
