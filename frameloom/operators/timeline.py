@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions import columns as C
-from frameloom.sources.folders import shared_dir
+from frameloom.sources.folders import scratch, shared_dir
 
 #: Rows that a task sorts, and the fewest and most ranges that are dealt out where their number isn't given.
 RANGE_ROWS, FEWEST_RANGES, MOST_RANGES = 1 << 20, 8, 4096
@@ -99,11 +99,19 @@ def with_cloud_paths(manifest: DataFrame, prefix: str) -> DataFrame:
     return manifest.withColumn("selected_frames", F.transform("selected_frames", moved))
 
 
-def frame_sources(manifest: DataFrame, present: DataFrame) -> DataFrame:
-    """One row: how many frames are referred to, how many distinct paths, and how many aren't in present(image_path)."""
-    paths = manifest.select(F.explode("selected_frames.image_path").alias("image_path"))
-    there = present.select("image_path").distinct().withColumn("there", F.lit(True))
-    return paths.join(there, "image_path", "left").agg(F.count("*").alias("n_references"), F.count_distinct("image_path").alias("n_paths"), F.count_if(F.col("there").isNull()).alias("n_missing"))
+def frame_sources(manifest: DataFrame, present: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """One row: how many frames are referred to, how many distinct paths, and how many aren't in present(image_path).
+
+    Both sides are one table of paths, kept in the shared folder, so that it is made once and its rows are known: it is
+    dealt by path into parts of about rows, each of which is summed by path for itself.
+    """
+    used = manifest.select(F.explode("selected_frames.image_path").alias("image_path")).select("image_path", F.lit(1).alias("n"))
+    path = scratch(manifest.sparkSession, "sources") + "/paths"
+    used.unionByName(present.select("image_path", F.lit(0).alias("n"))).write.parquet(path)
+    both = manifest.sparkSession.read.parquet(path)
+    by_path = both.repartition(max(1, -(-both.count() // rows)), "image_path").groupBy("image_path").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where("n > 0")
+    there = (F.col("least") == 0) & F.col("image_path").isNotNull()  # a missing path is nowhere
+    return by_path.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_references"), F.count("image_path").alias("n_paths"), F.coalesce(F.sum(F.when(there, 0).otherwise(F.col("n"))), F.lit(0)).alias("n_missing"))
 
 
 def boundaries(clips: DataFrame, ranges: int | None = None) -> DataFrame:

@@ -103,3 +103,17 @@ def test_a_sheet_is_not_held_whole():
     tracemalloc.stop()
     assert peak < 16 << 20  # the sheet is of 29 MB
     assert np.array_equal(I.png_picture(made)[0], I.contact_sheet(pages, 320))
+
+
+def test_paths_of_frames_are_dealt_by_their_number(spark):
+    from pyspark.sql import functions as F
+
+    from frameloom.operators import timeline as T
+
+    path = lambda i: F.when(i % 10 > 0, F.concat(F.lit("p"), (i / 2).cast("int")))
+    manifest = spark.range(1000).select(F.array(*[F.struct(path(F.col("id") * 4 + k).alias("image_path")) for k in range(4)]).alias("selected_frames"))
+    present = spark.range(3000).select(path(F.col("id")).alias("image_path"))
+    out = T.frame_sources(manifest, present, 700)
+    assert "hashpartitioning(image_path#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan  # 7000 rows
+    assert tuple(out.first()) == (4000, 2000, 400 + 900)  # null is no path and isn't there
+    assert tuple(T.frame_sources(manifest.where("false"), present).first()) == (0, 0, 0)
