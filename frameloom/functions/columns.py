@@ -96,18 +96,31 @@ def normalize_clip_id(raw: Column) -> Column:
     return F.coalesce(F.replace(found, F.lit("-"), F.lit("_")), stem(text))
 
 
+def first_number(text: Column, *patterns: str) -> Column:
+    """The digits that the first of patterns that is found captures, which is looked for once each; null if none is."""
+    return F.coalesce(*[F.get(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(0)) for p in patterns])
+
+
 def frame_id(path: Column, index: Column) -> Column:
     """frame_%05d of the number after frame, img or image in the name, else of the index."""
-    text = F.lower(stem(path))
-    number = F.coalesce(*[captured(text, rf"{word}[_-]?(\d+)") for word in ("frame", "keyframe", "img", "image")]).cast("long")
+    return frame_id_of(F.lower(stem(path)), index)
+
+
+def frame_id_of(name: Column, index: Column) -> Column:
+    """frame_id of a file's lower-case stem."""
+    number = first_number(name, *[rf"{word}[_-]?(\d+)" for word in ("frame", "img", "image")]).cast("long")  # frame is found in keyframe, too
     return F.format_string("frame_%05d", F.coalesce(number, index.cast("long")))
 
 
 def path_timestamp(path: Column, index: Column) -> Column:
     """Seconds in a file's name (t3.25, time3.25, ts3.25 or 3.25s, in this order), else the index."""
-    text = F.lower(stem(path))
+    return timestamp_of(F.lower(stem(path)), index)
+
+
+def timestamp_of(name: Column, index: Column) -> Column:
+    """path_timestamp of a file's lower-case stem."""
     number = r"(\d+(?:\.\d+)?)"
-    found = F.coalesce(*[captured(text, p).cast("double") for p in (rf"t[_-]?{number}", rf"time[_-]?{number}", rf"ts[_-]?{number}", rf"{number}s")])
+    found = first_number(name, rf"t[_-]?{number}", rf"time[_-]?{number}", rf"ts[_-]?{number}", rf"{number}s").cast("double")
     return F.coalesce(found, index.cast("double"))
 
 

@@ -67,7 +67,8 @@ def keyframe_rows(paths: DataFrame) -> DataFrame:
     """paths(path) of images -> (clip_id, frame_id, timestamp, frame_path); the index is the place in the clip by path, from 1."""
     rows = paths.withColumn("clip_id", C.normalize_clip_id(F.col("path")))
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("clip_id").orderBy("path")))
-    return rows.select("clip_id", C.frame_id(F.col("path"), F.col("i")).alias("frame_id"), C.path_timestamp(F.col("path"), F.col("i")).alias("timestamp"), F.col("path").alias("frame_path"))
+    rows = rows.withColumn("name", F.lower(C.stem(F.col("path"))))  # once for all that is looked for in it
+    return rows.select("clip_id", C.frame_id_of(F.col("name"), F.col("i")).alias("frame_id"), C.timestamp_of(F.col("name"), F.col("i")).alias("timestamp"), F.col("path").alias("frame_path"))
 
 
 def scan_keyframes(spark: SparkSession, path: str) -> DataFrame:

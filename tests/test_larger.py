@@ -117,3 +117,13 @@ def test_paths_of_frames_are_dealt_by_their_number(spark):
     assert "hashpartitioning(image_path#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan  # 7000 rows
     assert tuple(out.first()) == (4000, 2000, 400 + 900)  # null is no path and isn't there
     assert tuple(T.frame_sources(manifest.where("false"), present).first()) == (0, 0, 0)
+
+
+def test_names_of_keyframes_are_made_once(spark):
+    from frameloom.sources import files as L
+
+    rows = [("/d/Keyframe_7_t3.5.jpg",), ("/d/img-9_2.50s.png",), ("/d/time3_t2.png",), ("/d/a/b_ts4.png",), ("/d/image12.png",)]
+    out = L.keyframe_rows(spark.createDataFrame(rows, "path string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(r"[^.]*$") <= 2  # in clip_id and for all numbers
+    got = {r.frame_path: (r.frame_id, r.timestamp) for r in out.collect()}
+    assert [got[p] for (p,) in rows] == [("frame_00007", 3.5), ("frame_00009", 2.5), ("frame_00001", 2.0), ("frame_00001", 4.0), ("frame_00012", 1.0)]
