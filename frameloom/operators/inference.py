@@ -41,12 +41,12 @@ def with_fallback(model: Callable, record: dict, frames: list, fewer: int) -> tu
             raise first from None
 
 
-def infer(records: DataFrame, loader: Callable[[], Callable], fewer: int = 8) -> DataFrame:
-    """records(clip_id, frames array<string>) -> RAW, a row a record; a failed call is a row with its error."""
+def infer(records: DataFrame, loader: Callable[[], Callable], fewer: int = 8, together: int = 256) -> DataFrame:
+    """records(clip_id, frames array<string>) -> RAW, a row a record; a failed call is a row with its error. At most together answers are held at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        for b in batches:
+        for b in (whole[s : s + together] for whole in batches for s in range(0, len(whole), together)):
             out = []
             for r in b.to_dict("records"):
                 began, started = time.monotonic(), utc_now()

@@ -127,3 +127,17 @@ def test_names_of_keyframes_are_made_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count(r"[^.]*$") <= 2  # in clip_id and for all numbers
     got = {r.frame_path: (r.frame_id, r.timestamp) for r in out.collect()}
     assert [got[p] for (p,) in rows] == [("frame_00007", 3.5), ("frame_00009", 2.5), ("frame_00001", 2.0), ("frame_00001", 4.0), ("frame_00012", 1.0)]
+
+
+def test_few_answers_are_held_at_once(spark):
+    from frameloom.operators import inference as I
+
+    def loader():
+        import gc
+
+        # answers that are still alive when the model is asked
+        return lambda record, frames: str(sum(isinstance(x, tuple) and len(x) == 9 and x[5:6] == (None,) for x in gc.get_objects()))
+
+    rows = [(i, ["f"]) for i in range(2000)]
+    out = I.infer(spark.createDataFrame(rows, "clip_id int, frames array<string>").coalesce(1), loader).collect()
+    assert sorted(r.clip_id for r in out) == [i for i, _ in rows] and max(int(r.raw_output) for r in out) < 600
