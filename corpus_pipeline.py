@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm import near_copies as copies
 from frameloom.llm import op1_langid, op3_decontaminate, op5_mix, op10_secrets
-from frameloom.llm.common import scratch, table, tidy
+from frameloom.llm.common import scratch, small_batches, table, tidy
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go; where no row has a language, nothing is learned and all rows go.
     """
+    small_batches(spark)
     return op1_langid.of_known_languages(docs)
 
 
@@ -27,6 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Candidates are linked by the fingerprints and the index of op7_simhash, and by MinHash where these differ in more than three bits.
     Null ids come last; of rows equal in id and text one stays; texts without words, null ones too, are copies of each other.
     """
+    small_batches(spark)
     return copies.without_near_copies(docs)
 
 

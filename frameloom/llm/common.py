@@ -42,6 +42,17 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, most: int = 1 << 20) -> None:
+    """From now on Python gets and gives batches of about most bytes in this session (Spark's own bound is 64 MB, with buffers that double).
+
+    It stays set, as a stage's last step runs only when its result is written; a smaller bound that is set already stays too.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(str(spark.conf.get(name)).rstrip("b"))
+    if not 0 < held <= most:
+        spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and cut off from how it was made."""
     shared_dir(df.sparkSession)
